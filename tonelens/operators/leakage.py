@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tonelens.functions.text import clean_text, ngrams
 from tonelens.plans.sizing import broadcast_if_small
+from tonelens.plans.workdir import materialise
 
 SHINGLE_WORDS = 8
 
@@ -65,6 +66,9 @@ def quoted_passages(held_out: DataFrame, key: str, train: DataFrame, train_key:
 
 
 def without_quotes(train: DataFrame, key: str, held_out: DataFrame, held_out_key: str, text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """Training rows that quote no held-out passage (a row with null text quotes nothing and stays)."""
-    quoting = shared_shingles(train, key, held_out, held_out_key, text, words).select(key)
+    """Training rows that quote no held-out passage (a row with null text quotes nothing and stays).
+
+    The quoting ids are written once, so that measuring them does not run the shingle join twice.
+    """
+    quoting = materialise(shared_shingles(train, key, held_out, held_out_key, text, words).select(key), "quoting")
     return train.join(broadcast_if_small(quoting), key, "left_anti")

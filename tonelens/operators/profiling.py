@@ -42,7 +42,16 @@ def length_histogram(df: DataFrame, text: str = "text", label: str = "label", bi
     whole = Window.partitionBy(label, "measure")
     flat = F.col("hi") == F.col("lo")
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    slot = F.least(F.floor((F.col("length") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
+    guess = F.least(F.floor((F.col("length") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
+    # The quotient may be off by one ulp at an edge; the edges decide.
+    slot = (
+        F.when(F.col("length") < F.col("lo") + F.col("guess") * width, F.col("guess") - 1)
+        .when(
+            (F.col("guess") < bins - 1) & (F.col("length") >= F.col("lo") + (F.col("guess") + 1) * width),
+            F.col("guess") + 1,
+        )
+        .otherwise(F.col("guess"))
+    )
     binned = (
         counted.withColumn("lo", F.min("length").over(whole).cast("double"))
         .withColumn("hi", F.max("length").over(whole).cast("double"))
@@ -54,6 +63,7 @@ def length_histogram(df: DataFrame, text: str = "text", label: str = "label", bi
             F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
             F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
         )
+        .withColumn("guess", guess)
         .withColumn("bin", slot)
         .groupBy(label, "measure", "lo", "hi", "bin")
         .agg(F.sum("n").alias("n"))
