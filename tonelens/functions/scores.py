@@ -177,5 +177,5 @@ def polarity(prob: Column, threshold: float = 0.5) -> Column:
 
 
 def percent(value: Column) -> Column:
-    """One decimal and a percent sign."""
-    return F.concat(F.format_number(value * 100.0, "0.0"), F.lit("%"))
+    """One decimal (halves to even) and a percent sign."""
+    return F.format_string("%.1f%%", F.bround(value * 100.0, 1))

@@ -66,7 +66,7 @@ def result_banner(escalation: Column, pattern: Column) -> Column:
     return F.when(escalation, "escalating").when(pattern, "pattern").otherwise("none")
 
 
-def _verdict(df: DataFrame) -> DataFrame:
+def verdict_columns(df: DataFrame) -> DataFrame:
     """From window counts (``n_window``, ``n_recent_toxic``, label counts, ``mean_points``) to the verdict columns."""
     c = F.col
     counts = {l: c(name) for l, name in COUNT_COLS.items()}
@@ -123,7 +123,7 @@ def audit_scored(scored: DataFrame, conv: str = "conv_id", turn: str = "turn", r
             c("pattern_highlights"),
         )
         aggs.append(F.array_sort(F.collect_list(item)).alias("individual_results"))
-    return _verdict(scored.groupBy(conv).agg(*aggs))
+    return verdict_columns(scored.groupBy(conv).agg(*aggs))
 
 
 def audit_conversations(
@@ -184,7 +184,7 @@ def rolling_verdicts(scored: DataFrame, conv: str = "conv_id", turn: str = "turn
     columns["n_recent_toxic"] = F.count_if(c("label") != "Sincere").over(three)
     columns["mean_points"] = F.avg(severity_points(c("severity"))).over(five)
     windowed = rows.withColumns(columns).filter(~c("_carried"))
-    return _verdict(windowed.drop("_chunk", "_carried"))
+    return verdict_columns(windowed.drop("_chunk", "_carried"))
 
 
 def rolling_audit(

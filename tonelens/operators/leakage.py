@@ -30,9 +30,10 @@ def exact_clean(held_out: DataFrame, train: DataFrame, text: str = "text") -> Da
 def shingles(df: DataFrame, key: str, text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """Distinct word shingles of each row's cleaned text; made distinct inside the row, without a shuffle."""
     tokens = F.split(clean_text(F.col(text)), " ")
-    return df.select(F.col(key), tokens.alias("_t")).select(
-        key, F.explode(F.array_distinct(ngrams(F.col("_t"), words))).alias("shingle")
+    exploded = df.select(F.col(key), tokens.alias("_t")).select(
+        key, F.explode_outer(F.array_distinct(ngrams(F.col("_t"), words))).alias("shingle")
     )
+    return exploded.filter(F.col("shingle").isNotNull())
 
 
 def shared_shingles(df: DataFrame, key: str, other: DataFrame, other_key: str, text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:

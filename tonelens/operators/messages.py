@@ -49,7 +49,7 @@ def keyword_hits_indexed(df: DataFrame, lexicon: Lexicon, key: str, text: str =
     grams = F.array_distinct(F.regexp_extract_all(F.col("_t"), F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
     hits = (
         df.select(key, F.lower(text).alias("_t"))
-        .select(key, "_t", F.explode(grams).alias("gram"))
+        .select(key, "_t", F.explode_outer(grams).alias("gram"))
         .join(broadcast_if_small(filed), "gram")
         .filter(F.contains(F.col("_t"), F.col("keyword")))
         .groupBy(key)

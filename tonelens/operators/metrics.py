@@ -219,3 +219,14 @@ def pass_rate(df: DataFrame, expected: str = "expected", predicted: str = "predi
     totals = df.agg(F.count("*").alias("total"), F.count_if(F.col(expected) == F.col(predicted)).alias("correct"))
     scored = totals.filter(F.col("total") > 0).withColumn("accuracy", F.round(F.col("correct") / F.col("total"), 4))
     return scored.withColumn("verdict", F.when(F.col("accuracy") >= PASS_MARK, "PASS").otherwise("FAIL"))
+
+
+def stress_results(df: DataFrame, expected: str = "expected", label: str = "label", confidence: str = "confidence") -> DataFrame:
+    """Per sample: expected and predicted label, confidence, passed or not, from analysed messages."""
+    return df.select(
+        "text",
+        F.col(expected).alias("expected"),
+        F.col(label).alias("predicted"),
+        F.col(confidence).alias("confidence"),
+        (F.col(expected) == F.col(label)).alias("passed"),
+    )

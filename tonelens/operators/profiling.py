@@ -92,7 +92,8 @@ def term_frequency(df: DataFrame, stop_words: list[str], n: int = 1, text: str =
     grams = ngrams(F.col("_tokens"), n)
     return (
         df.select(*keys, content_tokens(F.col(text), stop_words).alias("_tokens"))
-        .select(*keys, F.explode(grams).alias("term"))
+        .select(*keys, F.explode_outer(grams).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy(*keys, "term")
         .agg(F.count("*").alias("n"))
     )

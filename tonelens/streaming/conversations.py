@@ -10,49 +10,52 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tonelens.functions.text import strip_blanks
-from tonelens.operators.conversation import WINDOW, _verdict, COUNT_COLS, RECENT, severity_points
+from tonelens.operators.conversation import COUNT_COLS, RECENT, WINDOW, severity_points, verdict_columns
 from tonelens.operators.lexicon import DEFAULT_LEXICON, Lexicon
 from tonelens.operators.messages import score_messages
 
 _STATE = "seen array<struct<ts: timestamp, turn: bigint, label: string, severity: string>>"
+_EMIT_ROWS = 10_000
 
 
 def _keep_last(idle_ms: int):
-    """Per conversation: remember the last five scored messages and emit the window after each new one."""
+    """Per conversation: remember the last five scored messages and emit the window after each new one.
+
+    New messages must be taken in time order, so those of one conversation in one micro-batch are sorted here; what
+    a micro-batch may hold is bounded by the source's rate limit (``max_files`` of the file source).
+    """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         seen = [tuple(r) for r in state.get[0]] if state.exists else []
-        fresh = pd.concat(list(batches), ignore_index=True)
-        fresh = fresh.sort_values(["ts", "turn"], kind="stable")
-        out = []
-        for ts, turn, label, severity in fresh[["ts", "turn", "label", "severity"]].itertuples(index=False):
-            seen = sorted([*seen, (ts.to_pydatetime(), int(turn), label, severity)], key=lambda r: (r[0], r[1]))[-WINDOW:]
-            out.append(
-                (
-                    key[0],
-                    ts,
-                    turn,
-                    label,
-                    severity,
-                    [r[2] for r in seen],
-                    [r[3] for r in seen],
-                )
-            )
+        fresh = pd.concat([b[["ts", "turn", "label", "severity"]] for b in batches], ignore_index=True)
+        fresh = fresh.sort_values(["ts", "turn"], kind="stable", ignore_index=True)
+        for start in range(0, len(fresh), _EMIT_ROWS):
+            part = fresh.iloc[start : start + _EMIT_ROWS]
+            labels, severities = [], []
+            for ts, turn, label, severity in part.itertuples(index=False):
+                seen.append((ts.to_pydatetime(), int(turn), label, severity))
+                seen = sorted(seen, key=lambda r: (r[0], r[1]))[-WINDOW:]
+                labels.append([r[2] for r in seen])
+                severities.append([r[3] for r in seen])
+            yield part.assign(conv_id=key[0], labels=labels, severities=severities)[
+                ["conv_id", "ts", "turn", "label", "severity", "labels", "severities"]
+            ]
         state.update((seen,))
-        latest = max(r[0] for r in seen)
-        deadline = max(int(pd.Timestamp(latest, tz="UTC").timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["conv_id", "ts", "turn", "label", "severity", "labels", "severities"])
+        last_ms = int(pd.Timestamp(seen[-1][0]).tz_localize("UTC").timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
 
     return step
 
 
 def window_verdicts(windows: DataFrame) -> DataFrame:
     """Verdict columns from the emitted label and severity windows (oldest first): a projection."""
-    counts = {name: F.size(F.filter("labels", lambda x, l=l: x == l)).cast("long") for l, name in COUNT_COLS.items()}
+    def times(label: str):
+        return F.size(F.filter("labels", lambda x: x == label)).cast("long")
+
+    counts = {name: times(l) for l, name in COUNT_COLS.items()}
     recent = F.slice("labels", F.greatest(F.size("labels") - (RECENT - 1), F.lit(1)), RECENT)
     points = F.aggregate(
         F.transform("severities", lambda s: severity_points(s).cast("double")), F.lit(0.0), lambda a, x: a + x
@@ -65,7 +68,7 @@ def window_verdicts(windows: DataFrame) -> DataFrame:
             "mean_points": points / F.size("severities"),
         }
     )
-    return _verdict(staged).drop("labels", "severities")
+    return verdict_columns(staged).drop("labels", "severities")
 
 
 def audit_stream(

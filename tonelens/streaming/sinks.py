@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tonelens.plans.workdir import work_path
 
 
-def read_file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
-    """Parquet files that appear in ``folder`` and match ``pattern``, as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def read_file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", max_files: int = 1000) -> DataFrame:
+    """Parquet files that appear in ``folder`` and match ``pattern``, as a stream of at most ``max_files`` a batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files)
+    return reader.parquet(folder)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
