@@ -12,6 +12,7 @@ from tonelens.functions.text import clean_text
 from tonelens.operators import cleaning, conversation, experiments, leakage, messages, metrics, models, profiling, requests, sampling, tfidf
 from tonelens.plans.workdir import materialise
 from tonelens.sources.samples import with_extra
+from tonelens.sources.tables import read_table
 from tonelens.streaming import conversations as stream_conversations
 from tonelens.streaming import messages as stream_messages
 from tonelens.streaming import windows as stream_windows
@@ -28,7 +29,7 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet")
 
 
 def r6(name: str) -> F.Column:
@@ -353,7 +354,7 @@ def stress_results(spark, sf):
 @query
 def model_comparison(spark, sf):
     """Three scorers of the labelled documents: the majority class, the lexicon, the text length."""
-    base = binary_scored(spark, sf)
+    base = materialise(binary_scored(spark, sf), "scored")
     majority = models.MajorityModel.fit(base)
     by_length = base.withColumn("prob", F.least(F.length("text") / 5000.0, F.lit(1.0))).withColumn(
         "prediction", S.threshold_label(F.col("prob"))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from tonelens.functions.text import bind
+
+try:
+    from re import _parser as regex_parser
+except ImportError:  # Python 3.10
+    import sre_parse as regex_parser
+
 #: Argmax order on equal scores, per way of scoring (the order in which each lists its labels).
 TIE_ORDER = {
     "rules": ["Sincere", "Sarcastic", "Passive-Aggressive", "Gaslighting"],
@@ -39,6 +47,54 @@ def _java(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
+def _required(nodes) -> list[str] | None:
+    """Strings of which every match contains at least one; None when that cannot be said.
+
+    Walks Python's own parse of the pattern.  A run of literals is required as a whole, of an alternation one branch;
+    the choice with the longest shortest string is the most telling one.
+    """
+    options: list[list[str]] = []
+    run = ""
+    for op, arg in [*nodes, (None, None)]:
+        if op is regex_parser.LITERAL:
+            run += chr(arg)
+            continue
+        if run:
+            options.append([run])
+            run = ""
+        inner: list[str] | None = None
+        if op is regex_parser.SUBPATTERN and not arg[1] and not arg[2]:
+            inner = _required(arg[3])
+        elif op is regex_parser.BRANCH:
+            branches = [_required(b) for b in arg[1]]
+            inner = [s for b in branches for s in b] if all(branches) else None
+        elif op in (regex_parser.MAX_REPEAT, regex_parser.MIN_REPEAT) and arg[0] >= 1:
+            inner = _required(arg[2])
+        if inner:
+            options.append(inner)
+    return max(options, key=lambda o: min(map(len, o)), default=None)
+
+
+def required_literals(pattern: str) -> list[str] | None:
+    """Cheap necessary condition for a match of ``pattern``; None where there is none (then the regex always runs)."""
+    try:
+        parsed = regex_parser.parse(pattern)
+    except re.error:
+        return None
+    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return None
+    return _required(parsed)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Does the pattern occur?  Plain substring tests spare texts that cannot match the regular expression."""
+    hit = text.rlike(_java(pattern))
+    needed = required_literals(pattern)
+    if not needed:
+        return hit
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in needed]) & hit
+
+
 def _total(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0))
 
@@ -47,7 +103,7 @@ def pattern_share(text: Column, patterns: list[str]) -> Column:
     """Matching patterns / patterns; each counts once.  ``text`` is lower-cased already."""
     if not patterns:
         return F.lit(0.0)
-    hits = _total([text.rlike(_java(p)).cast("int") for p in patterns])
+    hits = _total([matches(text, p).cast("int") for p in patterns])
     return hits.cast("double") / F.lit(float(len(patterns)))
 
 
@@ -60,7 +116,7 @@ def highlights(text: Column, patterns: list[str], limit: int = HIGHLIGHTS) -> Co
     """First match of each pattern, in pattern order, distinct, at most ``limit``."""
     if not patterns:
         return F.array().cast("array<string>")
-    found = [F.when(text.rlike(_java(p)), F.regexp_extract(text, _java(p), 0)) for p in patterns]
+    found = [F.when(matches(text, p), F.regexp_extract(text, _java(p), 0)) for p in patterns]
     return F.slice(F.array_distinct(F.array_compact(F.array(*found))), 1, limit)
 
 
@@ -150,10 +206,13 @@ def severity(confidence: Column, label: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Softmax of an ``array<double>``, shifted by its maximum."""
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / total)
+    exps = bind(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+
+    def shares(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+        return bind(total, lambda t: F.transform(e, lambda x: x / t))
+
+    return bind(exps, shares)
 
 
 def argmax(values: Column) -> Column:

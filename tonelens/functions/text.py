@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -16,7 +17,9 @@ def clean_text(text: Column) -> Column:
     ``www`` needs no word boundary but one more character after it ("awwww no" -> "a no").  ``(?U)`` makes ``\\S``
     stop at a no-break space.
     """
-    no_urls = F.regexp_replace(F.lower(text), r"(?U)http\S+|www\S+", "")
+    lowered = F.lower(text)
+    suspect = F.contains(lowered, F.lit("http")) | F.contains(lowered, F.lit("www"))  # spares most texts a regex pass
+    no_urls = F.when(suspect, F.regexp_replace(lowered, r"(?U)http\S+|www\S+", "")).otherwise(lowered)
     return F.btrim(F.regexp_replace(no_urls, r"[^a-z']+", " "))
 
 
@@ -24,6 +27,14 @@ def strip_blanks(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column used inside a lambda is inlined there and computed again for every element; this keeps it outside.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     """Number of white-space separated words; 0 for the empty text."""
     return F.regexp_count(text, F.lit(r"(?U)\S+"))

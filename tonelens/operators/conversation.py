@@ -8,6 +8,7 @@ from tonelens.functions.text import strip_blanks
 from tonelens.operators.lexicon import DEFAULT_LEXICON, Lexicon
 from tonelens.operators.messages import all_scores, score_messages, with_guidance, with_highlights
 from tonelens.operators.requests import admitted_conversations
+from tonelens.plans.workdir import materialise
 
 # Window sizes and thresholds of the audit.
 WINDOW = 5
@@ -158,7 +159,8 @@ def rolling_verdicts(scored: DataFrame, conv: str = "conv_id", turn: str = "turn
     base = scored.select(conv, turn, "label", "severity")
     is_long = bool(base.filter(F.col(turn) >= chunk_turns).limit(1).count())
     if is_long:
-        chunked = base.withColumn("_chunk", F.floor(F.col(turn) / chunk_turns))
+        chunked = materialise(base, "scored-turns")  # read twice below; a few dozen bytes per message
+        chunked = chunked.withColumn("_chunk", F.floor(F.col(turn) / chunk_turns))
         ends = Window.partitionBy(conv, "_chunk").orderBy(F.col(turn).desc())
         tails = chunked.withColumn("_rn", F.row_number().over(ends)).filter(F.col("_rn") < WINDOW).drop("_rn")
         along = Window.partitionBy(conv).orderBy(turn)

@@ -8,6 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tonelens.operators.lexicon import LABELS, label_dimension
+from tonelens.plans.workdir import materialise
 
 # Acceptance marks.
 PASS_MARK = 0.70
@@ -21,18 +22,26 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)
 
 
-def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """accuracy, precision, recall, f1 of class 1: one row, one pass, map-side sums."""
-    y, p = F.col(label), F.col(prediction)
-    cells = df.agg(
+def score_table(df: DataFrame, label: str = "label", prediction: str | None = "prediction", prob: str | None = "prob") -> DataFrame:
+    """Confusion cells per distinct score: the only pass over the scored rows (map-side sums, one shuffle)."""
+    y = F.col(label)
+    p = F.col(prediction) if prediction else F.lit(0)
+    score = F.col(prob).cast("double") if prob else F.lit(None).cast("double")
+    return df.groupBy(score.alias("s")).agg(
         F.count_if((y == 1) & (p == 1)).alias("tp"),
         F.count_if((y != 1) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p != 1)).alias("fn"),
         F.count_if(y == p).alias("hit"),
         F.count("*").alias("n"),
+        F.count_if(y == 1).alias("pos"),
+        (F.count("*") - F.count_if(y == 1)).alias("neg"),
     )
+
+
+def _metrics_of(table: DataFrame) -> DataFrame:
+    sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "hit", "n")])
     c = F.col
-    return cells.select(
+    return sums.select(
         c("n"),
         _ratio(c("hit"), c("n")).alias("accuracy"),
         _ratio(c("tp"), c("tp") + c("fp")).alias("precision"),
@@ -41,46 +50,53 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
     )
 
 
-def roc_auc(df: DataFrame, label: str = "label", prob: str = "prob", buckets: int = 1024) -> DataFrame:
-    """Exact area under the ROC curve, equal scores counted half; null when one class is missing.
+def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """accuracy, precision, recall, f1 of class 1 in one row; 0 where there is nothing to divide by."""
+    return _metrics_of(score_table(df, label, prediction, None))
+
+
+def _auc_of(by_score: DataFrame, buckets: int) -> DataFrame:
+    """Exact area under the ROC curve from the score table (which is read several times, so it is a stored one).
 
-    Rows collapse to one per distinct score.  Those are cut into ranges of about equal size (quantiles of the
-    distinct scores), so the running count of negatives is taken within ranges in parallel, and the ranges' own
-    totals (at most ``buckets`` rows) supply the offsets.  The cut points only balance the work; the result is exact
-    for any.
+    The distinct scores are cut into ranges of about equal size (by their quantiles), so that the running count of
+    negatives is taken within ranges in parallel; the ranges' own totals (at most ``buckets`` rows) supply the
+    offsets.  The cut points only balance the work: the result is exact for any.
     """
-    pos = F.count_if(F.col(label) == 1)
-    by_score = df.groupBy(F.col(prob).cast("double").alias("s")).agg(pos.alias("pos"), (F.count("*") - pos).alias("neg"))
     quantiles = F.percentile_approx("s", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)
     found = by_score.select(quantiles.alias("q")).first()["q"] or []
     splits = [float("-inf"), *sorted(set(found)), float("inf")]
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="s", outputCol="r", handleInvalid="keep").transform(by_score)
-    totals = ranged.groupBy("r").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
     within = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    inner = (
+    per_range = (
         ranged.withColumn("below", F.coalesce(F.sum("neg").over(within), F.lit(0)))
         .groupBy("r")
-        .agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("area"))
-    )
-    across = Window.partitionBy().orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    joined = (
-        totals.withColumn("offset", F.coalesce(F.sum("rn").over(across), F.lit(0)))
-        .join(inner, "r")
         .agg(
-            F.sum(F.col("area") + F.col("rp") * F.col("offset")).alias("area"),
-            F.sum("rp").alias("p"),
-            F.sum("rn").alias("n"),
+            F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("area"),
+            F.sum("pos").alias("rp"),
+            F.sum("neg").alias("rn"),
         )
     )
-    return joined.select((F.col("area") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auc"))
+    across = Window.partitionBy().orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    total = per_range.withColumn("offset", F.coalesce(F.sum("rn").over(across), F.lit(0))).agg(
+        F.sum(F.col("area") + F.col("rp") * F.col("offset")).alias("area"),
+        F.sum("rp").alias("p"),
+        F.sum("rn").alias("n"),
+    )
+    return total.select((F.col("area") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auc"))
+
+
+def roc_auc(df: DataFrame, label: str = "label", prob: str = "prob", buckets: int = 1024) -> DataFrame:
+    """Exact area under the ROC curve, equal scores counted half; null when one class is missing."""
+    table = score_table(df, label, None, prob).select("s", "pos", "neg")
+    return _auc_of(materialise(table, "scores"), buckets)
 
 
-def evaluate_binary(df: DataFrame, label: str = "label", prediction: str = "prediction", prob: str = "prob") -> DataFrame:
-    """The five metrics in one row."""
-    base = binary_metrics(df, label, prediction)
-    return base.withColumn("auc", roc_auc(df, label, prob).scalar())
+def evaluate_binary(df: DataFrame, label: str = "label", prediction: str = "prediction", prob: str = "prob", buckets: int = 1024) -> DataFrame:
+    """The five metrics in one row; the scored rows are read once."""
+    table = materialise(score_table(df, label, prediction, prob), "scores")
+    return _metrics_of(table).withColumn("auc", _auc_of(table, buckets).scalar())
 
 
 def model_comparison(scored: dict[str, DataFrame], label: str = "label", prediction: str = "prediction", prob: str = "prob") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -22,6 +23,10 @@ from tonelens.plans.workdir import work_path
 GRID_C = [0.01, 0.1, 1.0, 10.0]
 GRID_PENALTY = ["l1", "l2"]
 MAX_ITER = 1000
+TOLERANCE = 1e-4
+
+#: Every iteration is a job: below this many rows per task its overhead outweighs the gradient work.
+ROWS_PER_TASK = 2000
 
 SCORE_BATCH = 64
 
@@ -94,6 +99,7 @@ def logistic(c: float, penalty: str, n: int, max_iter: int = MAX_ITER) -> Logist
         regParam=1.0 / (c * n),
         standardization=False,
         maxIter=max_iter,
+        tol=TOLERANCE,
     )
 
 
@@ -111,7 +117,7 @@ class TextClassifier:
         grid_c: list[float] | None = None,
         grid_penalty: list[str] | None = None,
         max_iter: int = MAX_ITER,
-        parallelism: int = 4,
+        parallelism: int = 8,
         seed: int = SEED,
     ) -> "TextClassifier":
         """Grid search by cross-validated F1 of class 1 over ``train(row_id, label, features)``, refit on all rows.
@@ -121,9 +127,10 @@ class TextClassifier:
         """
         grid = [(c, p) for c in (grid_c or GRID_C) for p in (grid_penalty or GRID_PENALTY)]
         weighted = with_class_weights(train.select("row_id", "label", "features"))
-        data = stratified_folds(weighted, folds, seed=seed).withColumn("label", F.col("label").cast("double")).persist()
+        folded = stratified_folds(weighted, folds, seed=seed).withColumn("label", F.col("label").cast("double"))
+        n = train.count()
+        data = folded.coalesce(max(1, math.ceil(n / ROWS_PER_TASK))).persist()
         try:
-            n = data.count()
             base = logistic(1.0, "l2", n, max_iter)
             points = [
                 {
