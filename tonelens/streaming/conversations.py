@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 from typing import Any
 
 import pandas as pd
@@ -19,13 +20,14 @@ _EMIT_ROWS = 10_000
 
 
 def _keep_last(idle_ms: int):
-    """Per conversation: remember the last five scored messages and emit the window after each new one.
-
-    New messages must be taken in time order, so those of one conversation in one micro-batch are sorted here; what
-    a micro-batch may hold is bounded by the source's rate limit (``max_files`` of the file source).
-    """
+    idle = timedelta(milliseconds=idle_ms)
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Per conversation: remember the last five scored messages and emit the window after each new one.
+
+        New messages must be taken in time order, so those of one conversation in one micro-batch are sorted here;
+        what a micro-batch may hold is bounded by the source's rate limit (``max_files`` of the file source).
+        """
         if state.hasTimedOut:
             state.remove()
             return
@@ -36,7 +38,10 @@ def _keep_last(idle_ms: int):
             part = fresh.iloc[start : start + _EMIT_ROWS]
             labels, severities = [], []
             for ts, turn, label, severity in part.itertuples(index=False):
-                seen.append((ts.to_pydatetime(), int(turn), label, severity))
+                at = ts.to_pydatetime()
+                if seen and at - seen[-1][0] > idle:
+                    seen = []  # as if the timeout had already removed it: batch boundaries do not matter
+                seen.append((at, int(turn), label, severity))
                 seen = sorted(seen, key=lambda r: (r[0], r[1]))[-WINDOW:]
                 labels.append([r[2] for r in seen])
                 severities.append([r[3] for r in seen])
@@ -85,8 +90,8 @@ def audit_stream(
     """The audit after every message of a stream ``(conv, turn, text, ts)``.
 
     Messages are scored before the stateful step, so only label and severity are shuffled and kept; the state of a
-    conversation is five small rows.  A conversation is forgotten once the watermark is ``idle_ms`` past its last
-    message.  Messages later than the watermark are dropped; a late turn within it is inserted in its place and
+    conversation is five small rows.  A conversation idle for more than ``idle_ms`` starts afresh, and its state goes
+    once the watermark is that far past its last message.  Messages later than the watermark are dropped; a late turn within it is inserted in its place and
     emits the window as it now stands.
     """
     spoken = stream.withColumn(text, strip_blanks(F.col(text))).filter(F.length(text) > 0)
