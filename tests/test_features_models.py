@@ -56,7 +56,7 @@ def test_transform_shuffles_the_texts_once(spark):
 
 def test_feature_table_reads_back_as_vectors(spark):
     features = models.build_features(texts_table(spark))
-    again = models.load_features(spark, features.path, features.vocabulary)
+    again = models.load_features(spark, features.path)
     rows = {r.row_id: r.features for r in again.split("train").collect()}
     assert len(rows) == len(TEXTS) and rows[4].numNonzeros() == 0 and rows[6].numNonzeros() == 0
     assert all(abs(v.norm(2) - 1) < 1e-9 for i, v in rows.items() if v.numNonzeros())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,6 +19,8 @@ SMALL_FRACTION = 0.2
 FOLDS = 5
 FOLDS_SMALL = 3
 
+External = DataFrame | Callable[[DataFrame], DataFrame] | None
+
 BASELINE = "Naive Baseline"
 LINEAR = "TF-IDF + LR"
 EXTERNAL = "External"
@@ -43,15 +46,18 @@ def external_predictions(test: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.withColumn("prediction", threshold_label(F.col("prob")))
 
 
-def train_all(features: FeatureSet, external: DataFrame | None = None, folds: int = FOLDS, n_errors: int = 5, **fit_args) -> TrainingResult:
-    """Fit the baseline and the linear classifier on the train split and evaluate every model on the test split."""
+def train_all(features: FeatureSet, external: External = None, folds: int = FOLDS, n_errors: int = 5, **fit_args) -> TrainingResult:
+    """Fit the baseline and the linear classifier on the train split and evaluate every model on the test split.
+
+    ``external`` is a table ``(row_id, prob)`` for the test rows, or a function that makes one from them.
+    """
     train, test = features.split("train"), features.split("test")
     majority = MajorityModel.fit(train)
     classifier = TextClassifier.fit(train, folds, **fit_args)
     plain = test.drop("features")
     scored = {BASELINE: majority.transform(plain), LINEAR: classifier.transform(test).drop("features")}
     if external is not None:
-        scored[EXTERNAL] = external_predictions(plain, external)
+        scored[EXTERNAL] = external_predictions(plain, external(plain) if callable(external) else external)
     return TrainingResult(
         comparison=model_comparison(scored),
         scored=scored,

@@ -218,22 +218,36 @@ def build_features(corpus: DataFrame, path: str | None = None, **vocabulary_args
     spark = corpus.sparkSession
     path = path or work_path(spark, "features")
     ngram = vocabulary_args.get("ngram")
-    vocabulary = fit_vocabulary(corpus.filter(F.col("split") == "train"), **vocabulary_args)
-    size = vocabulary.count()
+    fit_vocabulary(corpus.filter(F.col("split") == "train"), **vocabulary_args).write.parquet(f"{path}/vocabulary")
+    vocabulary = read_vocabulary(spark, path)
     long = transform_long(corpus, vocabulary, **({"ngram": ngram} if ngram else {}))
-    rows = vector_rows(corpus.select("row_id", "text", "label", "split"), long, size)
+    rows = vector_rows(corpus.select("row_id", "text", "label", "split"), long, vocabulary.count())
     write_features(rows, f"{path}/rows", "split")
-    return load_features(spark, path, vocabulary)
+    return load_features(spark, path)
 
 
-def load_features(spark: SparkSession, path: str, vocabulary: DataFrame) -> FeatureSet:
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, idx int, tf long, df long, idf double").parquet(f"{path}/vocabulary")
+
+
+def featurise(df: DataFrame, vocabulary: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+    """New rows ``(key, text)`` with the feature vectors of a fitted vocabulary, by way of a stored table."""
+    spark = df.sparkSession
+    path = work_path(spark, "new-features")
+    rows = df.select(key, text)
+    write_features(vector_rows(rows, transform_long(rows, vocabulary, key, text), vocabulary.count(), key), path)
+    return read_features(spark, path, [df.schema[key], df.schema[text]])
+
+
+def load_features(spark: SparkSession, path: str) -> FeatureSet:
+    """A stored feature table and its vocabulary."""
     columns = [
         T.StructField("row_id", T.LongType()),
         T.StructField("text", T.StringType()),
         T.StructField("label", T.IntegerType()),
         T.StructField("split", T.StringType()),
     ]
-    return FeatureSet(vocabulary, read_features(spark, f"{path}/rows", columns), path)
+    return FeatureSet(read_vocabulary(spark, path), read_features(spark, f"{path}/rows", columns), path)
 
 
 def score_text(

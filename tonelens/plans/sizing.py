@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 #: Most distinct classes a stratified operator accepts.  Class totals are collected, so they are bounded.
-MAX_CLASSES = 256
+MAX_CLASSES = 10_000
 #: Largest relation that is copied to every executor on our own initiative.
 BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
