@@ -80,12 +80,16 @@ def content_tokens(text: Column, stop_words: list[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop_words)) if stop_words else words
 
 
+def _spaced(parts: list[Column]) -> list[Column]:
+    return [c for p in parts for c in (F.lit(" "), p)][1:]
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Array of the space-joined n-grams of a token array; empty when there are fewer than n tokens."""
     if n == 1:
         return tokens
     starts = F.sequence(F.lit(0), F.size(tokens) - n)
-    grams = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
+    grams = F.transform(starts, lambda i: F.concat(*_spaced([F.get(tokens, i + k) for k in range(n)])))
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
