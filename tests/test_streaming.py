@@ -42,6 +42,18 @@ def test_stream_audit_over_many_batches_equals_batch(spark, tmp_path):
     assert columns(streamed) == columns(batch)
 
 
+def test_chunked_stream_audit_equals_batch(spark, tmp_path):
+    """One conversation holds most of every batch and is cut into chunks far smaller than a batch."""
+    everything = rows("aa", 200) + rows("b", 9) + rows("ccc", 30, start=15)
+    everything.sort(key=lambda r: r[3])
+    folder = write_batches(spark, str(tmp_path), everything[:70], everything[70:73], everything[73:])
+    out = work_path(spark, "chunked")
+    q = conversations.start_audit(stream_of(spark, folder), out, f"{out}/cp", chunk_seconds=45, availableNow=True)
+    q.awaitTermination()
+    batch = conversation.rolling_audit(spark.createDataFrame(everything, SCHEMA))
+    assert columns(spark.read.parquet(f"{out}/audits")) == columns(batch)
+
+
 def test_idle_conversations_are_forgotten(spark, tmp_path):
     first = rows("aa", 4)
     push = [("zz", 0, LINES[0], T0 + timedelta(hours=5))]

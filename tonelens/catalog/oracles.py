@@ -505,6 +505,8 @@ UNION ALL SELECT doc_id, {_OUTCOME}, NULL, NULL FROM documents WHERE {_OUTCOME}
 
 ORACLES["stream_conversation_audit"] = ORACLES["rolling_audit"]
 
+ORACLES["stream_audit_by_source"] = ORACLES["rolling_audit_by_source"]
+
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 _FMT = "'%Y-%m-%d %H:%M:%S'"
 

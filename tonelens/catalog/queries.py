@@ -576,12 +576,26 @@ def stream_conversation_audit(spark, sf):
     return run_to_table(audited, "stream-audit").select("conv_id", "turn", "label", *_VERDICT)
 
 
+@query
+def stream_audit_by_source(spark, sf):
+    """Twenty long conversations (all documents of a source) through the chunked streaming audit."""
+    out = work_path(spark, "stream-sources")
+    docs = read_file_stream(spark, sf, _DOCS, "documents.parquet")
+    turns = docs.select(
+        F.col("source").alias("conv_id"), F.col("doc_id").alias("turn"), "text", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 10).alias("ts")
+    )
+    running = stream_conversations.start_audit(turns, out, f"{out}/checkpoint", DOCUMENTS, availableNow=True)
+    running.awaitTermination()
+    return spark.read.parquet(f"{out}/audits").select("conv_id", "turn", "label", *_VERDICT)
+
+
 def _event_stream(spark, sf):
     return read_file_stream(spark, sf, _EVENTS, "events.parquet").select("ts", "user_id", F.col("event_type").alias("label"))
 
 
 def _as_text(name: str):
-    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+    """UTC text, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(name, F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
 @query

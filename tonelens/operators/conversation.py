@@ -148,38 +148,50 @@ def audit_conversations(
     return with_guidance(audit_scored(scored, conv, turn, results), "dominant_pattern")
 
 
-def rolling_verdicts(scored: DataFrame, conv: str = "conv_id", turn: str = "turn", chunk_turns: int = 10_000) -> DataFrame:
+def rolling_verdicts(
+    scored: DataFrame,
+    conv: str = "conv_id",
+    turn: str = "turn",
+    chunk_turns: int = 10_000,
+    ts: str | None = None,
+    chunk_seconds: int = 3600,
+    emit: str | None = None,
+) -> DataFrame:
     """The audit as it stood after every message, from scored messages ``(conv, turn, label, severity, ...)``.
 
-    A conversation may hold any share of all rows, so it is cut into chunks of ``chunk_turns`` turn numbers that are
-    windowed independently.  A chunk needs the four messages before it: they come from the chunks' own last four
-    rows, and travel along as carried rows that are not emitted.  Short conversations (no turn number at or beyond
-    ``chunk_turns``) are one chunk, and then nothing is carried.
+    Messages are ordered by turn, or by time and turn when ``ts`` is given.  A conversation may hold any share of all
+    rows, so it is cut into chunks (``chunk_turns`` turn numbers or ``chunk_seconds``) that are windowed
+    independently.  A chunk needs the four messages before it: they come from the chunks' own last four rows, and
+    travel along as carried rows that are not emitted.  When no turn number reaches ``chunk_turns`` every conversation
+    is one chunk, and nothing is carried.  ``emit`` names a boolean column: rows where it is false count, but get no
+    verdict of their own.
     """
-    base = scored.select(conv, turn, "label", "severity")
-    is_long = bool(base.filter(F.col(turn) >= chunk_turns).limit(1).count())
+    order = [ts, turn] if ts else [turn]
+    carried = ~F.col(emit) if emit else F.lit(False)
+    base = scored.select(conv, *order, "label", "severity", carried.alias("_carried"))
+    is_long = ts is not None or bool(base.filter(F.col(turn) >= chunk_turns).limit(1).count())
     if is_long:
-        chunked = materialise(base, "scored-turns")  # read twice below; a few dozen bytes per message
-        chunked = chunked.withColumn("_chunk", F.floor(F.col(turn) / chunk_turns))
-        ends = Window.partitionBy(conv, "_chunk").orderBy(F.col(turn).desc())
+        number = F.unix_seconds(ts) / chunk_seconds if ts else F.col(turn) / chunk_turns
+        # Read twice below; a few dozen bytes per message.
+        chunked = materialise(base.withColumn("_chunk", F.floor(number)), "scored-turns")
+        ends = Window.partitionBy(conv, "_chunk").orderBy(*[F.col(o).desc() for o in order])
         tails = chunked.withColumn("_rn", F.row_number().over(ends)).filter(F.col("_rn") < WINDOW).drop("_rn")
-        along = Window.partitionBy(conv).orderBy(turn)
-        row = F.struct(turn, "label", "severity")
-        before = F.collect_list(row).over(along.rowsBetween(-(WINDOW - 1), -1))
-        carried = (
+        along = Window.partitionBy(conv).orderBy(*order)
+        before = F.collect_list(F.struct(*order, "label", "severity")).over(along.rowsBetween(-(WINDOW - 1), -1))
+        brought = (
             tails.withColumn("_before", before)
             .withColumn("_prev", F.lag("_chunk").over(along))
             .filter(F.col("_prev") != F.col("_chunk"))  # the earliest tail row of every chunk but the first
             .select(conv, "_chunk", F.explode("_before").alias("_b"))
             .select(conv, "_b.*", "_chunk", F.lit(True).alias("_carried"))
         )
-        rows = chunked.withColumn("_carried", F.lit(False)).unionByName(carried)
+        rows = chunked.unionByName(brought)
     else:
-        rows = base.withColumns({"_chunk": F.lit(0), "_carried": F.lit(False)})
+        rows = base.withColumn("_chunk", F.lit(0))
 
     keys = [conv, "_chunk"] if is_long else [conv]
-    order = Window.partitionBy(*keys).orderBy(turn)
-    five, three = order.rowsBetween(-(WINDOW - 1), 0), order.rowsBetween(-(RECENT - 1), 0)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    five, three = window.rowsBetween(-(WINDOW - 1), 0), window.rowsBetween(-(RECENT - 1), 0)
     c = F.col
     columns = {name: F.count_if(c("label") == l).over(five) for l, name in COUNT_COLS.items()}
     columns["n_window"] = F.count(F.lit(1)).over(five)

@@ -7,13 +7,15 @@ from datetime import timedelta
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tonelens.functions.text import strip_blanks
-from tonelens.operators.conversation import COUNT_COLS, RECENT, WINDOW, severity_points, verdict_columns
+from tonelens.operators.conversation import COUNT_COLS, RECENT, WINDOW, rolling_verdicts, severity_points, verdict_columns
 from tonelens.operators.lexicon import DEFAULT_LEXICON, Lexicon
 from tonelens.operators.messages import score_messages
+from tonelens.plans.workdir import materialise
 
 _STATE = "seen array<struct<ts: timestamp, turn: bigint, label: string, severity: string>>"
 _EMIT_ROWS = 10_000
@@ -26,7 +28,8 @@ def _keep_last(idle_ms: int):
         """Per conversation: remember the last five scored messages and emit the window after each new one.
 
         New messages must be taken in time order, so those of one conversation in one micro-batch are sorted here;
-        what a micro-batch may hold is bounded by the source's rate limit (``max_files`` of the file source).
+        what a micro-batch may hold is bounded by the source's rate limit (``max_files`` of the file source).  For
+        conversations that are too large for that there is :func:`start_audit`.
         """
         if state.hasTimedOut:
             state.remove()
@@ -76,6 +79,14 @@ def window_verdicts(windows: DataFrame) -> DataFrame:
     return verdict_columns(staged).drop("labels", "severities")
 
 
+def scored_turns(stream: DataFrame, lexicon: Lexicon, prob: str | None, conv: str, turn: str, text: str, ts: str) -> DataFrame:
+    """``conv_id, ts, turn, label, severity`` of the non-blank messages: a projection."""
+    spoken = stream.withColumn(text, strip_blanks(F.col(text))).filter(F.length(text) > 0)
+    return score_messages(spoken, lexicon, text, prob).select(
+        F.col(conv).alias("conv_id"), F.col(ts).alias("ts"), F.col(turn).cast("long").alias("turn"), "label", "severity"
+    )
+
+
 def audit_stream(
     stream: DataFrame,
     lexicon: Lexicon = DEFAULT_LEXICON,
@@ -94,10 +105,7 @@ def audit_stream(
     once the watermark is that far past its last message.  Messages later than the watermark are dropped; a late turn within it is inserted in its place and
     emits the window as it now stands.
     """
-    spoken = stream.withColumn(text, strip_blanks(F.col(text))).filter(F.length(text) > 0)
-    scored = score_messages(spoken, lexicon, text, prob).select(
-        F.col(conv).alias("conv_id"), F.col(ts).alias("ts"), F.col(turn).cast("long").alias("turn"), "label", "severity"
-    )
+    scored = scored_turns(stream, lexicon, prob, conv, turn, text, ts)
     key_type = scored.schema["conv_id"].dataType.simpleString()
     windows = (
         scored.withWatermark("ts", late)
@@ -112,3 +120,50 @@ def audit_stream(
         )
     )
     return window_verdicts(windows)
+
+
+def start_audit(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    lexicon: Lexicon = DEFAULT_LEXICON,
+    prob: str | None = None,
+    conv: str = "conv_id",
+    turn: str = "turn",
+    text: str = "text",
+    ts: str = "ts",
+    idle: str = "1 hour",
+    chunk_seconds: int = 3600,
+    **trigger,
+) -> StreamingQuery:
+    """The audit after every message, for streams where one conversation may hold much of a batch.
+
+    Each batch is joined by the last five messages of every live conversation (a table, one sub-folder per batch) and
+    runs through the chunked windows of :func:`rolling_verdicts`, so no conversation has to fit one task.  Audits go
+    to ``path/audits``, one sub-folder per batch; a retried batch overwrites its own.  Messages further than ``idle``
+    behind the newest one leave the state.
+    """
+    scored = scored_turns(stream, lexicon, prob, conv, turn, text, ts)
+    schema = scored.schema
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = materialise(batch.withColumn("_new", F.lit(True)), "fresh-turns")
+        if batch_id > 0:
+            known = spark.read.schema(schema).parquet(f"{path}/state/{batch_id - 1}")
+        else:
+            known = spark.createDataFrame([], schema)
+        rows = fresh.unionByName(known.withColumn("_new", F.lit(False)))
+        audits = rolling_verdicts(rows, "conv_id", "turn", ts="ts", chunk_seconds=chunk_seconds, emit="_new")
+        audits.write.mode("overwrite").parquet(f"{path}/audits/batch={batch_id}")
+        newest = Window.partitionBy("conv_id").orderBy(F.col("ts").desc(), F.col("turn").desc())
+        last = rows.drop("_new").withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= WINDOW).drop("_rn")
+        oldest = rows.agg(F.max("ts") - F.expr(f"INTERVAL {idle}")).scalar()
+        last.filter(F.col("ts") >= oldest).write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+
+    return (
+        scored.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "10 seconds"}))
+        .start()
+    )
