@@ -5,15 +5,16 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from tonelens.operators.metrics import binary_metrics
 from tonelens.operators.sampling import SEED, stratified_folds
 from tonelens.operators.tfidf import fit_vocabulary, read_features, transform_long, vector_rows, write_features
 from tonelens.plans.sizing import MAX_CLASSES, collect_bounded
@@ -125,34 +126,27 @@ class TextClassifier:
         Balanced class weights; folds are exact, stratified and reproducible.  Equal scores go to the first grid
         point (C outer, penalty inner).  The training rows are cached for the iterations only.
         """
+        spark = train.sparkSession
         grid = [(c, p) for c in (grid_c or GRID_C) for p in (grid_penalty or GRID_PENALTY)]
         weighted = with_class_weights(train.select("row_id", "label", "features"))
         folded = stratified_folds(weighted, folds, seed=seed).withColumn("label", F.col("label").cast("double"))
         n = train.count()
         data = folded.coalesce(max(1, math.ceil(n / ROWS_PER_TASK))).persist()
         try:
-            base = logistic(1.0, "l2", n, max_iter)
-            points = [
-                {
-                    base.regParam: 1.0 / (c * n),
-                    base.elasticNetParam: 1.0 if p == "l1" else 0.0,
-                }
-                for c, p in grid
-            ]
-            scorer = MulticlassClassificationEvaluator(
-                metricName="fMeasureByLabel", metricLabel=1.0, labelCol="label", predictionCol="prediction"
-            )
-            search = CrossValidator(
-                estimator=base,
-                estimatorParamMaps=points,
-                evaluator=scorer,
-                numFolds=folds,
-                foldCol="fold",
-                parallelism=parallelism,
-            ).fit(data)
-            scores = list(search.avgMetrics)
+            in_fold = dict(data.groupBy("fold").count().collect())  # one row per fold
+
+            def held_out_f1(job: tuple[int, int]) -> float:
+                point, fold = job
+                rows = data.filter(F.col("fold") != fold)
+                model = logistic(*grid[point], n - in_fold.get(fold, 0), max_iter).fit(rows)
+                return binary_metrics(model.transform(data.filter(F.col("fold") == fold))).first()["f1"]
+
+            jobs = [(point, fold) for point in range(len(grid)) for fold in range(folds)]
+            with ThreadPoolExecutor(parallelism) as pool:  # independent Spark jobs, all folds and points in one queue
+                f1 = list(pool.map(inheritable_thread_target(spark)(held_out_f1), jobs))
+            scores = [sum(f1[i * folds : (i + 1) * folds]) / folds for i in range(len(grid))]
             best = max(range(len(grid)), key=lambda i: scores[i])
-            chosen = search.bestModel
+            chosen = logistic(*grid[best], n, max_iter).fit(data)
         finally:
             data.unpersist()
         c, penalty = grid[best]
