@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Fixed value: the white space that separates words, U+0020 and U+0009 to U+000D.
@@ -39,3 +42,28 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in runs of bounded text and number; a run holds one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(int(np.searchsorted(ends, before + most_bytes, side="right")), start + most_rows))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def utf8(batch: pa.RecordBatch, text: str) -> list[bytes]:
+    """The texts as bytes, a null one as none."""
+    return [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
+
+
+def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """One list per array."""
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    flat = np.concatenate(values) if values else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))

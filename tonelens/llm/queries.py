@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tonelens.llm import quality, sharding, url_rules
+from tonelens.llm import decontaminate, packing, quality, sharding, token_spans, url_rules
 from tonelens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,12 +31,49 @@ URL_RULES = [
 ]
 
 
+@query
+def op1_decontamination(spark, sf):
+    found = decontaminate.find_items(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "benchmark", "item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 @query
 def op2_url_filter(spark, sf):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_rules.judge(read(spark, sf, "pages", "page_id", "url"), rules).drop("url")
 
 
+@query
+def op5_token_counts(spark, sf):
+    """Tokens of every line of every document."""
+    tokens = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_spans.tokens_by_line(read(spark, sf, "documents", "doc_id", "text"), tokens)
+
+
+def with_checksums(pieces: DataFrame) -> DataFrame:
+    """``ids`` replaced by ``ids_crc32``, the checksum of its little-endian unsigned 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4").data
+            sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            at = batch.schema.get_field_index("ids")
+            yield batch.remove_column(at).append_column("ids_crc32", pa.array(sums, pa.int64()))
+
+    kept = [f for f in pieces.schema if f.name != "ids"]
+    return pieces.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids_crc32 long"]))
+
+
+@query
+def op7_packing(spark, sf):
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    return with_checksums(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 @query
 def op8_quality_rules(spark, sf):
     out = quality.judged(read(spark, sf, "documents", "doc_id", "text"))
