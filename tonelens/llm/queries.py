@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tonelens.llm import decontaminate, packing, quality, sharding, token_spans, url_rules
+from tonelens.llm import decontaminate, packing, quality, setsketch, sharding, token_spans, url_rules
 from tonelens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def op2_url_filter(spark, sf):
     return url_rules.judge(read(spark, sf, "pages", "page_id", "url"), rules).drop("url")
 
 
+@query
+def op3_near_duplicates(spark, sf):
+    return setsketch.near_duplicates(read(spark, sf, "documents", "doc_id", "text"))
+
+
 @query
 def op5_token_counts(spark, sf):
     """Tokens of every line of every document."""
