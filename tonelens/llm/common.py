@@ -67,3 +67,34 @@ def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     np.cumsum([len(v) for v in values], out=offsets[1:])
     flat = np.concatenate(values) if values else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+
+class Steps:
+    """Sequences of different lengths laid out step by step: all first elements, all second ones, and so on.
+
+    Sequences go by falling length, so those that still run at a step are a prefix of those of the step before.
+    """
+
+    def __init__(self, lengths: np.ndarray):
+        self.order = np.argsort(-lengths, kind="stable")
+        ranked = lengths[self.order]
+        longest = int(ranked[0]) if len(ranked) else 0
+        self.running = len(ranked) - np.searchsorted(ranked[::-1], np.arange(longest), side="right")
+        self.starts = np.concatenate([[0], np.cumsum(self.running)])
+        rank = np.empty_like(self.order)
+        rank[self.order] = np.arange(len(self.order))
+        self.row = np.repeat(np.arange(len(lengths)), lengths)
+        step = np.arange(len(self.row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        #: place in the layout of each element, given in the order of the sequences
+        self.place = self.starts[step] + rank[self.row]
+
+    def __len__(self) -> int:
+        return len(self.running)
+
+    def at(self, step: int) -> slice:
+        return slice(int(self.starts[step]), int(self.starts[step + 1]))
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty_like(values)
+        out[self.place] = values
+        return out

@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tonelens.llm import decontaminate, packing, quality, setsketch, sharding, token_spans, url_rules
+from tonelens.llm import decontaminate, packing, quality, setsketch, sharding, token_spans, toxicity, url_rules
 from tonelens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,19 @@ def op3_near_duplicates(spark, sf):
     return setsketch.near_duplicates(read(spark, sf, "documents", "doc_id", "text"))
 
 
+def fold(key: str, folds: int) -> F.Column:
+    """Remainder of the checksum of the key as text."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
+
+
+@query
+def op4_toxicity(spark, sf):
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf, "labels", "doc_id", "toxic").filter(fold("doc_id", 4) != 2))
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 @query
 def op5_token_counts(spark, sf):
     """Tokens of every line of every document."""
