@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tonelens.llm import decontaminate, packing, quality, setsketch, sharding, token_spans, toxicity, url_rules
+from tonelens.llm import decontaminate, packing, quality, recurrent_lm, setsketch, sharding, token_spans, toxicity, url_rules
 from tonelens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,14 @@ def op5_token_counts(spark, sf):
     return token_spans.tokens_by_line(read(spark, sf, "documents", "doc_id", "text"), tokens)
 
 
+@query
+def op6_lm_scoring(spark, sf):
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False))
+    language, counts = recurrent_lm.fit(docs.filter(~held_out))
+    return recurrent_lm.score(docs, language, counts).withColumn("held_out", held_out)
+
+
 def with_checksums(pieces: DataFrame) -> DataFrame:
     """``ids`` replaced by ``ids_crc32``, the checksum of its little-endian unsigned 32-bit integers."""
 

@@ -38,7 +38,7 @@ FIT_BYTES = 20_000
 FIT_WINDOW = 96
 FIT_STEPS = 60
 #: Least log-likelihood ratio and ratio of shares for a feature that marks toxic tokens.
-SIGNIFICANT, RATIO = 30.0, 8.0
+SIGNIFICANT, RATIO = 20.0, 8.0
 #: Settings that a feature must be found in; rarer ones are left to the bias, so that it fits unseen words.
 LEAST_SETTINGS = 3
 #: Weights below this are dropped after the fit.
