@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tonelens.llm import decontaminate, packing, quality, recurrent_lm, setsketch, sharding, token_spans, toxicity, url_rules
+from tonelens.llm import chat, decontaminate, packing, quality, recurrent_lm, setsketch, sharding, token_spans, toxicity, url_rules
 from tonelens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,8 @@ def op8_quality_rules(spark, sf):
 def op9_sharding(spark, sf):
     out = sharding.assign_shards(read(spark, sf, "documents", "doc_id", "text"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_chat_format(spark, sf):
+    return chat.format_chats(read(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
