@@ -65,7 +65,7 @@ m AS (
   FROM d JOIN w USING (k) LEFT JOIN l USING (k) LEFT JOIN c USING (k))
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 2 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
     OR n_exclamations > n_words OR coalesce(word_chars, 0) < 2 * n_words) AS kept
 FROM m
 """

@@ -113,7 +113,7 @@ class Rule(NamedTuple):
 RULES = (
     Rule("few_words", lambda m: m("n_words") < 10, base=True),
     Rule("repeated_words", lambda m: 100 * m("n_repeat_words") > 20 * m("n_words"), base=True),
-    Rule("symbols", lambda m: 2 * m("n_symbols") > m("n_words")),
+    Rule("symbols", lambda m: 4 * m("n_symbols") > m("n_words")),
     Rule("duplicate_lines", lambda m: 2 * m("n_dup_lines") > m("n_lines")),
     Rule("shouting", lambda m: m("n_exclamations") > m("n_words")),
     Rule("short_words", lambda m: m("word_chars") < 2 * m("n_words")),
