@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tonelens.llm.common import lists, slices, utf8
+from tonelens.llm.common import free_name, lists, slices, utf8
 from tonelens.llm.components import components
 from tonelens.plans.workdir import materialise
 
@@ -245,5 +245,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stand for their component, columns unchanged; of repeated rows all stay, as they share the id."""
-    gone = near_duplicates(docs, key, text).filter("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = near_duplicates(docs, key, text).filter("NOT kept").select(F.col(key).alias(name)).distinct()
+    return docs.join(gone, F.col(key) == F.col(name), "left_anti")
