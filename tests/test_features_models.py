@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from tonelens.operators import experiments, models, sampling, tfidf
+from tonelens.plans import ranking
 from tonelens.plans.workdir import work_path
 
 TEXTS = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "Café cat's café", "", "unique words only here", None]
@@ -48,10 +49,18 @@ def test_tfidf_agrees_with_brute_force(spark, cap):
     assert got.keys() == weights.keys() and all(abs(got[k] - weights[k]) < 1e-12 for k in got)
 
 
-def test_transform_shuffles_the_texts_once(spark):
+def test_features_are_a_projection(spark):
     df = texts_table(spark)
-    plan = plan_of(tfidf.transform_long(df, tfidf.fit_vocabulary(df)))
-    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+    vocabulary = tfidf.fit_vocabulary(df)
+    assert "Exchange" not in plan_of(tfidf.with_features(df, vocabulary))
+    assert "Exchange hashpartitioning" not in plan_of(tfidf.transform_long(df, vocabulary))
+    assert tfidf.transform_long(df, vocabulary.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 40, 99, 100, 500])
+def test_first_rows_of_a_large_order(spark, n):
+    df = spark.range(100).select(F.concat(F.lit("t"), (F.col("id") * 37 % 100).cast("string")).alias("term"))
+    assert sorted(r.term for r in ranking.first_by(df, n, "term").collect()) == sorted(f"t{i}" for i in range(100))[:n]
 
 
 def test_feature_table_reads_back_as_vectors(spark):

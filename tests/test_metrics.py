@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tonelens.operators import metrics
+from tonelens.operators import experiments, metrics
 
 
 def frame(spark, rows):
@@ -58,3 +58,17 @@ def test_comparison_has_one_row_per_model(spark):
     df = frame(spark, [(1, 1, 0.9), (0, 0, 0.123456)])
     out = metrics.model_comparison({"a": df, "b": df.withColumn("prediction", F.lit(0))}).orderBy("model").collect()
     assert [(r.model, r.accuracy, r.auc) for r in out] == [("a", 1.0, 1.0), ("b", 0.5, 1.0)]
+
+
+def test_rows_without_a_score(spark):
+    rows = [(0, 0.1, 0), (1, 0.9, 1), (0, 0.2, 0), (1, 0.8, 1), (1, None, None), (1, None, None), (None, 0.4, 0)]
+    got = metrics.evaluate_binary(spark.createDataFrame(rows, "label int, prob double, prediction int")).first()
+    assert (got.n, got.n_scored, got.accuracy, got.precision, got.recall, got.auc) == (6, 4, 4 / 6, 1.0, 0.5, 1.0)
+    assert got.f1 == 2 * 2 / (2 * 2 + 2)
+
+
+def test_external_scores_keep_every_test_row(spark):
+    test = spark.createDataFrame([(i, i % 2) for i in range(10)], "row_id long, label int")
+    scores = spark.createDataFrame([(i, float(i % 2)) for i in range(4)], "row_id long, prob double")
+    got = metrics.evaluate_binary(experiments.external_predictions(test, scores)).first()
+    assert (got.n, got.n_scored, got.accuracy) == (10, 4, 0.4)

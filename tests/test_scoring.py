@@ -10,7 +10,7 @@ from tonelens.catalog.oracles import _q, _scored
 from tonelens.functions import scores as S
 from tonelens.functions.sql import register_functions
 from tonelens.operators import messages, metrics
-from tonelens.operators.lexicon import DEFAULT_LEXICON, DEFAULT_PATTERNS, LABELS, Lexicon, guidance_dimension
+from tonelens.operators.lexicon import DEFAULT_LEXICON, DEFAULT_PATTERNS, LABELS, Lexicon
 from tonelens.sources.samples import STRESS_SAMPLES, expectation_sample, labelled_sample, with_extra
 
 SENTENCES = [t for t, _ in STRESS_SAMPLES] + [
@@ -32,7 +32,7 @@ def test_golden_rows(spark):
     assert (two.label, two.score_passive, two.score_sincere, two.severity) == ("Passive-Aggressive", 0.7407, 0.2593, "high")
     assert two.pattern_highlights == ["whatever", "fine, "]
     assert (three.method, three.score_passive, three.score_sarcastic, three.score_sincere, three.score_gaslighting) == ("passive", 0.7477, 0.2329, 0.0194, 0.0)
-    assert three.severity == "high" and len(three.coping_strategies) == 4 and three.sanity_check.startswith("This message carries")
+    assert three.severity == "high"
 
 
 @pytest.mark.parametrize("prob", [None, "p"])
@@ -82,17 +82,24 @@ def test_indexed_keywords_agree_with_literal_ones(spark):
     literal = messages.keyword_hits(df).select(cols)
     indexed = messages.keyword_hits_indexed(df, DEFAULT_LEXICON, "id").select(cols)
     assert sorted(map(tuple, literal.collect())) == sorted(map(tuple, indexed.collect()))
-    words = [f"w{i}x" for i in range(600)]
-    long = Lexicon(DEFAULT_LEXICON.patterns, {**DEFAULT_LEXICON.keywords, "Sincere": words})
-    texts = spark.createDataFrame([(1, "W5x w599x w5x w600x"), (2, "none")], "id long, text string")
-    assert [r.si_keywords for r in messages.evidence(texts, long, key="id").orderBy("id").collect()] == [2, 0]
+
+
+@pytest.mark.parametrize("n", [100, 400, 600, 5000])
+def test_long_lexicons_give_the_same_hits_by_both_methods(spark, n):
+    words = [f"w{i}x" for i in range(n - 3)]
+    lexicon = Lexicon(keywords={"Sincere": [*words, "w5x", "", "q"], "Sarcastic": ["one", "é"]})
+    texts = spark.createDataFrame([(1, f"W5x w{n - 4}x w5x w{n}x"), (2, "none"), (3, None), (4, "Q?"), (5, "É")], "id long, text string")
+    found = {}
+    for how in (None, "id"):
+        rows = messages.evidence(texts, lexicon, indexed_by=how).collect()
+        found[how] = sorted((r.id, r.si_keywords, r.sa_keywords, r.gl_keywords) for r in rows)
+    assert found[None] == found["id"] == [(1, 2, 0, 0), (2, 0, 1, 0), (3, 0, 0, 0), (4, 1, 0, 0), (5, 0, 1, 0)]
 
 
 def test_lexicon_round_trip_and_dimension(spark):
     assert Lexicon.from_dataframe(DEFAULT_LEXICON.to_dataframe(spark)) == DEFAULT_LEXICON
     with pytest.raises(ValueError):
         Lexicon.from_dataframe(spark.createDataFrame([("Other", "regex", 0, "x")], "label string, kind string, ord int, pattern string"))
-    assert guidance_dimension(spark).count() == 4
 
 
 def test_scoring_is_a_projection(spark):

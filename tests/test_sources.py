@@ -41,7 +41,13 @@ def test_comparison_and_report_round_trip(spark, tmp_path):
     assert back["per_class"].count() == 4 and back["summary"].first().accuracy == 0.0
 
 
-def test_small_tables_are_spread(spark, tmp_path):
+def test_filters_reach_the_scan(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    assert read_table(spark, str(tmp_path / "one")).rdd.getNumPartitions() == 4
     assert "PushedFilters: [IsNotNull(id), GreaterThan(id,5)]" in read_table(spark, str(tmp_path / "one")).filter(F.col("id") > 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_breaks_survive_in_result_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'two\nlines, "quoted"', 0.5), (2, "one", 0.25)], "id int, text string, c double")
+    artifacts.write_table(rows, str(tmp_path / "e"))
+    back = artifacts.read_table(spark, str(tmp_path / "e"), "id int, text string, c double")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))

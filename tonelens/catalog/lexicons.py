@@ -37,6 +37,14 @@ CONVERSATIONS = Lexicon(
     },
 )
 
+#: label -> (reassurance, strategies, answers): a table of the queries' own.
+GUIDANCE = {
+    "Gaslighting": ("Trust your notes.", ["Write it down", "Ask a friend"], ["I saw it differently."]),
+    "Passive-Aggressive": ("Ask what is meant.", ["Ask once", "Stay calm"], ["Say it plainly, please."]),
+    "Sarcastic": ("Look for the real point.", ["Skip the jab"], ["What do you want to say?"]),
+    "Sincere": ("Nothing to do.", ["Answer openly"], ["Thanks."]),
+}
+
 #: Frequent short words of the four languages, left out of the n-gram reports.
 STOP_WORDS = [
     "the", "of", "and", "in", "to", "is", "that", "on", "was", "for", "it", "be", "as", "by", "with", "from", "an",

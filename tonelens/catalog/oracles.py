@@ -5,8 +5,8 @@ Only word lists and fixed texts are shared with the library; ranks are plain win
 
 from __future__ import annotations
 
-from tonelens.catalog.lexicons import CONVERSATIONS, DOCUMENTS, STOP_WORDS
-from tonelens.operators.lexicon import GUIDANCE, LABELS, Lexicon
+from tonelens.catalog.lexicons import CONVERSATIONS, DOCUMENTS, GUIDANCE, STOP_WORDS
+from tonelens.operators.lexicon import LABELS, Lexicon
 
 ORACLES: dict[str, str] = {}
 
@@ -229,7 +229,7 @@ FOUR_LABEL = """four AS (
   UNION ALL SELECT 'c-' || conv_id || '-' || turn, CASE WHEN role = 'user' THEN 2 ELSE 3 END FROM conversations)"""
 
 ORACLES["balanced_cap"] = f"""WITH {FOUR_LABEL},
-cap AS (SELECT least(max(n), 200) AS cap FROM (SELECT count(*) AS n FROM four GROUP BY label)),
+cap AS (SELECT least(max(n), 1200) AS cap FROM (SELECT count(*) AS n FROM four GROUP BY label)),
 ranked AS ({_ranked('four', 'row_id', 'label')})
 SELECT row_id, label FROM ranked, cap WHERE rn <= cap"""
 
@@ -246,8 +246,8 @@ def _shingles(name: str, source: str, key: str) -> str:
 _BOTH = _shingles("ds", "documents", "doc_id") + ", " + _shingles("bs", "benchmark", "item_id")
 
 ORACLES["leakage_audit"] = f"""WITH {_BOTH}, seen AS (SELECT DISTINCT s FROM ds)
-SELECT item_id, count(*) AS n_shingles, count(seen.s) AS n_leaked, count(seen.s) > 0 AS leaked
-FROM bs LEFT JOIN seen ON seen.s = bs.s GROUP BY item_id"""
+SELECT item_id, count(bs.s) AS n_shingles, count(seen.s) AS n_leaked, CASE WHEN count(bs.s) > 0 THEN count(seen.s) > 0 END AS leaked
+FROM (SELECT item_id FROM benchmark) b LEFT JOIN bs USING (item_id) LEFT JOIN seen ON seen.s = bs.s GROUP BY item_id"""
 
 ORACLES["leakage_by_document"] = f"""WITH {_BOTH}
 SELECT doc_id, count(*) AS n_shared FROM ds WHERE s IN (SELECT s FROM bs) GROUP BY doc_id"""
@@ -279,9 +279,11 @@ vocab AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, tf, df,
   ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1 AS idf FROM top)"""
 
 
-ORACLES["tfidf_vocabulary"] = f"WITH {_tfidf(5000)} SELECT term, idx, tf, df, {_r6('idf')} FROM vocab"
+ORACLES["tfidf_vocabulary_capped"] = f"WITH {_tfidf(500)} SELECT term, idx, tf, df, {_r6('idf')} FROM vocab"
 
-ORACLES["tfidf_weights"] = f"""WITH {_tfidf(2000)},
+ORACLES["tfidf_vocabulary"] = f"WITH {_tfidf(50_000)} SELECT term, idx, tf, df, {_r6('idf')} FROM vocab"
+
+ORACLES["tfidf_weights"] = f"""WITH {_tfidf(50_000)},
 w AS (SELECT t.doc_id, t.term, (1 + ln(t.n)) * v.idf AS w FROM tf t JOIN vocab v ON v.term = t.term),
 norm AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY doc_id)
 SELECT w.doc_id, w.term, {_r6('w.w / norm.l', 'weight')} FROM w JOIN norm ON norm.doc_id = w.doc_id"""
@@ -401,6 +403,15 @@ ORACLES["keyword_scores"] = f"WITH {DOC_SCORED} SELECT doc_id, {_KEYS}, {_SCORES
 ORACLES["keyword_scores_indexed"] = f"WITH {DOC_SCORED} SELECT doc_id, {_KEYS} FROM scored"
 
 _WITH_P = "src AS (SELECT *, CASE WHEN doc_id % 5 <> 0 THEN (n_chars % 97) / 96.0::DOUBLE END AS p FROM documents)"
+_WORD = r"regexp_extract_all(lower(text), '[a-z]+')"
+ORACLES["keyword_scores_large"] = f"""WITH words AS (
+  SELECT w, 1 + (count(*) % 3) AS side FROM (SELECT unnest(list_distinct({_WORD})) AS w FROM documents) WHERE length(w) > 3 GROUP BY w),
+lex AS (SELECT w, side FROM words ORDER BY md5(w), w LIMIT 5000),
+t AS (SELECT doc_id, lower(text) AS t FROM documents),
+hits AS (SELECT doc_id, side, count(*) AS n FROM t JOIN lex ON contains(t, w) GROUP BY ALL)
+SELECT doc_id, coalesce(max(n) FILTER (side = 1), 0) AS gl_keywords, coalesce(max(n) FILTER (side = 2), 0) AS pa_keywords,
+  coalesce(max(n) FILTER (side = 3), 0) AS sa_keywords FROM t LEFT JOIN hits USING (doc_id) GROUP BY doc_id"""
+
 ORACLES["fused_scores"] = f"""WITH {_WITH_P}, {_scored('src', DOCUMENTS, 'p')}
 SELECT doc_id, method, {_SCORES}, label, confidence, severity FROM scored"""
 

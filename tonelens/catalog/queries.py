@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tonelens.catalog.lexicons import CONVERSATIONS, DOCUMENTS, STOP_WORDS
+from tonelens.catalog.lexicons import CONVERSATIONS, DOCUMENTS, GUIDANCE, STOP_WORDS
 from tonelens.functions import scores as S
 from tonelens.functions.text import clean_text
+from tonelens.operators.lexicon import Lexicon
 from tonelens.operators import cleaning, conversation, experiments, leakage, messages, metrics, models, profiling, requests, sampling, tfidf
 from tonelens.plans.workdir import materialise
 from tonelens.sources.samples import with_extra
@@ -84,6 +85,11 @@ def four_class(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.with_label_names(messages.score_messages(joined, DOCUMENTS), "true_id", "truth")
 
 
+def guidance(spark: SparkSession) -> DataFrame:
+    rows = [(label, *found) for label, found in GUIDANCE.items()]
+    return spark.createDataFrame(rows, "label string, sanity_check string, coping_strategies array<string>, suggested_responses array<string>")
+
+
 # -- preparation ------------------------------------------------------------------------------------------------
 
 @query
@@ -198,7 +204,7 @@ def four_label_corpus(spark, sf):
 
 @query
 def balanced_cap(spark, sf):
-    return sampling.balanced_sample(four_label_corpus(spark, sf), ceiling=200)
+    return sampling.balanced_sample(four_label_corpus(spark, sf))
 
 
 @query
@@ -248,14 +254,21 @@ def leakage_exact_clean(spark, sf):
 
 @query
 def tfidf_vocabulary(spark, sf):
-    vocabulary = tfidf.fit_vocabulary(table(spark, sf, "documents"), max_features=5000)
+    vocabulary = tfidf.fit_vocabulary(table(spark, sf, "documents"))
+    return vocabulary.select("term", F.col("idx").cast("long").alias("idx"), "tf", "df", r6("idf"))
+
+
+@query
+def tfidf_vocabulary_capped(spark, sf):
+    """A cap that falls among terms of one frequency."""
+    vocabulary = tfidf.fit_vocabulary(table(spark, sf, "documents"), max_features=500)
     return vocabulary.select("term", F.col("idx").cast("long").alias("idx"), "tf", "df", r6("idf"))
 
 
 @query
 def tfidf_weights(spark, sf):
     docs = table(spark, sf, "documents")
-    vocabulary = tfidf.fit_vocabulary(docs, max_features=2000)
+    vocabulary = tfidf.fit_vocabulary(docs)
     return tfidf.transform_long(docs, vocabulary, key="doc_id").select("doc_id", "term", r6("weight"))
 
 
@@ -388,6 +401,22 @@ def keyword_scores_indexed(spark, sf):
     return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in _KEYWORD_COLS])
 
 
+def _large_lexicon(spark, sf) -> Lexicon:
+    """5 000 of the documents' own words as keywords, dealt to three labels by the number of documents they are in."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    counts = table(spark, sf, "documents").select(F.explode(words).alias("w")).filter(F.length("w") > 3).groupBy("w").agg(F.count("*").alias("n"))
+    chosen = counts.orderBy(F.md5("w"), "w").limit(5000).collect()
+    sides = ("Gaslighting", "Passive-Aggressive", "Sarcastic")
+    return Lexicon(keywords={l: sorted(r["w"] for r in chosen if r["n"] % 3 == i) for i, l in enumerate(sides)})
+
+
+@query
+def keyword_scores_large(spark, sf):
+    """Hits of a lexicon of 5 000 keywords, by the indexed join."""
+    out = messages.keyword_hits_indexed(table(spark, sf, "documents"), _large_lexicon(spark, sf), "doc_id")
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in _KEYWORD_COLS[:3]])
+
+
 @query
 def fused_scores(spark, sf):
     docs = with_model_prob(table(spark, sf, "documents"))
@@ -403,7 +432,7 @@ def ranked_scores(spark, sf):
 
 @query
 def message_analysis(spark, sf):
-    out = messages.analyse_messages(table(spark, sf, "documents"), DOCUMENTS)
+    out = messages.analyse_messages(table(spark, sf, "documents"), DOCUMENTS, guidance=guidance(spark))
     return out.select(
         "doc_id", "label", "confidence", "severity", *S.SCORE_COLS.values(),
         F.concat_ws("|", "pattern_highlights").alias("highlights"),
@@ -450,7 +479,7 @@ _VERDICT = [
 
 @query
 def conversation_audit(spark, sf):
-    out = conversation.audit_conversations(table(spark, sf, "conversations"), CONVERSATIONS)
+    out = conversation.audit_conversations(table(spark, sf, "conversations"), CONVERSATIONS, guidance=guidance(spark))
     return out.select("conv_id", *_VERDICT, "sanity_check")
 
 
@@ -497,7 +526,7 @@ def features(spark, sf):
     """Split the prepared corpus, fit on train, store the features of every split."""
     prepared = materialise(corpus(spark, sf), "corpus")
     split = sampling.three_way_split(prepared)
-    return models.build_features(split, max_features=20_000)
+    return models.build_features(split)
 
 
 @query

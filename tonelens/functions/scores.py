@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -87,16 +88,24 @@ def required_literals(pattern: str) -> list[str] | None:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Does the pattern occur?  Plain substring tests spare texts that cannot match the regular expression."""
+    """Does the pattern occur?  Plain substring tests spare texts that cannot match the regular expression.
+
+    A null text matches nothing.
+    """
     hit = text.rlike(_java(pattern))
     needed = required_literals(pattern)
-    if not needed:
-        return hit
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in needed]) & hit
+    if needed:
+        hit = reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in needed]) & hit
+    return F.coalesce(hit, F.lit(False))
 
 
 def _total(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts, F.lit(0))
+    """Sum as a balanced tree: the depth of the expression is the logarithm of its length."""
+    if not parts:
+        return F.lit(0)
+    while len(parts) > 1:
+        parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def pattern_share(text: Column, patterns: list[str]) -> Column:
@@ -108,8 +117,13 @@ def pattern_share(text: Column, patterns: list[str]) -> Column:
 
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    """How many of the keywords occur, each counted once.  ``text`` is lower-cased already."""
-    return _total([F.contains(text, F.lit(k)).cast("int") for k in keywords])
+    """How many of the distinct keywords occur.  ``text`` is lower-cased already; a null text has no hits.
+
+    The keywords are one constant array, so a lexicon may be of any length; empty ones are left out.
+    """
+    entries = [k for k in dict.fromkeys(keywords) if k]
+    table = F.from_json(F.lit(json.dumps(entries)), "array<string>")
+    return F.size(F.filter(table, lambda k: F.contains(text, k)))
 
 
 def highlights(text: Column, patterns: list[str], limit: int = HIGHLIGHTS) -> Column:

@@ -16,13 +16,13 @@ def _pattern_sum(lexicon: Lexicon, label: str) -> str:
     patterns = lexicon.pattern_list(label)
     if not patterns:
         return "0D"
-    hits = " + ".join(f"int(rlike(lower(message), {_quote('(?U)' + p)}))" for p in patterns)
-    return f"({hits}) / {len(patterns)}D"
+    table = ", ".join(_quote("(?U)" + p) for p in patterns)
+    return f"size(filter(array({table}), p -> rlike(lower(message), p))) / {len(patterns)}D"
 
 
 def _keyword_sum(lexicon: Lexicon, label: str) -> str:
-    hits = " + ".join(f"int(contains(lower(message), {_quote(k)}))" for k in lexicon.keyword_list(label))
-    return hits or "0"
+    table = ", ".join(_quote(k) for k in dict.fromkeys(lexicon.keyword_list(label)) if k)
+    return f"size(filter(array({table}), k -> contains(lower(message), k)))" if table else "0"
 
 
 def register_functions(spark: SparkSession, lexicon: Lexicon = DEFAULT_LEXICON) -> None:

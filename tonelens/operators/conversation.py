@@ -135,8 +135,9 @@ def audit_conversations(
     turn: str = "turn",
     text: str = "text",
     results: bool = False,
+    guidance: DataFrame | None = None,
 ) -> DataFrame:
-    """Full audit: admission, last five messages, scoring, verdict, guidance.
+    """Full audit: admission, last five messages, scoring, verdict, guidance where a table of it is given.
 
     Only the rows of the window are scored, and the two rankings and the aggregation share one shuffle on the
     conversation.
@@ -145,14 +146,15 @@ def audit_conversations(
     scored = score_messages(last_messages(admitted, conv, turn), lexicon, text, prob)
     if results:
         scored = with_highlights(scored, lexicon, text).withColumnRenamed(text, "text")
-    return with_guidance(audit_scored(scored, conv, turn, results), "dominant_pattern")
+    verdicts = audit_scored(scored, conv, turn, results)
+    return verdicts if guidance is None else with_guidance(verdicts, guidance, "dominant_pattern")
 
 
 def rolling_verdicts(
     scored: DataFrame,
     conv: str = "conv_id",
     turn: str = "turn",
-    chunk_turns: int = 10_000,
+    chunk_turns: int | None = 10_000,
     ts: str | None = None,
     chunk_seconds: int = 3600,
     emit: str | None = None,
@@ -162,15 +164,15 @@ def rolling_verdicts(
     Messages are ordered by turn, or by time and turn when ``ts`` is given.  A conversation may hold any share of all
     rows, so it is cut into chunks (``chunk_turns`` turn numbers or ``chunk_seconds``) that are windowed
     independently.  A chunk needs the four messages before it: they come from the chunks' own last four rows, and
-    travel along as carried rows that are not emitted.  When no turn number reaches ``chunk_turns`` every conversation
-    is one chunk, and nothing is carried.  ``emit`` names a boolean column: rows where it is false count, but get no
+    travel along as carried rows that are not emitted.  With neither ``chunk_turns`` nor ``ts`` every conversation is
+    one chunk, nothing is carried and nothing is written.  ``emit`` names a boolean column: rows where it is false count, but get no
     verdict of their own.
     """
     order = [ts, turn] if ts else [turn]
     carried = ~F.col(emit) if emit else F.lit(False)
     base = scored.select(conv, *order, "label", "severity", carried.alias("_carried"))
-    is_long = ts is not None or bool(base.filter(F.col(turn) >= chunk_turns).limit(1).count())
-    if is_long:
+    cut = ts is not None or chunk_turns is not None
+    if cut:
         number = F.unix_seconds(ts) / chunk_seconds if ts else F.col(turn) / chunk_turns
         # Read twice below; a few dozen bytes per message.
         chunked = materialise(base.withColumn("_chunk", F.floor(number)), "scored-turns")
@@ -189,7 +191,7 @@ def rolling_verdicts(
     else:
         rows = base.withColumn("_chunk", F.lit(0))
 
-    keys = [conv, "_chunk"] if is_long else [conv]
+    keys = [conv, "_chunk"] if cut else [conv]
     window = Window.partitionBy(*keys).orderBy(*order)
     five, three = window.rowsBetween(-(WINDOW - 1), 0), window.rowsBetween(-(RECENT - 1), 0)
     c = F.col
@@ -208,7 +210,7 @@ def rolling_audit(
     conv: str = "conv_id",
     turn: str = "turn",
     text: str = "text",
-    chunk_turns: int = 10_000,
+    chunk_turns: int | None = 10_000,
 ) -> DataFrame:
     """Score every non-blank message in place, then take the verdict at every turn.  Texts are not shuffled."""
     spoken = df.withColumn(text, strip_blanks(F.col(text))).filter(F.length(text) > 0)

@@ -41,8 +41,11 @@ class TrainingResult:
 
 
 def external_predictions(test: DataFrame, scores: DataFrame) -> DataFrame:
-    """Test rows with a caller's probabilities ``(row_id, prob)``; at one half and above the class is 1."""
-    joined = test.join(scores.select("row_id", "prob"), "row_id")
+    """Test rows with a caller's probabilities ``(row_id, prob)``; at one half and above the class is 1.
+
+    Every test row stays: one that the caller did not score has a null prediction, which the metrics count as wrong.
+    """
+    joined = test.join(scores.select("row_id", "prob"), "row_id", "left")
     return joined.withColumn("prediction", threshold_label(F.col("prob")))
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tonelens.functions.text import clean_text, ngrams
-from tonelens.plans.sizing import broadcast_if_small
-from tonelens.plans.workdir import materialise
 
 SHINGLE_WORDS = 8
 
@@ -39,37 +37,34 @@ def shingles(df: DataFrame, key: str, text: str = "text", words: int = SHINGLE_W
 def shared_shingles(df: DataFrame, key: str, other: DataFrame, other_key: str, text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """Per row of ``df`` that quotes ``other``: the number of its shingles that occur there.
 
-    The other side is reduced to distinct shingles first, so nothing multiplies; it is broadcast only when its
-    measured size allows, else both sides shuffle on the shingle and a boilerplate shingle is split by AQE.
+    The other side is reduced to distinct shingles first, so nothing multiplies.  Its measured size decides at run
+    time whether it is copied to all tasks; else both sides shuffle on the shingle and a boilerplate one is split.
     """
     wanted = shingles(other, other_key, text, words).select("shingle").distinct()
-    hits = shingles(df, key, text, words).join(broadcast_if_small(wanted), "shingle", "left_semi")
+    hits = shingles(df, key, text, words).join(wanted, "shingle", "left_semi")
     return hits.groupBy(key).agg(F.count("*").alias("n_shared"))
 
 
 def quoted_passages(held_out: DataFrame, key: str, train: DataFrame, train_key: str, text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """Audit of the held-out set: per item its shingles, how many the training corpus contains, and a verdict.
 
-    Training shingles are filtered to those of the held-out set before they are made distinct, which keeps the
-    large side's shuffle down to the matches.
+    An item of fewer than ``words`` words has no shingle and a null verdict: it was not checked.  Training shingles are
+    filtered to those of the held-out set before they are made distinct, which keeps the large side's shuffle down to
+    the matches.
     """
     mine = shingles(held_out, key, text, words)
-    wanted = broadcast_if_small(mine.select("shingle").distinct())
+    wanted = mine.select("shingle").distinct()
     found = (
         shingles(train, train_key, text, words).join(wanted, "shingle", "left_semi").select("shingle").distinct()
     ).withColumn("_hit", F.lit(1))
-    return (
-        mine.join(found, "shingle", "left")
-        .groupBy(key)
-        .agg(F.count("*").alias("n_shingles"), F.count("_hit").alias("n_leaked"))
-        .withColumn("leaked", F.col("n_leaked") > 0)
+    counts = mine.join(found, "shingle", "left").groupBy(key).agg(F.count("*").alias("_n"), F.count("_hit").alias("_l"))
+    zero = F.lit(0).cast("long")
+    return held_out.select(key).join(counts, key, "left").select(
+        key, F.coalesce("_n", zero).alias("n_shingles"), F.coalesce("_l", zero).alias("n_leaked"), (F.col("_l") > 0).alias("leaked")
     )
 
 
 def without_quotes(train: DataFrame, key: str, held_out: DataFrame, held_out_key: str, text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """Training rows that quote no held-out passage (a row with null text quotes nothing and stays).
-
-    The quoting ids are written once, so that measuring them does not run the shingle join twice.
-    """
-    quoting = materialise(shared_shingles(train, key, held_out, held_out_key, text, words).select(key), "quoting")
-    return train.join(broadcast_if_small(quoting), key, "left_anti")
+    """Training rows that quote no held-out passage (a row with null text quotes nothing and stays)."""
+    quoting = shared_shingles(train, key, held_out, held_out_key, text, words).select(key)
+    return train.join(quoting, key, "left_anti")

@@ -8,15 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tonelens.functions import scores as S
-from tonelens.operators.lexicon import DEFAULT_LEXICON, LABELS, Lexicon, guidance_dimension
+from tonelens.operators.lexicon import DEFAULT_LEXICON, LABELS, Lexicon
 from tonelens.operators.requests import admitted_messages
-from tonelens.plans.sizing import broadcast_if_small
 
 TOXIC = ["Gaslighting", "Passive-Aggressive", "Sarcastic"]
 _SHORT = {"Gaslighting": "gl", "Passive-Aggressive": "pa", "Sarcastic": "sa", "Sincere": "si"}
 
-#: Up to here keywords become one literal test each; longer lexicons go through an indexed join.
-LITERAL_KEYWORDS = 500
+#: Characters under which the indexed join files a keyword.
+GRAM = 4
 
 
 def pattern_scores(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, text: str = "text") -> DataFrame:
@@ -34,23 +33,21 @@ def keyword_hits(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, text: str =
 
 
 def keyword_hits_indexed(df: DataFrame, lexicon: Lexicon, key: str, text: str = "text") -> DataFrame:
-    """:func:`keyword_hits` for lexicons of many thousand entries, as an equi-join.
+    """The columns of :func:`keyword_hits`, by an equi-join: for lexicons of many thousand entries.
 
-    Every keyword is filed under its first q characters (q = the shortest keyword's length); a text's distinct
-    q-grams meet only the keywords filed there, and ``contains`` decides.  Needs a unique ``key``.
+    A keyword is filed under its first characters, ``GRAM`` of them or all if it has fewer; a text's distinct grams of
+    the lengths in use meet only the keywords filed there, and ``contains`` decides.  Needs a unique ``key``.
     """
     spark = df.sparkSession
-    entries = [(l, k) for l in [*TOXIC, "Sincere"] for k in dict.fromkeys(lexicon.keyword_list(l)) if k]
-    repeats = {l: len(lexicon.keyword_list(l)) - len([k for k in dict.fromkeys(lexicon.keyword_list(l)) if k]) for l in LABELS}
-    if any(repeats.values()):
-        raise ValueError("keywords must be non-empty and distinct within a label")
-    q = min(len(k) for _, k in entries)
-    filed = spark.createDataFrame([(l, k, k[:q]) for l, k in entries], "label string, keyword string, gram string")
-    grams = F.array_distinct(F.regexp_extract_all(F.col("_t"), F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
+    entries = [(l, k, k[:GRAM]) for l in [*TOXIC, "Sincere"] for k in dict.fromkeys(lexicon.keyword_list(l)) if k]
+    filed = spark.createDataFrame(entries, "label string, keyword string, gram string")
+    lengths = sorted({len(g) for _, _, g in entries})
+    grams = [F.regexp_extract_all(F.col("_t"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    every = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
     hits = (
         df.select(key, F.lower(text).alias("_t"))
-        .select(key, "_t", F.explode_outer(grams).alias("gram"))
-        .join(broadcast_if_small(filed), "gram")
+        .select(key, "_t", F.explode_outer(every).alias("gram"))
+        .join(filed, "gram")
         .filter(F.contains(F.col("_t"), F.col("keyword")))
         .groupBy(key)
         .agg(*[F.count_if(F.col("label") == l).cast("int").alias(f"{_SHORT[l]}_keywords") for l in [*TOXIC, "Sincere"]])
@@ -59,12 +56,14 @@ def keyword_hits_indexed(df: DataFrame, lexicon: Lexicon, key: str, text: str =
     return df.join(hits, key, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in names})
 
 
-def evidence(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, text: str = "text", key: str | None = None) -> DataFrame:
-    """Pattern shares and keyword hits; long keyword lists are joined when a unique ``key`` is given."""
+def evidence(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, text: str = "text", indexed_by: str | None = None) -> DataFrame:
+    """Pattern shares and keyword hits.
+
+    ``indexed_by`` names a unique key and asks for the keywords to be joined, which pays for lexicons of many thousand
+    entries; the hits are the same either way.
+    """
     with_patterns = pattern_scores(df, lexicon, text)
-    if key is not None and lexicon.n_keywords() > LITERAL_KEYWORDS:
-        return keyword_hits_indexed(with_patterns, lexicon, key, text)
-    return keyword_hits(with_patterns, lexicon, text)
+    return keyword_hits_indexed(with_patterns, lexicon, indexed_by, text) if indexed_by else keyword_hits(with_patterns, lexicon, text)
 
 
 def label_scores(df: DataFrame, prob: str | None = None) -> DataFrame:
@@ -98,10 +97,10 @@ def score_messages(
     lexicon: Lexicon = DEFAULT_LEXICON,
     text: str = "text",
     prob: str | None = None,
-    key: str | None = None,
+    indexed_by: str | None = None,
 ) -> DataFrame:
     """Evidence, scores, label, confidence and severity for every row; the texts are not checked or stripped here."""
-    scored = label_scores(evidence(df, lexicon, text, key), prob)
+    scored = label_scores(evidence(df, lexicon, text, indexed_by), prob)
     return scored.withColumn("severity", S.severity(F.col("confidence"), F.col("label")))
 
 
@@ -113,10 +112,10 @@ def with_highlights(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, text: str
     return df.withColumn("pattern_highlights", F.when(any_hit, found).otherwise(F.array().cast("array<string>")))
 
 
-def with_guidance(df: DataFrame, label: str = "label") -> DataFrame:
-    """Look up the guidance of a label: four rows, broadcast."""
-    dim = guidance_dimension(df.sparkSession).withColumnRenamed("label", "_label")
-    return df.join(F.broadcast(dim), F.col(label) == F.col("_label"), "left").drop("_label")
+def with_guidance(df: DataFrame, guidance: DataFrame, label: str = "label") -> DataFrame:
+    """Look up a label in ``guidance(label, ...)``, which has one row per label."""
+    table = guidance.withColumnRenamed("label", "_label")
+    return df.join(table, F.col(label) == F.col("_label"), "left").drop("_label")
 
 
 def all_scores() -> Column:
@@ -129,11 +128,13 @@ def analyse_messages(
     lexicon: Lexicon = DEFAULT_LEXICON,
     text: str = "text",
     prob: str | None = None,
-    key: str | None = None,
+    indexed_by: str | None = None,
+    guidance: DataFrame | None = None,
 ) -> DataFrame:
-    """The full analysis of every admitted message."""
-    scored = score_messages(admitted_messages(df, text), lexicon, text, prob, key)
-    return with_guidance(with_highlights(scored, lexicon, text))
+    """The full analysis of every admitted message, with the guidance of its label where a table of it is given."""
+    scored = score_messages(admitted_messages(df, text), lexicon, text, prob, indexed_by)
+    found = with_highlights(scored, lexicon, text)
+    return found if guidance is None else with_guidance(found, guidance)
 
 
 def ranked_scores(df: DataFrame, keys: list[str]) -> DataFrame:

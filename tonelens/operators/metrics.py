@@ -23,26 +23,32 @@ def _ratio(num: Column, den: Column) -> Column:
 
 
 def score_table(df: DataFrame, label: str = "label", prediction: str | None = "prediction", prob: str | None = "prob") -> DataFrame:
-    """Confusion cells per distinct score: the only pass over the scored rows (map-side sums, one shuffle)."""
+    """Confusion cells per distinct score: the only pass over the scored rows (map-side sums, one shuffle).
+
+    A row without a prediction counts as a wrong one for class 0: it is in ``n``, and in ``fn`` if its class is 1, but
+    not in ``n_scored``.  Rows without a label are left out.
+    """
     y = F.col(label)
     p = F.col(prediction) if prediction else F.lit(0)
     score = F.col(prob).cast("double") if prob else F.lit(None).cast("double")
-    return df.groupBy(score.alias("s")).agg(
+    return df.filter(y.isNotNull()).groupBy(score.alias("s")).agg(
         F.count_if((y == 1) & (p == 1)).alias("tp"),
         F.count_if((y != 1) & (p == 1)).alias("fp"),
-        F.count_if((y == 1) & (p != 1)).alias("fn"),
+        F.count_if((y == 1) & ~p.eqNullSafe(F.lit(1))).alias("fn"),
         F.count_if(y == p).alias("hit"),
         F.count("*").alias("n"),
+        F.count(p).alias("n_scored"),
         F.count_if(y == 1).alias("pos"),
-        (F.count("*") - F.count_if(y == 1)).alias("neg"),
+        F.count_if(y != 1).alias("neg"),
     )
 
 
 def _metrics_of(table: DataFrame) -> DataFrame:
-    sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "hit", "n")])
+    sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "hit", "n", "n_scored")])
     c = F.col
     return sums.select(
         c("n"),
+        c("n_scored"),
         _ratio(c("hit"), c("n")).alias("accuracy"),
         _ratio(c("tp"), c("tp") + c("fp")).alias("precision"),
         _ratio(c("tp"), c("tp") + c("fn")).alias("recall"),
@@ -51,7 +57,10 @@ def _metrics_of(table: DataFrame) -> DataFrame:
 
 
 def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """accuracy, precision, recall, f1 of class 1 in one row; 0 where there is nothing to divide by."""
+    """accuracy, precision, recall, f1 of class 1 in one row; 0 where there is nothing to divide by.
+
+    ``n`` rows have a label, ``n_scored`` of them a prediction; one without is a wrong prediction, not a missing row.
+    """
     return _metrics_of(score_table(df, label, prediction, None))
 
 
@@ -62,6 +71,7 @@ def _auc_of(by_score: DataFrame, buckets: int) -> DataFrame:
     negatives is taken within ranges in parallel; the ranges' own totals (at most ``buckets`` rows) supply the
     offsets.  The cut points only balance the work: the result is exact for any.
     """
+    by_score = by_score.filter(F.col("s").isNotNull())
     quantiles = F.percentile_approx("s", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)
     found = by_score.select(quantiles.alias("q")).first()["q"] or []
     splits = [float("-inf"), *sorted(set(found)), float("inf")]
@@ -88,7 +98,8 @@ def _auc_of(by_score: DataFrame, buckets: int) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str = "label", prob: str = "prob", buckets: int = 1024) -> DataFrame:
-    """Exact area under the ROC curve, equal scores counted half; null when one class is missing."""
+    """Exact area under the ROC curve over the rows that have a score, equal scores counted half; null when one class
+    is missing."""
     table = score_table(df, label, None, prob).select("s", "pos", "neg")
     return _auc_of(materialise(table, "scores"), buckets)
 
@@ -124,7 +135,7 @@ def confusion_matrix(df: DataFrame, true: str, pred: str, labels: list | None =
         *[F.coalesce(F.sum(F.when(F.col("pred_label") == l, F.col("n"))), F.lit(0)).alias(f"pred_{l}") for l in labels]
     )
     rows = spark.createDataFrame([(i, l) for i, l in enumerate(labels)], ["label_no", "true_label"])
-    return F.broadcast(rows).join(by_true, "true_label", "left").na.fill(0).select(
+    return rows.join(by_true, "true_label", "left").na.fill(0).select(
         "label_no", "true_label", *[f"pred_{l}" for l in labels]
     )
 
@@ -151,7 +162,7 @@ def per_class_report(df: DataFrame, true: str, pred: str, labels: list | None =
     spark = df.sparkSession
     rows = spark.createDataFrame([(l,) for l in labels], ["label"])
     c = F.col
-    report = F.broadcast(rows).join(sums, "label", "left").na.fill(0, ["support", "predicted", "tp"])
+    report = rows.join(sums, "label", "left").na.fill(0, ["support", "predicted", "tp"])
     return report.select(
         "label",
         _ratio(c("tp"), c("predicted")).alias("precision"),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from tonelens.operators.metrics import binary_metrics
 from tonelens.operators.sampling import SEED, stratified_folds
-from tonelens.operators.tfidf import fit_vocabulary, read_features, transform_long, vector_rows, write_features
+from tonelens.operators.tfidf import fit_vocabulary, read_features, with_features, write_features
 from tonelens.plans.sizing import MAX_CLASSES, collect_bounded
 from tonelens.plans.workdir import work_path
 
@@ -214,8 +214,7 @@ def build_features(corpus: DataFrame, path: str | None = None, **vocabulary_args
     ngram = vocabulary_args.get("ngram")
     fit_vocabulary(corpus.filter(F.col("split") == "train"), **vocabulary_args).write.parquet(f"{path}/vocabulary")
     vocabulary = read_vocabulary(spark, path)
-    long = transform_long(corpus, vocabulary, **({"ngram": ngram} if ngram else {}))
-    rows = vector_rows(corpus.select("row_id", "text", "label", "split"), long, vocabulary.count())
+    rows = with_features(corpus.select("row_id", "text", "label", "split"), vocabulary, **({"ngram": ngram} if ngram else {}))
     write_features(rows, f"{path}/rows", "split")
     return load_features(spark, path)
 
@@ -228,8 +227,7 @@ def featurise(df: DataFrame, vocabulary: DataFrame, key: str = "row_id", text: s
     """New rows ``(key, text)`` with the feature vectors of a fitted vocabulary, by way of a stored table."""
     spark = df.sparkSession
     path = work_path(spark, "new-features")
-    rows = df.select(key, text)
-    write_features(vector_rows(rows, transform_long(rows, vocabulary, key, text), vocabulary.count(), key), path)
+    write_features(with_features(df.select(key, text), vocabulary, text), path)
     return read_features(spark, path, [df.schema[key], df.schema[text]])
 
 

@@ -1,14 +1,11 @@
-"""Bounds for everything that leaves the executors or is copied to all of them."""
+"""Bounds for everything that leaves the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row
 
 #: Most distinct classes a stratified operator accepts.  Class totals are collected, so they are bounded.
 MAX_CLASSES = 10_000
-#: Largest relation that is copied to every executor on our own initiative.
-BROADCAST_MAX_ROWS = 1_000_000
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list[Row]:
@@ -17,17 +14,3 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list[Row]:
     if len(rows) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows, refusing to bring them to the driver")
     return rows
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """True if ``df`` was measured to be within both bounds (one job, reads at most ``max_rows + 1`` rows)."""
-    width: Column = F.lit(0)
-    for field in df.schema.fields:
-        width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`").cast("string")), F.lit(0))
-    n, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    return n <= max_rows and size <= max_bytes
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a measured size; otherwise the plan keeps its shuffle join (AQE splits skew)."""
-    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -21,7 +21,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("escape", '"')
+        reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
     return reader.format(fmt).load(path)
 
 

@@ -4,17 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A scan of at most this many partitions holds at most this many times ``maxPartitionBytes``.
-FEW_PARTITIONS = 8
-
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table.
-
-    A file is read by as many tasks as it has row groups.  A small table in one row group would keep a single core
-    busy with all the text work behind the scan, so it is spread over the cores; a table of more than
-    ``FEW_PARTITIONS`` scan partitions is left as it is.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= min(FEW_PARTITIONS, cores) else df
+    """A Parquet table as it lies: its files and row groups are the tasks."""
+    return spark.read.parquet(path)
