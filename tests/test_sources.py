@@ -10,7 +10,7 @@ from tonelens.sources.tables import read_table
 def test_jsonl_scan(spark, tmp_path):
     path = tmp_path / "raw.json"
     path.write_text('{"headline": "A b", "is_sarcastic": 1, "article_link": "x"}\n\n{"headline": "a B!", "is_sarcastic": 0}\n{"headline": "ça", "is_sarcastic": null}\n', encoding="utf-8")
-    df = corpus.with_row_order(corpus.read_jsonl(spark, str(path)))
+    df = corpus.with_position(corpus.read_jsonl(spark, str(path)), "row_id")
     assert df.count() == 3 and df.columns == ["headline", "is_sarcastic", "article_link", "row_id"]
     assert [(r.text, r.label) for r in prepare_corpus(df, "headline", "is_sarcastic", "row_id").collect()] == [("a b", 1)]
     path.write_text('{"headline": \n', encoding="utf-8")

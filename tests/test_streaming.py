@@ -1,5 +1,7 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tonelens.operators import conversation
@@ -42,16 +44,37 @@ def test_stream_audit_over_many_batches_equals_batch(spark, tmp_path):
     assert columns(streamed) == columns(batch)
 
 
-def test_chunked_stream_audit_equals_batch(spark, tmp_path):
-    """One conversation holds most of every batch and is cut into chunks far smaller than a batch."""
-    everything = rows("aa", 200) + rows("b", 9) + rows("ccc", 30, start=15)
-    everything.sort(key=lambda r: r[3])
-    folder = write_batches(spark, str(tmp_path), everything[:70], everything[70:73], everything[73:])
-    out = work_path(spark, "chunked")
-    q = conversations.start_audit(stream_of(spark, folder), out, f"{out}/cp", chunk_seconds=45, availableNow=True)
-    q.awaitTermination()
-    batch = conversation.rolling_audit(spark.createDataFrame(everything, SCHEMA))
-    assert columns(spark.read.parquet(f"{out}/audits")) == columns(batch)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cuts_into_batches_do_not_matter(spark, tmp_path, seed):
+    """Random cuts, with idle gaps, against the same rule applied to all rows at once."""
+    rng = random.Random(seed)
+    everything = []
+    for conv in ("aa", "b", "ccc"):
+        at = T0
+        for t in range(30):
+            at += timedelta(seconds=rng.choice([5, 20, 20, 4000]))
+            everything.append((conv, t, LINES[rng.randrange(4)], at))
+    everything.sort(key=lambda r: (r[3], r[0]))
+    cuts = sorted(rng.sample(range(1, len(everything)), 3))
+    folder = write_batches(spark, str(tmp_path), *[everything[a:b] for a, b in zip([0, *cuts], [*cuts, len(everything)], strict=True)])
+    got = {(r.conv_id, r.turn): r.n_window for r in run_to_table(conversations.audit_stream(stream_of(spark, folder)), "cuts").collect()}
+    want = {}
+    for conv in ("aa", "b", "ccc"):
+        own = [r for r in everything if r[0] == conv]
+        for i, r in enumerate(own):
+            n = 1
+            while n < 5 and i - n >= 0 and own[i - n + 1][3] - own[i - n][3] <= timedelta(hours=1):
+                n += 1
+            want[conv, r[1]] = n
+    assert got == want
+
+
+def test_a_late_turn_gets_the_window_of_its_own_time(spark, tmp_path):
+    data = [r for r in rows("dd", 14) if r[2].strip()]
+    late = data.pop(5)
+    folder = write_batches(spark, str(tmp_path), data, [late])
+    out = run_to_table(conversations.audit_stream(stream_of(spark, folder)), "late-turn")
+    assert out.filter(F.col("turn") == late[1]).first().n_window == 5
 
 
 def test_idle_conversations_are_forgotten(spark, tmp_path):

@@ -1,7 +1,9 @@
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from tonelens.functions import text as X
-from tonelens.operators import cleaning
+from tonelens.operators import cleaning, profiling
 
 ODD = [
     "Hello, World!", "123 !!!", "http://x.y z", "awwww no", "awww no", "see http://a b ok", "don't  STOP\tnow\n", "", "   ",
@@ -62,3 +64,15 @@ def test_dedup_and_duplicate_count_with_one_dominant_text(spark):
     assert out.count() == 2001 and out.filter("text = 'hot'").first().row_id == 0
     assert tuple(cleaning.duplicate_count(df).first()) == (3000, 2001, 999)
     assert tuple(cleaning.duplicate_count(df.limit(0)).first()) == (0, 0, 0)
+
+
+def test_compatibility_forms(spark):
+    odd = ["ﬁne ŉ ǆ", "𝐁𝐨𝐥𝐝 𝔘", "e\u0301a\u0308\u0323", "½ ℃ ㎏ ™", "ΐ Ἄ", "plain", "①②", "ﷺ", "ñ ß", "\U0001f600"]
+    df = spark.createDataFrame([(t,) for t in odd], "s string")
+    want = ["".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in odd]
+    assert [r[0] for r in df.select(X.strip_accents(F.col("s"))).collect()] == want
+
+
+def test_default_stop_words(spark):
+    df = spark.createDataFrame([(1, "The cat and the hat")], "label int, text string")
+    assert sorted(r.term for r in profiling.top_ngrams(df).collect()) == ["cat", "hat"]

@@ -29,3 +29,19 @@ def test_from_raw_lines_to_predictions(spark, tmp_path):
     assert (got[3].model_used, got[3].confidence_text, got[3].prob_4) == ("External", "75.0%", 0.25)
     curve = workflow.experiment(spark, out, str(tmp_path / "curve"), fractions=[0.5], grid_c=[1.0], max_iter=10)
     assert curve.count() == 2
+
+
+def test_the_split_does_not_depend_on_the_layout(spark, tmp_path):
+    lines = [json.dumps({"headline": f"headline {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} number {'x' * (i % 7)}", "is_sarcastic": i % 2}) for i in range(900)]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.json").write_text("\n".join(lines) + "\n")
+    (tmp_path / "three").mkdir()
+    for k in range(3):
+        (tmp_path / "three" / f"{k}.json").write_text("\n".join(lines[300 * k : 300 * (k + 1)]) + "\n")
+    found = []
+    for name, size in (("one", "128m"), ("one", "4k"), ("three", "4k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        split = workflow.prepare(spark, str(tmp_path / name), str(tmp_path / f"out-{name}-{size}"))
+        found.append(sorted((r.text, r.label, r.split) for r in split.collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == found[2]

@@ -405,7 +405,7 @@ ORACLES["keyword_scores_indexed"] = f"WITH {DOC_SCORED} SELECT doc_id, {_KEYS} F
 _WITH_P = "src AS (SELECT *, CASE WHEN doc_id % 5 <> 0 THEN (n_chars % 97) / 96.0::DOUBLE END AS p FROM documents)"
 _WORD = r"regexp_extract_all(lower(text), '[a-z]+')"
 ORACLES["keyword_scores_large"] = f"""WITH words AS (
-  SELECT w, 1 + (count(*) % 3) AS side FROM (SELECT unnest(list_distinct({_WORD})) AS w FROM documents) WHERE length(w) > 3 GROUP BY w),
+  SELECT w, 1 + (count(*) % 3) AS side FROM (SELECT unnest(list_distinct({_WORD})) AS w FROM documents) WHERE length(w) > 5 GROUP BY w),
 lex AS (SELECT w, side FROM words ORDER BY md5(w), w LIMIT 5000),
 t AS (SELECT doc_id, lower(text) AS t FROM documents),
 hits AS (SELECT doc_id, side, count(*) AS n FROM t JOIN lex ON contains(t, w) GROUP BY ALL)
@@ -516,6 +516,54 @@ UNION ALL SELECT doc_id, {_OUTCOME}, NULL, NULL FROM documents WHERE {_OUTCOME}
 
 ORACLES["stream_conversation_audit"] = ORACLES["rolling_audit"]
 
+# -- sources and sinks ------------------------------------------------------------------------------------------
+
+ORACLES["io_jsonl"] = f"WITH {LABELLED} SELECT text AS headline, label AS is_sarcastic, row_id::VARCHAR AS article_link FROM labelled"
+
+ORACLES["io_splits"] = f"""WITH {PREPARED}
+SELECT text, label, CASE row_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM corpus"""
+
+ORACLES["io_features"] = f"""WITH {_tfidf(500)},
+w AS (SELECT t.doc_id, t.term, (1 + ln(t.n)) * v.idf AS w FROM tf t JOIN vocab v ON v.term = t.term),
+norm AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY doc_id)
+SELECT w.doc_id, w.term, {_r6('w.w / norm.l', 'weight')} FROM w JOIN norm ON norm.doc_id = w.doc_id"""
+
+ORACLES["io_comparison"] = ORACLES["model_comparison"]
+ORACLES["io_report"] = ORACLES["per_class_report"]
+ORACLES["io_errors"] = ORACLES["error_table"]
+
+ORACLES["io_majority"] = """WITH top AS (SELECT toxic AS majority FROM labels GROUP BY toxic ORDER BY count(*) DESC, toxic LIMIT 1)
+SELECT doc_id, toxic AS label, majority AS prediction, (CASE WHEN majority = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS prob FROM labels, top"""
+
+ORACLES["missing_texts"] = "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN length(text) ELSE 0 END AS n FROM documents"
+
+ORACLES["top_coefficients"] = f"""WITH {LABELLED},
+t AS (SELECT label, unnest(list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'))) AS term FROM labelled),
+n AS (SELECT (count(*) FILTER (label = 1))::DOUBLE AS nt, (count(*) FILTER (label <> 1))::DOUBLE AS other FROM labelled),
+c AS (SELECT term, round((count(*) FILTER (label = 1)) / any_value(nt) - (count(*) FILTER (label <> 1)) / any_value(other), 6) AS coefficient
+  FROM t, n GROUP BY term),
+up AS (SELECT row_number() OVER (ORDER BY coefficient DESC, term) AS rank, term AS positive_term, coefficient AS positive_coefficient FROM c),
+down AS (SELECT row_number() OVER (ORDER BY coefficient, term) AS rank, term AS negative_term, coefficient AS negative_coefficient FROM c)
+SELECT * FROM up JOIN down USING (rank) WHERE rank <= 20"""
+
+ORACLES["sql_functions"] = f"""WITH {DOC_SCORED}
+SELECT doc_id, {CLEAN.format('text')} AS cleaned, {_r6('pa_pattern')}, si_keywords, score_sincere, score_gaslighting, 'medium' AS mid FROM scored"""
+
+_GAPPY = f"""{BINARY}, gap AS (SELECT label, CASE WHEN row_id % 3 <> 0 THEN prob END AS prob, CASE WHEN row_id % 3 <> 0 THEN prediction END AS prediction FROM bin),
+cells AS (SELECT count(*) AS n, count(prediction) AS n_scored, count(*) FILTER (label = prediction) AS hit,
+  count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (prediction = 1) AS pp, count(*) FILTER (label = 1) AS ap FROM gap),
+auc AS (SELECT sum(CASE WHEN a.prob > b.prob THEN 1.0 WHEN a.prob = b.prob THEN 0.5 ELSE 0 END) / count(*) AS auc
+  FROM gap a, gap b WHERE a.label = 1 AND b.label = 0 AND a.prob IS NOT NULL AND b.prob IS NOT NULL)"""
+_OF_CELLS = f"""n, n_scored, {_r6('hit / n', 'accuracy')}, {_r6('CASE WHEN pp = 0 THEN 0 ELSE tp / pp END', 'precision')},
+  {_r6('CASE WHEN ap = 0 THEN 0 ELSE tp / ap END', 'recall')}, {_r6('CASE WHEN pp + ap = 0 THEN 0 ELSE 2 * tp / (pp + ap) END', 'f1')}"""
+ORACLES["gappy_metrics"] = f"WITH {_GAPPY} SELECT {_OF_CELLS}, {_r6('auc')} FROM cells, auc"
+
+ORACLES["external_model"] = f"""WITH {LABELLED},
+p AS (SELECT label, CASE WHEN row_id % 3 <> 0 THEN CASE WHEN least(length(text) / 5000.0, 1.0) >= 0.5 THEN 1 ELSE 0 END END AS prediction FROM labelled),
+cells AS (SELECT count(*) AS n, count(prediction) AS n_scored, count(*) FILTER (label = prediction) AS hit,
+  count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (prediction = 1) AS pp, count(*) FILTER (label = 1) AS ap FROM p)
+SELECT {_OF_CELLS} FROM cells"""
+
 ORACLES["stream_audit_by_source"] = ORACLES["rolling_audit_by_source"]
 
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tonelens.catalog.lexicons import CONVERSATIONS, DOCUMENTS, GUIDANCE, STOP_WORDS
 from tonelens.functions import scores as S
-from tonelens.functions.text import clean_text
+from tonelens.functions.sql import register_functions
+from tonelens.functions.text import clean_text, word_tokens
 from tonelens.operators.lexicon import Lexicon
 from tonelens.operators import cleaning, conversation, experiments, leakage, messages, metrics, models, profiling, requests, sampling, tfidf
 from tonelens.plans.workdir import materialise
+from tonelens.sources import artifacts
+from tonelens.sources import corpus as files
 from tonelens.sources.samples import with_extra
 from tonelens.sources.tables import read_table
 from tonelens.streaming import conversations as stream_conversations
@@ -404,7 +407,7 @@ def keyword_scores_indexed(spark, sf):
 def _large_lexicon(spark, sf) -> Lexicon:
     """5 000 of the documents' own words as keywords, dealt to three labels by the number of documents they are in."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    counts = table(spark, sf, "documents").select(F.explode(words).alias("w")).filter(F.length("w") > 3).groupBy("w").agg(F.count("*").alias("n"))
+    counts = table(spark, sf, "documents").select(F.explode(words).alias("w")).filter(F.length("w") > 5).groupBy("w").agg(F.count("*").alias("n"))
     chosen = counts.orderBy(F.md5("w"), "w").limit(5000).collect()
     sides = ("Gaslighting", "Passive-Aggressive", "Sarcastic")
     return Lexicon(keywords={l: sorted(r["w"] for r in chosen if r["n"] % 3 == i) for i, l in enumerate(sides)})
@@ -576,6 +579,120 @@ def batch_model_scores(spark, sf):
     return out.select("doc_id", r6("prob"))
 
 
+# -- sources and sinks: written by the library, read back by it ---------------------------------------------------
+
+@query
+def io_jsonl(spark, sf):
+    """Labelled documents as JSON Lines."""
+    path = work_path(spark, "jsonl")
+    rows = labelled(spark, sf).select(F.col("text").alias("headline"), F.col("label").alias("is_sarcastic"), F.col("row_id").cast("string").alias("article_link"))
+    rows.write.json(path)
+    return files.read_jsonl(spark, path)
+
+
+@query
+def io_splits(spark, sf):
+    """The prepared corpus in three folders."""
+    path = work_path(spark, "splits")
+    third = F.col("row_id") % 3
+    files.write_splits(corpus(spark, sf).withColumn("split", F.when(third == 0, "train").when(third == 1, "val").otherwise("test")), path)
+    parts = [df.withColumn("split", F.lit(name)) for name, df in files.read_splits(spark, path).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def io_features(spark, sf):
+    """Stored feature vectors of a small vocabulary, in long form again."""
+    path = work_path(spark, "features")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    vocabulary = tfidf.fit_vocabulary(docs, max_features=500)
+    tfidf.write_features(tfidf.with_features(docs, vocabulary).drop("text"), path)
+    rows = tfidf.read_features(spark, path, [docs.schema["doc_id"]]).withColumn("v", F.unwrap_udt("features"))
+    long = rows.select("doc_id", F.inline(F.arrays_zip(F.col("v.indices").alias("idx"), F.col("v.values").alias("weight"))))
+    return long.join(vocabulary.select("idx", "term"), "idx").select("doc_id", "term", r6("weight"))
+
+
+@query
+def io_comparison(spark, sf):
+    path = work_path(spark, "comparison")
+    artifacts.write_comparison(model_comparison(spark, sf), path)
+    return artifacts.read_comparison(spark, path)
+
+
+@query
+def io_report(spark, sf):
+    """The per-class table of a stored evaluation report."""
+    path = work_path(spark, "report")
+    report = metrics.evaluation_report(four_class(spark, sf), "text", "truth", "label", "confidence")
+    artifacts.write_report(report, path)
+    schema = "label string, precision double, recall double, f1 double, support long, weak boolean"
+    out = artifacts.read_report(spark, path, {"per_class": schema})["per_class"]
+    return out.select("label", r6("precision"), r6("recall"), r6("f1"), "support", "weak")
+
+
+@query
+def io_errors(spark, sf):
+    path = work_path(spark, "errors")
+    artifacts.write_table(error_table(spark, sf), path)
+    return artifacts.read_table(spark, path, "row_id long, text string, true_label int, predicted_label int, confidence double")
+
+
+@query
+def io_majority(spark, sf):
+    """A stored majority model, applied."""
+    path = work_path(spark, "majority")
+    rows = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    models.MajorityModel.fit(rows).save(spark, path)
+    return models.MajorityModel.load(spark, path).transform(rows).select("doc_id", "label", "prediction", "prob")
+
+
+@query
+def missing_texts(spark, sf):
+    """Every seventh text is taken away and counts as an empty one."""
+    docs = table(spark, sf, "documents").withColumn("text", F.when(F.col("doc_id") % 7 != 0, F.col("text")))
+    return cleaning.fill_missing_text(docs).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query
+def top_coefficients(spark, sf):
+    """Words by the difference of their shares of toxic and of other documents."""
+    rows = labelled(spark, sf).select("label", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
+    counts = rows.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") != 1).alias("o"))
+    sizes = labelled(spark, sf).agg(F.count_if(F.col("label") == 1).alias("nt"), F.count_if(F.col("label") != 1).alias("no")).first()
+    share = F.round(F.col("t") / F.lit(float(sizes["nt"])) - F.col("o") / F.lit(float(sizes["no"])), 6)
+    return models.top_coefficients(counts.select("term", share.alias("coefficient"))).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def sql_functions(spark, sf):
+    """The scoring expressions as SQL functions."""
+    register_functions(spark, DOCUMENTS)
+    table(spark, sf, "documents").createOrReplaceTempView("sql_function_documents")
+    return spark.sql("""
+        SELECT doc_id, clean_text(text) AS cleaned, round(pattern_score(text, 'Passive-Aggressive'), 6) AS pa_pattern,
+          CAST(keyword_hits(text, 'Sincere') AS BIGINT) AS si_keywords, rule_score(text, 'Sincere') AS score_sincere,
+          rule_score(text, 'Gaslighting') AS score_gaslighting, severity(0.5D, 'Sarcastic') AS mid FROM sql_function_documents""")
+
+
+@query
+def gappy_metrics(spark, sf):
+    """Every third labelled row lost its score."""
+    rows = binary_scored(spark, sf)
+    there = F.col("row_id") % 3 != 0
+    gappy = rows.withColumns({c: F.when(there, F.col(c)) for c in ("prob", "prediction")})
+    out = metrics.evaluate_binary(gappy)
+    return out.select("n", "n_scored", *[r6(m) for m in metrics.METRICS])
+
+
+@query
+def external_model(spark, sf):
+    """A caller's probabilities for two thirds of the labelled rows, next to all of them."""
+    rows = labelled(spark, sf)
+    given = rows.filter(F.col("row_id") % 3 != 0).select("row_id", F.least(F.length("text") / 5000.0, F.lit(1.0)).alias("prob"))
+    out = metrics.binary_metrics(experiments.external_predictions(rows, given))
+    return out.select("n", "n_scored", r6("accuracy"), r6("precision"), r6("recall"), r6("f1"))
+
+
 # -- streams ----------------------------------------------------------------------------------------------------
 
 _TURNS = "conv_id long, turn long, role string, text string"
@@ -607,15 +724,13 @@ def stream_conversation_audit(spark, sf):
 
 @query
 def stream_audit_by_source(spark, sf):
-    """Twenty long conversations (all documents of a source) through the chunked streaming audit."""
-    out = work_path(spark, "stream-sources")
+    """Twenty long conversations (all documents of a source) through the streaming audit."""
     docs = read_file_stream(spark, sf, _DOCS, "documents.parquet")
     turns = docs.select(
         F.col("source").alias("conv_id"), F.col("doc_id").alias("turn"), "text", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 10).alias("ts")
     )
-    running = stream_conversations.start_audit(turns, out, f"{out}/checkpoint", DOCUMENTS, availableNow=True)
-    running.awaitTermination()
-    return spark.read.parquet(f"{out}/audits").select("conv_id", "turn", "label", *_VERDICT)
+    audited = stream_conversations.audit_stream(turns, DOCUMENTS)
+    return run_to_table(audited, "stream-sources").select("conv_id", "turn", "label", *_VERDICT)
 
 
 def _event_stream(spark, sf):

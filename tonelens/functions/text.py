@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
 from collections.abc import Callable
 
@@ -44,10 +46,11 @@ def char_count(text: Column) -> Column:
     return F.length(text)
 
 
-def _accent_table() -> tuple[str, str]:
-    """Letters whose compatibility decomposition is one base character, then the bare combining marks (deleted)."""
-    source, target, marks = [], [], []
-    for code in range(0x80, 0xFFFF):
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decompositions without combining marks: one letter to one letter as two strings, the bare marks
+    (deleted) behind the first; and the letters that become several.  Hangul syllables stay as they are."""
+    source, target, marks, several = [], [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
             continue
         ch = chr(code)
@@ -58,15 +61,40 @@ def _accent_table() -> tuple[str, str]:
         if len(base) == 1 and base != ch:
             source.append(ch)
             target.append(base)
-    return "".join(source) + "".join(marks), "".join(target)
+        elif base != ch:
+            several[ch] = base
+    return "".join(source) + "".join(marks), "".join(target), several
 
 
-_ACCENTED, _PLAIN = _accent_table()
+_ACCENTED, _PLAIN, _SEVERAL = _decompositions()
+
+
+def _char_class(codes: list[int]) -> str:
+    """A character class of code points, runs of them as ranges."""
+    runs: list[list[int]] = []
+    for code in codes:
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+_ANY_OF_SEVERAL = _char_class(sorted(map(ord, _SEVERAL)))
+#: A superset that is cheap to test: exact among Latin letters, everything beyond them.
+_MAYBE_SEVERAL = _char_class([*sorted(ord(c) for c in _SEVERAL if ord(c) < 0x250), *range(0x250, sys.maxunicode + 1)])
 
 
 def strip_accents(text: Column) -> Column:
-    """Unicode letters to their base letters; pure ASCII texts skip the translation."""
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, _ACCENTED, _PLAIN))
+    """Compatibility forms to their base letters, without combining marks; pure ASCII texts skip all of it.
+
+    Letters that become one letter are translated; of those that become several, each one found in a text is replaced.
+    """
+    table = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")
+    odd = F.array_distinct(F.regexp_extract_all(text, F.lit(_ANY_OF_SEVERAL), F.lit(0)))
+    spelt = F.aggregate(odd, text, lambda t, c: F.replace(t, c, F.try_element_at(table, c)))
+    whole = F.when(text.rlike(_MAYBE_SEVERAL), spelt).otherwise(text)
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(whole, _ACCENTED, _PLAIN))
 
 
 def word_tokens(text: Column) -> Column:

@@ -15,7 +15,7 @@ TOXIC = ["Gaslighting", "Passive-Aggressive", "Sarcastic"]
 _SHORT = {"Gaslighting": "gl", "Passive-Aggressive": "pa", "Sarcastic": "sa", "Sincere": "si"}
 
 #: Characters under which the indexed join files a keyword.
-GRAM = 4
+GRAM = 6
 
 
 def pattern_scores(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, text: str = "text") -> DataFrame:

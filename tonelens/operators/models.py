@@ -12,10 +12,10 @@ from typing import Any
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tonelens.operators.metrics import binary_metrics
-from tonelens.operators.sampling import SEED, stratified_folds
+from tonelens.operators.sampling import SEED, stratified_folds, stratified_subsample
 from tonelens.operators.tfidf import fit_vocabulary, read_features, with_features, write_features
 from tonelens.plans.sizing import MAX_CLASSES, collect_bounded
 from tonelens.plans.workdir import work_path
@@ -104,6 +104,18 @@ def logistic(c: float, penalty: str, n: int, max_iter: int = MAX_ITER) -> Logist
     )
 
 
+def top_coefficients(coefficients: DataFrame, n: int = 20) -> DataFrame:
+    """The n terms of the highest and of the lowest ``coefficient``, ties alphabetical, side by side by rank."""
+
+    def side(name: str, order: Column) -> DataFrame:
+        ranked = F.row_number().over(Window.partitionBy().orderBy(order, "term"))
+        best = coefficients.orderBy(order, "term").limit(n)
+        return best.select(ranked.alias("rank"), F.col("term").alias(f"{name}_term"), F.col("coefficient").alias(f"{name}_coefficient"))
+
+    up, down = side("positive", F.col("coefficient").desc()), side("negative", F.col("coefficient").asc())
+    return up.join(down, "rank").orderBy("rank")
+
+
 @dataclass
 class TextClassifier:
     """A fitted logistic regression on TF-IDF features, with the hyper-parameters the grid search chose."""
@@ -120,19 +132,29 @@ class TextClassifier:
         max_iter: int = MAX_ITER,
         parallelism: int = 8,
         seed: int = SEED,
+        max_rows: int | None = None,
     ) -> "TextClassifier":
         """Grid search by cross-validated F1 of class 1 over ``train(row_id, label, features)``, refit on all rows.
 
+        A grid of one point is fitted once, without folds, and has no cross-validated F1.  ``max_rows`` bounds the
+        labelled rows of the fit, the first ones in a random order of their ids; by default all are used.
         Balanced class weights; folds are exact, stratified and reproducible.  Equal scores go to the first grid
         point (C outer, penalty inner).  The training rows are cached for the iterations only.
         """
         spark = train.sparkSession
         grid = [(c, p) for c in (grid_c or GRID_C) for p in (grid_penalty or GRID_PENALTY)]
-        weighted = with_class_weights(train.select("row_id", "label", "features"))
-        folded = stratified_folds(weighted, folds, seed=seed).withColumn("label", F.col("label").cast("double"))
         n = train.count()
+        if max_rows is not None and n > max_rows:
+            train = stratified_subsample(train, max_rows / n, seed=seed)
+            n = train.count()
+        weighted = with_class_weights(train.select("row_id", "label", "features"))
+        folded = weighted if len(grid) == 1 else stratified_folds(weighted, folds, seed=seed)
+        folded = folded.withColumn("label", F.col("label").cast("double"))
         data = folded.coalesce(max(1, math.ceil(n / ROWS_PER_TASK))).persist()
         try:
+            if len(grid) == 1:
+                chosen = logistic(*grid[0], n, max_iter).fit(data)
+                return TextClassifier(chosen, {"C": grid[0][0], "penalty": grid[0][1], "cv_f1": None, "n": n})
             in_fold = dict(data.groupBy("fold").count().collect())  # one row per fold
 
             def held_out_f1(job: tuple[int, int]) -> float:
@@ -169,20 +191,7 @@ class TextClassifier:
 
     def top_features(self, vocabulary: DataFrame, n: int = 20) -> DataFrame:
         """The n terms that speak most for and against class 1, side by side by rank."""
-        coefficients = self.coefficients(vocabulary)
-        up = coefficients.orderBy(F.col("coefficient").desc(), "term").limit(n)
-        down = coefficients.orderBy(F.col("coefficient").asc(), "term").limit(n)
-        ranked_up = up.select(
-            F.row_number().over(Window.partitionBy().orderBy(F.col("coefficient").desc(), "term")).alias("rank"),
-            F.col("term").alias("positive_term"),
-            F.col("coefficient").alias("positive_coefficient"),
-        )
-        ranked_down = down.select(
-            F.row_number().over(Window.partitionBy().orderBy(F.col("coefficient").asc(), "term")).alias("rank"),
-            F.col("term").alias("negative_term"),
-            F.col("coefficient").alias("negative_coefficient"),
-        )
-        return ranked_up.join(ranked_down, "rank").orderBy("rank")
+        return top_coefficients(self.coefficients(vocabulary), n)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().save(f"{path}/model")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tonelens.functions.text import char_count, content_tokens, ngrams, word_count
@@ -86,9 +87,15 @@ def length_histogram(df: DataFrame, text: str = "text", label: str = "label", bi
     )
 
 
-def term_frequency(df: DataFrame, stop_words: list[str], n: int = 1, text: str = "text", by: list[str] | None = None) -> DataFrame:
-    """Occurrences of each n-gram of content words, optionally per class."""
+def english_stop_words() -> list[str]:
+    """Spark ML's English list."""
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
+def term_frequency(df: DataFrame, stop_words: list[str] | None = None, n: int = 1, text: str = "text", by: list[str] | None = None) -> DataFrame:
+    """Occurrences of each n-gram of content words, optionally per class; without a list, English stop words go."""
     keys = by or []
+    stop_words = english_stop_words() if stop_words is None else stop_words
     grams = ngrams(F.col("_tokens"), n)
     return (
         df.select(*keys, content_tokens(F.col(text), stop_words).alias("_tokens"))
@@ -99,7 +106,7 @@ def term_frequency(df: DataFrame, stop_words: list[str], n: int = 1, text: str =
     )
 
 
-def top_ngrams(df: DataFrame, stop_words: list[str], n: int = 1, k: int = 20, text: str = "text", label: str = "label") -> DataFrame:
+def top_ngrams(df: DataFrame, stop_words: list[str] | None = None, n: int = 1, k: int = 20, text: str = "text", label: str = "label") -> DataFrame:
     """The k most frequent n-grams of each class; equal counts rank alphabetically.
 
     The ranked filter is pushed below the shuffle (window group limit): a class contributes k rows per task.

@@ -12,7 +12,8 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of ``spark.checkpoint.dir``; never reused, so a retried job cannot meet old files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="tonelens-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -15,9 +15,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = RAW_SCHEMA) -> Data
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def with_row_order(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number rows by file and position.  Put it right behind the scan; the numbers hold while the files do."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def with_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """Where a row stands: file, block, place in the block.  Put it right behind the scan.
+
+    Positions order the rows as their files do, however the files are cut into tasks.
+    """
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn(name, place)
+
+
+def with_text_id(df: DataFrame, text: str = "text", name: str = "row_id") -> DataFrame:
+    """Number rows by their text, which must be distinct: the same numbers on every layout and after every rewrite."""
+    return df.withColumn(name, F.xxhash64(text))
 
 
 def write_splits(df: DataFrame, path: str, fmt: str = "csv") -> None:

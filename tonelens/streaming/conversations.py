@@ -3,57 +3,60 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tonelens.functions.text import strip_blanks
-from tonelens.operators.conversation import COUNT_COLS, RECENT, WINDOW, rolling_verdicts, severity_points, verdict_columns
+from tonelens.operators.conversation import COUNT_COLS, RECENT, WINDOW, severity_points, verdict_columns
 from tonelens.operators.lexicon import DEFAULT_LEXICON, Lexicon
 from tonelens.operators.messages import score_messages
-from tonelens.plans.workdir import materialise
 
 _STATE = "seen array<struct<ts: timestamp, turn: bigint, label: string, severity: string>>"
 _EMIT_ROWS = 10_000
 
 
-def _keep_last(idle_ms: int):
-    idle = timedelta(milliseconds=idle_ms)
+def _milliseconds(interval: str) -> int:
+    """Length of an interval such as ``10 minutes``."""
+    return int(pd.Timedelta(interval) / pd.Timedelta(milliseconds=1))
+
+
+def _windows(idle_ms: int, late_ms: int):
+    idle = np.timedelta64(idle_ms, "ms")
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Per conversation: remember the last five scored messages and emit the window after each new one.
+        """Per conversation: the window of every new message, from the messages before it in time.
 
-        New messages must be taken in time order, so those of one conversation in one micro-batch are sorted here;
-        what a micro-batch may hold is bounded by the source's rate limit (``max_files`` of the file source).  For
-        conversations that are too large for that there is :func:`start_audit`.
+        The state keeps the messages that a later one may still need: those not older than the watermark allows, and
+        the four before them.  A gap of more than the idle time starts a new window.  What a micro-batch may hold is
+        bounded by the source's rate limit (``max_files`` of the file source).
         """
         if state.hasTimedOut:
             state.remove()
             return
-        seen = [tuple(r) for r in state.get[0]] if state.exists else []
-        fresh = pd.concat([b[["ts", "turn", "label", "severity"]] for b in batches], ignore_index=True)
-        fresh = fresh.sort_values(["ts", "turn"], kind="stable", ignore_index=True)
+        columns = ["ts", "turn", "label", "severity"]
+        known = pd.DataFrame([tuple(r) for r in state.get[0]] if state.exists else [], columns=columns)
+        parts = [known.astype({"ts": "datetime64[us]"}).assign(new=False), *(b[columns].assign(new=True) for b in batches)]
+        rows = pd.concat([p for p in parts if len(p)], ignore_index=True).sort_values(["ts", "turn"], kind="stable", ignore_index=True)
+        at = rows["ts"].to_numpy().astype("datetime64[us]")
+        place = np.arange(len(rows))
+        begins = np.maximum.accumulate(np.where(np.append(True, np.diff(at) > idle), place, 0))
+        first = np.maximum(begins, place - (WINDOW - 1))
+        labels, severities, fresh = rows["label"].to_numpy(), rows["severity"].to_numpy(), np.flatnonzero(rows["new"])
         for start in range(0, len(fresh), _EMIT_ROWS):
-            part = fresh.iloc[start : start + _EMIT_ROWS]
-            labels, severities = [], []
-            for ts, turn, label, severity in part.itertuples(index=False):
-                at = ts.to_pydatetime()
-                if seen and at - seen[-1][0] > idle:
-                    seen = []  # as if the timeout had already removed it: batch boundaries do not matter
-                seen.append((at, int(turn), label, severity))
-                seen = sorted(seen, key=lambda r: (r[0], r[1]))[-WINDOW:]
-                labels.append([r[2] for r in seen])
-                severities.append([r[3] for r in seen])
-            yield part.assign(conv_id=key[0], labels=labels, severities=severities)[
-                ["conv_id", "ts", "turn", "label", "severity", "labels", "severities"]
-            ]
-        state.update((seen,))
-        last_ms = int(pd.Timestamp(seen[-1][0]).tz_localize("UTC").timestamp() * 1000)
-        state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
+            own = fresh[start : start + _EMIT_ROWS]
+            part = rows.iloc[own][columns].assign(conv_id=key[0])
+            part["labels"] = [labels[first[i] : i + 1] for i in own]
+            part["severities"] = [severities[first[i] : i + 1] for i in own]
+            yield part[["conv_id", *columns, "labels", "severities"]]
+        newest = int(at[-1].astype("datetime64[ms]").astype(int))
+        mark = min(state.getCurrentWatermarkMs(), newest)
+        needed = max(0, min(int(np.searchsorted(at, np.datetime64(mark, "ms"))), len(rows) - 1) - (WINDOW - 1))
+        state.update(([(t.to_pydatetime(), int(n), l, s) for t, n, l, s in rows.iloc[needed:][columns].itertuples(index=False)],))
+        state.setTimeoutTimestamp(max(newest + idle_ms + late_ms, state.getCurrentWatermarkMs() + 1))
 
     return step
 
@@ -100,10 +103,12 @@ def audit_stream(
 ) -> DataFrame:
     """The audit after every message of a stream ``(conv, turn, text, ts)``.
 
-    Messages are scored before the stateful step, so only label and severity are shuffled and kept; the state of a
-    conversation is five small rows.  A conversation idle for more than ``idle_ms`` starts afresh, and its state goes
-    once the watermark is that far past its last message.  Messages later than the watermark are dropped; a late turn within it is inserted in its place and
-    emits the window as it now stands.
+    Messages are scored before the stateful step, so only label and severity are shuffled and kept.  A message's window
+    is itself and the four before it in time that have arrived, back to a gap of more than ``idle_ms``; where messages
+    arrive in order of time it does not depend on how they are cut into batches.  A late one within the watermark gets
+    the window of its own time; windows that went out before it came stay as they are.  Messages behind the watermark
+    are dropped.  The state of a conversation is its messages since the watermark and four more, and goes once the
+    watermark is past the idle time after the last one.
     """
     scored = scored_turns(stream, lexicon, prob, conv, turn, text, ts)
     key_type = scored.schema["conv_id"].dataType.simpleString()
@@ -111,7 +116,7 @@ def audit_stream(
         scored.withWatermark("ts", late)
         .groupBy("conv_id")
         .applyInPandasWithState(
-            _keep_last(idle_ms),
+            _windows(idle_ms, _milliseconds(late)),
             f"conv_id {key_type}, ts timestamp, turn bigint, label string, severity string, "
             "labels array<string>, severities array<string>",
             _STATE,
@@ -120,50 +125,3 @@ def audit_stream(
         )
     )
     return window_verdicts(windows)
-
-
-def start_audit(
-    stream: DataFrame,
-    path: str,
-    checkpoint: str,
-    lexicon: Lexicon = DEFAULT_LEXICON,
-    prob: str | None = None,
-    conv: str = "conv_id",
-    turn: str = "turn",
-    text: str = "text",
-    ts: str = "ts",
-    idle: str = "1 hour",
-    chunk_seconds: int = 3600,
-    **trigger,
-) -> StreamingQuery:
-    """The audit after every message, for streams where one conversation may hold much of a batch.
-
-    Each batch is joined by the last five messages of every live conversation (a table, one sub-folder per batch) and
-    runs through the chunked windows of :func:`rolling_verdicts`, so no conversation has to fit one task.  Audits go
-    to ``path/audits``, one sub-folder per batch; a retried batch overwrites its own.  Messages further than ``idle``
-    behind the newest one leave the state.
-    """
-    scored = scored_turns(stream, lexicon, prob, conv, turn, text, ts)
-    schema = scored.schema
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = materialise(batch.withColumn("_new", F.lit(True)), "fresh-turns")
-        if batch_id > 0:
-            known = spark.read.schema(schema).parquet(f"{path}/state/{batch_id - 1}")
-        else:
-            known = spark.createDataFrame([], schema)
-        rows = fresh.unionByName(known.withColumn("_new", F.lit(False)))
-        audits = rolling_verdicts(rows, "conv_id", "turn", ts="ts", chunk_seconds=chunk_seconds, emit="_new")
-        audits.write.mode("overwrite").parquet(f"{path}/audits/batch={batch_id}")
-        newest = Window.partitionBy("conv_id").orderBy(F.col("ts").desc(), F.col("turn").desc())
-        last = rows.drop("_new").withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= WINDOW).drop("_rn")
-        oldest = rows.agg(F.max("ts") - F.expr(f"INTERVAL {idle}")).scalar()
-        last.filter(F.col("ts") >= oldest).write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
-
-    return (
-        scored.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .start()
-    )

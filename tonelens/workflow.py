@@ -17,19 +17,22 @@ from tonelens.sources import artifacts, corpus
 def prepare(spark: SparkSession, raw_path: str, out_path: str, test_size: float = 0.15, val_size: float = 0.15, seed: int = SEED, fmt: str = "csv") -> DataFrame:
     """JSON Lines -> cleaned, distinct, labelled texts -> three splits on disk.  Returns the split corpus.
 
-    The prepared corpus is written once, because the split reads it several times.
+    Of equal texts the first in the order of the files stays.  Rows are known by their text from then on, so that the
+    split, and later the folds, are the same however the files are cut.  The prepared corpus is written once, because
+    the split reads it several times.
     """
-    raw = corpus.with_row_order(corpus.read_jsonl(spark, raw_path))
-    ready = materialise(prepare_corpus(raw, "headline", "is_sarcastic", "row_id"), "corpus")
+    raw = corpus.with_position(corpus.read_jsonl(spark, raw_path))
+    prepared = prepare_corpus(raw, "headline", "is_sarcastic", "position").drop("row_id")
+    ready = materialise(corpus.with_text_id(prepared).select("row_id", "text", "label"), "corpus")
     split = three_way_split(ready, test_size, val_size, seed=seed)
     corpus.write_splits(split, out_path, fmt)
     return split
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """The three splits on disk as one corpus with row ids; a missing split is an error."""
+    """The three splits on disk as one corpus, rows known by their text; a missing split is an error."""
     parts = [df.withColumn("split", F.lit(name)) for name, df in corpus.read_splits(spark, path, fmt).items()]
-    whole = corpus.with_row_order(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    whole = corpus.with_text_id(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     return materialise(whole.select("row_id", "text", "label", "split"), "splits")
 
 
