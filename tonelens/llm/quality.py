@@ -20,7 +20,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tonelens.llm.common import SPACE, let, words_of
-from tonelens.plans.workdir import materialise
 
 #: Rows, and characters of each, that the cost of a rule is measured on.
 SAMPLE_ROWS = 256
@@ -131,8 +130,12 @@ def lazily(text: str = "text") -> Callable[[str], Column]:
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[Rule, ...]:
-    """The rules by rejections per second, most first, as measured one by one on a sample of bounded rows and width."""
-    sample = materialise(docs.limit(rows).select(F.substring(F.col(text), 1, chars).alias("text")), "rule-sample")
+    """The rules by rejections per second, most first, as measured one by one on a sample of bounded rows and width.
+
+    The sample is what the first scan tasks find: collecting a limit reads no more than it needs and shuffles nothing.
+    """
+    found = docs.select(F.substring(F.col(text), 1, chars).alias("text")).limit(rows).collect()
+    sample = docs.sparkSession.createDataFrame(found, "text string")
     of = lazily("text")
 
     def run(broken: Column) -> tuple[float, int]:
