@@ -213,6 +213,12 @@ def test_shards_are_the_best_contiguous_ones(spark, texts, shards):
     assert [s for _, s in sorted(shard_of.items())] == sorted(shard_of.values())
 
 
+def test_written_shards_are_the_assigned_ones(spark, docs, tmp_path):
+    sharding.write_shards(docs, f"{tmp_path}/shards", 3)
+    written = {(r["doc_id"], r["shard"]) for r in spark.read.parquet(f"{tmp_path}/shards").collect()}
+    assert written == {(r["doc_id"], r["shard"]) for r in sharding.assign_shards(docs, 3).collect()}
+
+
 def test_search_over_ranges_refines_to_groups():
     rng = random.Random(2)
     for _ in range(200):

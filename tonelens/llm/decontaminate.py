@@ -142,18 +142,18 @@ def _scan(docs: DataFrame, items: tuple[tuple[str, bytes], ...], window: int, te
     return docs.mapInArrow(run, schema)
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, most: int) -> list[tuple[tuple[str, bytes], ...]]:
-    """The items in runs of bounded size; the runs stay on the driver only as long as they are scanned for."""
+def _blocks(items: DataFrame, item_id: str, text: str, most: int) -> Iterator[tuple[tuple[str, bytes], ...]]:
+    """The items in runs of bounded size, one at a time; at least one run, which may be empty."""
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(text).cast("binary").alias("t"))
-    blocks: list[list[tuple[str, bytes]]] = [[]]
+    block: list[tuple[str, bytes]] = []
     size = 0
     for r in rows.filter(F.length("t") > 0).orderBy("i", "t").toLocalIterator():
-        if blocks[-1] and size + len(r["t"]) > most:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], bytes(r["t"])))
+        if block and size + len(r["t"]) > most:
+            yield tuple(block)
+            block, size = [], 0
+        block.append((r["i"], bytes(r["t"])))
         size += len(r["t"])
-    return [tuple(b) for b in blocks]
+    yield tuple(block)
 
 
 def find_items(
@@ -162,11 +162,10 @@ def find_items(
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``hit_words`` (runs of hit words), ``items`` (ids found, as strings),
     ``spans`` (the runs as character offsets) and ``contaminated``."""
-    out, blocks = docs.drop("n_hit", "contaminated"), _blocks(items, item_id, item_text, block_bytes)
-    for i, block in enumerate(blocks):
-        out = _scan(out, block, window, text, first=i == 0)
-        if i + 1 < len(blocks):
-            out = materialise(out, "item-hits")
+    blocks = _blocks(items, item_id, item_text, block_bytes)
+    out = _scan(docs.drop("n_hit", "contaminated"), next(blocks), window, text, first=True)
+    for block in blocks:
+        out = _scan(materialise(out, "item-hits"), block, window, text, first=False)
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
     return out.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
 

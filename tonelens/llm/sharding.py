@@ -113,6 +113,20 @@ def minimax_cuts(sized: DataFrame, shards: int) -> tuple[list[int], int]:
     return [ranges[i].low for i in fill(ranges, sure, shards, False)], sure
 
 
+def _shard_of(hash_of_text: Column, cuts: list[int]) -> Column:
+    shard = F.lit(0)
+    for cut in cuts:
+        shard = shard + (hash_of_text >= cut).cast("int")
+    return shard
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, text: str = "text") -> None:
+    """The documents in one folder per shard; a task writes its rows of every shard, so nothing is shuffled."""
+    size = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long")
+    cuts, _ = minimax_cuts(materialise(docs.select(F.xxhash64(F.col(text)).alias("_h"), size.alias("_size")), "shard-sizes"), shards)
+    docs.withColumn("shard", _shard_of(F.xxhash64(F.col(text)), cuts)).write.partitionBy("shard").parquet(path)
+
+
 def assign_shards(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
@@ -129,10 +143,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, text: str = "text") -> DataF
         "shard-sizes",
     )
     cuts, _ = minimax_cuts(slim.select(F.col(h).alias("_h"), F.col(size).alias("_size")), shards)
-    shard: Column = F.lit(0)
-    for cut in cuts:
-        shard = shard + (F.col(h) >= cut).cast("int")
-    rows = slim.withColumn("shard", shard)
+    rows = slim.withColumn("shard", _shard_of(F.col(h), cuts))
     counts = rows.groupBy("shard", part).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
