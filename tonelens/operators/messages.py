@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tonelens.functions import scores as S
-from tonelens.operators.lexicon import DEFAULT_LEXICON, LABELS, Lexicon
+from tonelens.operators.lexicon import DEFAULT_LEXICON, LABELS, MAX_LEXICON_ROWS, Lexicon
 from tonelens.operators.requests import admitted_messages
 
 TOXIC = ["Gaslighting", "Passive-Aggressive", "Sarcastic"]
@@ -37,9 +37,14 @@ def keyword_hits_indexed(df: DataFrame, lexicon: Lexicon, key: str, text: str =
 
     A keyword is filed under its first characters, ``GRAM`` of them or all if it has fewer; a text's distinct grams of
     the lengths in use meet only the keywords filed there, and ``contains`` decides.  Needs a unique ``key``.
+
+    A lexicon is an object of the driver, of at most ``MAX_LEXICON_ROWS`` entries here, so it is copied to all tasks and
+    the texts stay where they are.
     """
     spark = df.sparkSession
     entries = [(l, k, k[:GRAM]) for l in [*TOXIC, "Sincere"] for k in dict.fromkeys(lexicon.keyword_list(l)) if k]
+    if len(entries) > MAX_LEXICON_ROWS:
+        raise ValueError(f"a lexicon has at most {MAX_LEXICON_ROWS} keywords")
     filed = spark.createDataFrame(entries, "label string, keyword string, gram string")
     lengths = sorted({len(g) for _, _, g in entries})
     grams = [F.regexp_extract_all(F.col("_t"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
@@ -47,7 +52,7 @@ def keyword_hits_indexed(df: DataFrame, lexicon: Lexicon, key: str, text: str =
     hits = (
         df.select(key, F.lower(text).alias("_t"))
         .select(key, "_t", F.explode_outer(every).alias("gram"))
-        .join(filed, "gram")
+        .join(F.broadcast(filed), "gram")
         .filter(F.contains(F.col("_t"), F.col("keyword")))
         .groupBy(key)
         .agg(*[F.count_if(F.col("label") == l).cast("int").alias(f"{_SHORT[l]}_keywords") for l in [*TOXIC, "Sincere"]])

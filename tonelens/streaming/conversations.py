@@ -39,7 +39,7 @@ def _windows(idle_ms: int, late_ms: int):
             return
         columns = ["ts", "turn", "label", "severity"]
         known = pd.DataFrame([tuple(r) for r in state.get[0]] if state.exists else [], columns=columns)
-        parts = [known.astype({"ts": "datetime64[us]"}).assign(new=False), *(b[columns].assign(new=True) for b in batches)]
+        parts = [known.astype({"ts": "datetime64[us]", "turn": "int64"}).assign(new=False), *(b[columns].assign(new=True) for b in batches)]
         rows = pd.concat([p for p in parts if len(p)], ignore_index=True).sort_values(["ts", "turn"], kind="stable", ignore_index=True)
         at = rows["ts"].to_numpy().astype("datetime64[us]")
         place = np.arange(len(rows))
