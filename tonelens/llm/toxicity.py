@@ -195,6 +195,8 @@ def _fit_curve(weights: np.ndarray, toxic: np.ndarray, share: float) -> tuple[fl
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
         b = b + np.linalg.solve(hessian, gradient)
     ours = toxic.mean()
+    if b[1] < 0:  # a sample too small to tell: more toxic tokens never lower a score
+        b = np.array([np.log(ours / (1 - ours)), 0.0])
     return float(b[0] - np.log(ours / (1 - ours)) + np.log(share / (1 - share))), float(b[1])
 
 
