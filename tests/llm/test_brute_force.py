@@ -133,7 +133,9 @@ def _plain_components(texts):
     return {d: root(d) for d in texts}, {d: len(s) for d, s in sets.items()}
 
 
-def test_near_duplicates_are_those_of_all_pairs(spark, texts):
+@pytest.mark.parametrize("part", [2048, 8])
+def test_near_duplicates_are_those_of_all_pairs(spark, texts, monkeypatch, part):
+    monkeypatch.setattr(setsketch, "PART", part)
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
     group = {}
