@@ -28,6 +28,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -46,7 +47,7 @@ SHARD_TOKENS = 50_000
 #: Most words whose counts are sent to every task.
 HEAD = 300_000
 WINDOW = 256
-#: Entries of a task's counter before it hands them on.
+#: Entries of a task's counter before it hands them on, and words a task remembers.
 COUNTER_ENTRIES = 400_000
 END = b""
 
@@ -111,6 +112,20 @@ class Vocabulary(NamedTuple):
         return OUTPUTS - TAIL + _tail(word) if found is None else found
 
 
+class Symbols(dict):
+    """Word -> symbol, remembered up to a bound."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= COUNTER_ENTRIES:
+            self.clear()
+        self[word] = found = self.vocabulary.symbol(word)
+        return found
+
+
 def build_vocabulary(counts: DataFrame, head: dict[bytes, int]) -> Vocabulary:
     ranked = sorted(((-c, w) for w, c in head.items() if w != END))[: OUTPUTS - TAIL - 1]
     symbols = {END: 0, **{w: i + 1 for i, (_, w) in enumerate(ranked)}}
@@ -171,22 +186,34 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """Overwrites its argument."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def advance(inputs: np.ndarray, h: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, tuple]:
     """One step; ``inputs`` are embeddings times ``w`` plus ``b``.  Gates: reset, update, candidate."""
     n = HIDDEN
-    gates = _sigmoid(inputs[:, : 2 * n] + h @ p["u"][:, : 2 * n])
-    r, z = gates[:, :n], gates[:, n:]
-    pulled = h @ p["u"][:, 2 * n :]
-    c = np.tanh(inputs[:, 2 * n :] + r * pulled)
-    return h + z * (c - h), (r, z, pulled, c)
+    from_state = h @ p["u"]
+    gates = _sigmoid(from_state[:, : 2 * n] + inputs[:, : 2 * n])
+    r, z, pulled = gates[:, :n], gates[:, n:], from_state[:, 2 * n :]
+    c = r * pulled
+    c += inputs[:, 2 * n :]
+    np.tanh(c, out=c)
+    after = c - h
+    after *= z
+    after += h
+    return after, (r, z, pulled, c)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """Overwrites its argument."""
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
 
 
 def log_likelihood(h: np.ndarray, place: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
@@ -369,14 +396,15 @@ def score(docs: DataFrame, language: Language, counts: DataFrame, key: str = "do
         place = classes_of(vocabulary.log_share)
         part, done = TaskContext.get().partitionId() << 36, 0
         logs = {w: math.log10(c + 0.5) for w, c in head.items()}
+        symbol_of = Symbols(vocabulary)
         for whole in batches:
             for batch in slices(whole, "text", most_bytes=4 << 20, most_rows=1024):
                 words = [tokens_of(t) for t in utf8(batch, "text")]
                 lengths = np.array([len(w) for w in words])
-                symbols = np.fromiter((s for w in words for s in map(vocabulary.symbol, w)), np.int64, lengths.sum())
+                symbols = np.fromiter(map(symbol_of.__getitem__, chain.from_iterable(words)), np.int64, lengths.sum())
                 row = np.repeat(np.arange(len(words)), lengths)
                 # log10 of count plus a half; words outside the head are left to the join
-                known = np.fromiter((x for w in words for x in map(logs.get, w, [math.nan] * len(w))), float, len(row))
+                known = np.fromiter(map(logs.get, chain.from_iterable(words), repeat(math.nan)), float, len(row))
                 rare = np.isnan(known)
                 at_tail = symbols >= OUTPUTS - TAIL
                 unit = np.array(vocabulary.tail_unit)[np.where(at_tail, symbols - (OUTPUTS - TAIL), 0)]
