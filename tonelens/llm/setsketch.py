@@ -21,7 +21,7 @@ unrelated sets agree in one register of 4 000, so buckets do not fill up with st
 
 With 32 bands of 4 registers a pair at the threshold shares no bucket with probability 5e-6.
 
-Scale: the widest shuffles are 32 rows of 20 bytes a class and the texts, twice, to meet the classes in candidate pairs.
+Scale: the widest shuffles are 32 rows of 20 bytes a class and, twice, the texts of the classes in candidate pairs.
 No group is gathered; hot buckets and hubs are skewed join keys, which Spark splits.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; fewer than ``SHINGLE`` words are
@@ -52,7 +52,9 @@ FLOOR = 0.55
 #: Hashes sketched at once.
 BLOCK = 1 << 12
 #: Members of one part of a large bucket, about, and pairs compared at once.
-PART, PAIRS = 256, 1 << 16
+PART, PAIRS = 2048, 1 << 16
+#: Bits of the map that marks wanted ids.
+MARKS = 1 << 26
 
 _STEP, _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -164,10 +166,23 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return wide.mapInArrow(run, "a long, b long, likely double")
 
 
+def _marked(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows whose id may be in ``named``: few texts are then shuffled to meet it.
+
+    Ids mark bits of a map of fixed size, 2^20 words of 64 bits at most, which is copied to all tasks; so many ids that
+    the map fills up make it let everything through.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    word, mask = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {MARKS}L) & 63 AS INT))")
+    marks = named.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_marks"))
+    found = docs.withColumn("_word", word).join(F.broadcast(marks), "_word")
+    return found.filter(F.col("_marks").bitwiseAND(mask) != 0).drop("_word", "_marks")
+
+
 def _sets(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
     """``(id, hashes)`` of the documents named by ``pairs``."""
     named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(named, "id")
+    slim = _marked(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), named).join(named, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
