@@ -369,6 +369,38 @@ def test_rare_words_meet_their_counts(spark, docs, monkeypatch):
     assert all(r["base_score"] == pytest.approx(many[r["doc_id"]]["base_score"]) and r["n_known"] == r["n_tokens"] for r in few)
 
 
+def test_network_learns_from_all_tokens_however_the_table_is_cut(spark, docs, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "SHARD_TOKENS", 3000)
+    monkeypatch.setattr(recurrent_lm, "PIECE_TOKENS", 500)
+    long = spark.createDataFrame([(10**6, "aa bb " * 3000), (10**6, "aa bb " * 3000), (None, None)], "doc_id long, text string")
+    every = docs.union(long)
+    counts = recurrent_lm.count_tokens(every)
+    vocabulary = recurrent_lm.build_vocabulary(counts, recurrent_lm.most_frequent(counts, 1000))
+    words = Counter(w for r in every.collect() for w in recurrent_lm.tokens_of((r["text"] or "").encode()))
+    n = sum(words.values())
+    shards = {r["part"]: r for r in recurrent_lm._shards(every.coalesce(1), vocabulary, n, "doc_id", "text").collect()}
+    symbols = Counter(s for r in shards.values() for s in r["symbols"])
+    assert symbols == sum((Counter({vocabulary.symbol(w): c}) for w, c in words.items()), Counter())
+    assert len(shards) == -(-n // 3000) and max(len(r["symbols"]) for r in shards.values()) < 3 * 3000
+    assert all(sum(r["sizes"]) == len(r["symbols"]) and max(r["sizes"]) <= 500 for r in shards.values())
+    # rows with one key and text are dealt by task, all others by what they hold
+    cut = docs.repartition(7)
+    one, other = ({r["part"]: r["symbols"] for r in recurrent_lm._shards(d, vocabulary, n, "doc_id", "text").collect()} for d in (docs.coalesce(1), cut))
+    assert one == other
+
+
+@pytest.mark.parametrize("n", [1, 79, 1000, 6011])
+def test_a_pass_takes_every_token_once(monkeypatch, n):
+    rng = np.random.default_rng(0)
+    vocabulary = recurrent_lm.Vocabulary({}, [], np.log(rng.dirichlet(np.ones(recurrent_lm.OUTPUTS))))
+    place, taken, gradients = recurrent_lm.classes_of(vocabulary.log_share), [], recurrent_lm._gradients
+    symbols = rng.integers(0, 1000, n).astype(np.int32)
+    monkeypatch.setattr(recurrent_lm, "STRETCHES", 10)
+    monkeypatch.setattr(recurrent_lm, "_gradients", lambda ins, targets, *rest: taken.extend(targets.ravel()) or gradients(ins, targets, *rest))
+    recurrent_lm.train_shard(symbols, recurrent_lm.flat(recurrent_lm.initial(vocabulary)), place)
+    assert sorted(taken) == sorted(place[symbols])
+
+
 # -- toxicity ---------------------------------------------------------------------------------------------------
 
 def test_marginals_are_those_of_all_taggings():

@@ -9,9 +9,10 @@ and unknown words have probabilities too.  Symbols are dealt to ``CLASSES`` clas
 classes, then over the symbols of one class.
 
 A gated recurrent unit carries the state.  It is trained by backpropagation through ``STEPS`` tokens at a time, the state
-going on from one stretch to the next and cleared at a document's end.  Every scan partition of the training rows gives
-``SHARD_TOKENS`` tokens at most; each round trains a copy on every partition's tokens and averages the copies, weighted
-by tokens, in one aggregation.
+going on from one stretch to the next and cleared at a document's end.  All training tokens are used: documents, in
+pieces of at most ``PIECE_TOKENS``, are dealt by a hash to shards of about ``SHARD_TOKENS``, whose number follows the
+count of tokens and not the layout of the table.  Each round trains a copy on every shard and averages the copies,
+weighted by tokens, in one aggregation.
 
 Scoring is narrow but for rare words.  Counts of the ``HEAD`` most frequent words, a bounded table, go to all tasks; a
 word that is not among them leaves its task as (row, word, times) and meets its count in a join on the word.  State is
@@ -43,7 +44,9 @@ from tonelens.plans.workdir import materialise
 OUTPUTS, CLASSES, TAIL = 1024, 32, 96
 EMBED, HIDDEN = 16, 24
 STEPS, STREAMS, ROUNDS, RATE = 20, 16, 4, 0.01
-SHARD_TOKENS = 50_000
+#: Stretches that a pass over a shard takes: more tokens are read side by side.
+STRETCHES = 156
+SHARD_TOKENS, PIECE_TOKENS = 800_000, 50_000
 #: Most words whose counts are sent to every task.
 HEAD = 300_000
 WINDOW = 256
@@ -275,19 +278,28 @@ def _gradients(inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np
     return {k: v / len(place) for k, v in g.items()}, h
 
 
-def train_shard(symbols: np.ndarray, params: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Weights after one pass over a shard's tokens in ``STREAMS`` parallel streams (Adam); 0 is the end token."""
-    streams = max(1, min(STREAMS, len(symbols) // (4 * STEPS)))
-    length = len(symbols) // streams
-    table = symbols[: length * streams].reshape(streams, length).T
-    previous = np.vstack([np.zeros((1, streams), table.dtype), table[:-1]])
+def train_shard(symbols: np.ndarray, params: np.ndarray, place: np.ndarray, heads: np.ndarray | None = None) -> np.ndarray:
+    """Weights after one pass over all of a shard's tokens (Adam); 0 is the end token, pieces begin at ``heads``.
+
+    Parallel streams follow the shard's length beyond ``STREAMS``, so that a pass takes about ``STRETCHES`` stretches.
+    """
+    streams = max(1, min(max(STREAMS, len(symbols) // (STRETCHES * STEPS)), len(symbols) // (4 * STEPS)))
+    length, left = divmod(len(symbols), streams)
+    starts = np.arange(streams) * length + np.minimum(np.arange(streams), left)
+    previous = np.concatenate([np.zeros(1, symbols.dtype), symbols[:-1]])
+    previous[starts[starts < len(symbols)]] = 0
+    if heads is not None:
+        previous[heads] = 0
     values = params.astype(np.float32)
     first, second = np.zeros_like(values), np.zeros_like(values)
     h = np.zeros((streams, HIDDEN), np.float32)
-    for n, t in enumerate(range(0, length, STEPS), start=1):
+    # the first ``left`` streams are one token longer: a last stretch of one step
+    stretches = [(t, min(t + STEPS, length), streams) for t in range(0, length, STEPS)] + [(length, length + 1, left)] * (left > 0)
+    for n, (start, stop, running) in enumerate(stretches, start=1):
         p = shaped(values)
-        ins = previous[t : t + STEPS]
-        g, h = _gradients(ins, place[table[t : t + STEPS]], ins == 0, h, p)
+        at = np.arange(start, stop)[:, None] + starts[:running]
+        ins = previous[at]
+        g, h = _gradients(ins, place[symbols[at]], ins == 0, h[:running], p)
         g = flat(g)
         g *= min(1.0, 1.0 / (np.linalg.norm(g) + 1e-9))
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
@@ -295,34 +307,59 @@ def train_shard(symbols: np.ndarray, params: np.ndarray, place: np.ndarray) -> n
     return values
 
 
-def _shards(docs: DataFrame, vocabulary: Vocabulary, text: str) -> DataFrame:
-    """``(part, symbols)``: the first tokens of every scan partition, as symbols, whole documents but for the last."""
+def _pieces(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str) -> DataFrame:
+    """``(h, copy, piece, symbols)``: all symbols of every row, long texts in pieces.
+
+    ``h`` is a hash of key and text; ``copy`` tells rows of one task apart that have the same, so that they spread too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken: list[int] = []
+        symbol_of, seen = Symbols(vocabulary), Counter()
         for whole in batches:
-            for batch in slices(whole, "text") if len(taken) < SHARD_TOKENS else ():
-                for t in utf8(batch, "text"):
-                    if len(taken) < SHARD_TOKENS:
-                        taken += map(vocabulary.symbol, tokens_of(t))
-        found = [np.array(taken[:SHARD_TOKENS], np.int32)] if taken else []
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(found), pa.int64()), lists(found, pa.int32())], names=["part", "symbols"])
+            for batch in slices(whole, "text"):
+                names, found = [], []
+                for h, t in zip(batch.column("h").to_pylist(), utf8(batch, "text"), strict=True):
+                    words = tokens_of(t)
+                    symbols = np.fromiter(map(symbol_of.__getitem__, words), np.int32, len(words))
+                    for piece, start in enumerate(range(0, len(symbols), PIECE_TOKENS)):
+                        names.append((h, seen[h], piece))
+                        found.append(symbols[start : start + PIECE_TOKENS])
+                    seen[h] += 1
+                if len(seen) >= COUNTER_ENTRIES:
+                    seen.clear()
+                h, copy, piece = zip(*names, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h, pa.int64()), pa.array(copy, pa.int64()), pa.array(piece, pa.int64()), lists(found, pa.int32())],
+                    names=["h", "copy", "piece", "symbols"],
+                )
+
+    slim = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
+    return slim.mapInArrow(run, "h long, copy long, piece long, symbols array<int>")
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "part long, symbols array<int>")
+
+def _shards(docs: DataFrame, vocabulary: Vocabulary, n: int, key: str, text: str) -> DataFrame:
+    """``(part, symbols, sizes)``: the ``n`` training tokens as rows of about ``SHARD_TOKENS``, and the sizes of their pieces."""
+    count = max(1, -(-n // SHARD_TOKENS))
+    dealt = _pieces(docs, vocabulary, key, text).select(
+        F.pmod(F.xxhash64("h", "copy", "piece"), F.lit(count)).alias("part"), F.struct("h", "copy", "piece", "symbols").alias("p")
+    )
+    held = dealt.repartition(count, "part").groupBy("part").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    symbols = F.transform("p", lambda p: p["symbols"])
+    return held.select("part", F.flatten(symbols).alias("symbols"), F.transform(symbols, F.size).alias("sizes"))
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
-    """Weights averaged over the copies trained on the partitions' shards, ``rounds`` times."""
-    shards = materialise(_shards(docs, vocabulary, text), "lm-shards").repartition("part")
+def train(docs: DataFrame, vocabulary: Vocabulary, n: int, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+    """Weights averaged over the copies trained on the shards of all ``n`` tokens, ``rounds`` times."""
+    shards = materialise(_shards(docs, vocabulary, n, key, text), "lm-shards")
     place, params = classes_of(vocabulary.log_share), flat(initial(vocabulary))
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], start=params) -> Iterator[pa.RecordBatch]:
             total, weight = np.zeros(len(start)), 0
             for batch in batches:
-                for symbols in batch.column("symbols"):
-                    ids = symbols.values.to_numpy()
-                    total += len(ids) * train_shard(ids, start, place)
+                for symbols, sizes in zip(batch.column("symbols"), batch.column("sizes"), strict=True):
+                    ids, sizes = symbols.values.to_numpy(), sizes.values.to_numpy()
+                    total += len(ids) * train_shard(ids, start, place, np.cumsum(sizes) - sizes)
                     weight += len(ids)
             n = len(start) if weight else 0
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total[:n]), pa.array(np.full(n, weight))], names=["i", "v", "n"])
@@ -372,13 +409,13 @@ class Language(NamedTuple):
     v: int
 
 
-def fit(docs: DataFrame, text: str = "text") -> tuple[Language, DataFrame]:
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Language, DataFrame]:
     """The model of the training rows, and the counts of all their tokens."""
     counts = materialise(count_tokens(docs, text), "token-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = most_frequent(counts, HEAD)
     vocabulary = build_vocabulary(counts, head)
-    return Language(vocabulary, head, train(docs, vocabulary, text), n, v), counts
+    return Language(vocabulary, head, train(docs, vocabulary, n, key, text), n, v), counts
 
 
 def score(docs: DataFrame, language: Language, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
