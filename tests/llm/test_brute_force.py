@@ -215,6 +215,27 @@ def test_shards_are_the_best_contiguous_ones(spark, texts, shards):
     assert [s for _, s in sorted(shard_of.items())] == sorted(shard_of.values())
 
 
+@pytest.mark.parametrize("hot", [0.0, 0.34, 0.6])
+def test_a_hot_text_does_not_bring_the_groups_to_the_driver(spark, monkeypatch, hot):
+    groups = 100_000
+    table = spark.range(groups).select(F.xxhash64("id").alias("_h"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(500)) + 1).alias("_size"))
+    sizes = {r["_h"]: r["_size"] for r in table.collect()}
+    if hot:
+        middle, each = sorted(sizes)[groups // 3] + 1, int(sum(sizes.values()) * hot / (1 - hot)) // 1000
+        table = table.union(spark.range(1000).select(F.lit(middle).alias("_h"), F.lit(each).alias("_size")))
+        sizes[middle] = each * 1000
+    collected, collect = [], sharding.collect_bounded
+    monkeypatch.setattr(sharding, "collect_bounded", lambda *a: collected.append(rows := collect(*a)) or rows)
+    cuts, capacity = sharding.minimax_cuts(table, 8)
+    every = [sharding.Range(h, h, n) for h, n in sorted(sizes.items())]
+    assert capacity == sharding.least_capacity(every, 8, divisible=False)
+    loads = Counter()
+    for r in every:
+        loads[sum(r.low >= c for c in cuts)] += r.size
+    assert max(loads.values()) == capacity and len(cuts) < 8
+    assert sum(map(len, collected)) < 0.2 * groups and len(collected) < 12
+
+
 def test_written_shards_are_the_assigned_ones(spark, docs, tmp_path):
     sharding.write_shards(docs, f"{tmp_path}/shards", 3)
     written = {(r["doc_id"], r["shard"]) for r in spark.read.parquet(f"{tmp_path}/shards").collect()}

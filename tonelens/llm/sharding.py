@@ -4,11 +4,12 @@ Equal texts form a group that no cut may divide; groups are ordered by a 64-bit
 shard capacity that the order allows is found by binary search, each candidate checked greedily: fill a shard until
 the next group does not fit.
 
-The groups never reach the driver.  It sees a histogram: the order cut into ranges of the hash, each with its bytes
+No more than a bounded part of the groups reaches the driver.  It sees a histogram: the order cut into ranges of the hash, each with its bytes
 and its least and greatest hash.  A range with one hash is a group.  With ranges taken whole the search gives a
 capacity that surely works; with ranges that hold several groups taken as divisible, one that no partition can beat.
-While the two differ, the ranges in which a cut of any capacity between them may fall are cut finer.  A round costs
-one pass over (hash, size) and ends after 64 / ``BITS`` rounds at the latest, when every range is a group.
+Groups over a part in ``shards`` << ``BITS`` of the bytes are ranges of their own from the start.  While the two
+capacities differ, the ranges in which a cut of one of them falls, and the next on either side, are cut finer: at most
+six a shard.  A round costs one pass over (hash, size); each resolves further bits of ranges that hold a cut.
 
 Shards are ranges of the hash, so a row's shard is a comparison with at most ``shards - 1`` constants.  Slots count
 rows by the scan partition they came from, then add the partition's offset, so that a group of any share is numbered by
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
 
 from tonelens.llm.common import free_name
 from tonelens.plans.sizing import collect_bounded
@@ -78,38 +79,57 @@ def least_capacity(ranges: list[Range], shards: int, divisible: bool) -> int:
     return low
 
 
-def _histogram(sized: DataFrame, shift: int, within: list[Range] | None) -> list[Range]:
-    """Ranges of hashes that agree above the lowest ``shift`` bits, those inside ``within`` if given."""
-    if within is not None:
-        inside = F.lit(False)
-        for r in within:
-            inside = inside | F.col("_h").between(r.low, r.high)
-        sized = sized.filter(inside)
-    by = F.shiftright(F.col("_h"), shift).alias("_b")
-    found = sized.groupBy(by).agg(F.min("_h").alias("low"), F.max("_h").alias("high"), F.sum("_size").alias("size"))
-    most = (len(within) if within else 1) << BITS
+def _heavy(sized: DataFrame, shards: int) -> list[int]:
+    """Hashes of the groups over one part in ``shards << BITS`` of the bytes, in order; fewer than that many."""
+    total = sized.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    groups = sized.groupBy("_h").agg(F.sum("_size").alias("s")).filter(F.col("s") * (shards << BITS) > total)
+    return sorted(r["_h"] for r in collect_bounded(groups.select("_h"), shards << BITS, "heavy groups"))
+
+
+def _histogram(sized: DataFrame, heavy: list[int]) -> list[Range]:
+    """Ranges of hashes that agree in the highest ``BITS`` bits, cut again before and after each of ``heavy``."""
+    bins: dict[int, list[int]] = {}
+    for h in heavy:
+        bins.setdefault(h >> 64 - BITS, []).append(h)
+    known = sized.sparkSession.createDataFrame([*bins.items()], "_b long, _heavy array<long>")
+    held = F.coalesce("_heavy", F.array().cast("array<long>"))
+    place = 2 * F.size(F.filter(held, lambda x: x < F.col("_h"))) + F.array_contains(held, F.col("_h")).cast("int")
+    binned = sized.withColumn("_b", F.shiftright("_h", 64 - BITS)).join(F.broadcast(known), "_b", "left")
+    return _ranges(binned.groupBy("_b", place.alias("_p")), (1 << BITS) + 2 * len(heavy))
+
+
+def _finer(sized: DataFrame, within: list[Range]) -> list[Range]:
+    """``within`` cut by the next ``BITS`` bits in which the hashes of each differ."""
+    index, bucket = F.lit(None).cast("int"), F.lit(None).cast("long")
+    for i, r in enumerate(within):
+        inside = F.col("_h").between(r.low, r.high)
+        index = F.when(inside, i).otherwise(index)
+        bucket = F.when(inside, F.shiftright("_h", max(0, (r.low ^ r.high).bit_length() - BITS))).otherwise(bucket)
+    inside = sized.select("_h", "_size", index.alias("_i")).filter(F.col("_i").isNotNull())
+    return _ranges(inside.groupBy("_i", bucket.alias("_b")), len(within) << BITS)
+
+
+def _ranges(grouped: GroupedData, most: int) -> list[Range]:
+    found = grouped.agg(F.min("_h").alias("low"), F.max("_h").alias("high"), F.sum("_size").alias("size"))
     return sorted(Range(r["low"], r["high"], r["size"]) for r in collect_bounded(found, most, "ranges of the order"))
 
 
 def minimax_cuts(sized: DataFrame, shards: int) -> tuple[list[int], int]:
     """First hash of every shard but the first, and the capacity; ``sized`` has ``_h`` and ``_size`` and is read per round."""
-    shift = 64 - BITS
-    ranges = _histogram(sized, shift, None)
+    ranges = _histogram(sized, _heavy(sized, shards))
     if not ranges:
         return [], 0
     while True:
         sure = least_capacity(ranges, shards, divisible=False)
         bound = least_capacity(ranges, shards, divisible=True)
-        if sure == bound or all(r.atomic for r in ranges) or shift == 0:
-            break
-        tight, loose = fill(ranges, bound, shards, True), fill(ranges, sure, shards, True)
-        loose += [len(ranges) - 1] * (len(tight) - len(loose))
-        doubtful = sorted({i for a, b in zip(tight, loose) for i in range(a, min(b + 2, len(ranges))) if not ranges[i].atomic})
-        if not doubtful:
+        if sure == bound:
             break
-        shift = max(0, shift - BITS)
-        finer = _histogram(sized, shift, [ranges[i] for i in doubtful])
-        ranges = sorted([r for i, r in enumerate(ranges) if i not in set(doubtful)] + finer)
+        # a cut at ``bound`` falls inside a range of several groups, or ``bound`` were sure
+        cut = {*fill(ranges, bound, shards, True), *fill(ranges, sure, shards, True)}
+        near = {i + d for i in cut for d in (-1, 0, 1)} & {*range(len(ranges))}
+        doubtful = sorted(i for i in near if not ranges[i].atomic)
+        finer = _finer(sized, [ranges[i] for i in doubtful])
+        ranges = sorted([r for i, r in enumerate(ranges) if i not in near or r.atomic] + finer)
     return [ranges[i].low for i in fill(ranges, sure, shards, False)], sure
 
 
