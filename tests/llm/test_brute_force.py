@@ -422,6 +422,27 @@ def test_a_pass_takes_every_token_once(monkeypatch, n):
     assert sorted(taken) == sorted(place[symbols])
 
 
+def test_head_is_full_and_holds_the_end(spark, monkeypatch):
+    words = [f"w{i:03}".encode() for i in range(200)]
+    rows = [(bytearray(w), 1) for w in words[2:]] + [(bytearray(w), 7) for w in words[:2]] + [(bytearray(b""), 1)]
+    counts = spark.createDataFrame(rows, "word binary, c long").repartition(3)
+    assert recurrent_lm.most_frequent(counts, 10) == {b"": 1, **{w: 7 if i < 2 else 1 for i, w in enumerate(words[:9])}}
+    assert recurrent_lm.most_frequent(counts, 2) == {b"": 1, words[0]: 7}
+    assert len(recurrent_lm.most_frequent(counts, 1000)) == 201
+    monkeypatch.setattr(recurrent_lm, "HEAD", 10)
+    docs = spark.createDataFrame([(1, " ".join(f"once{i}" for i in range(300)))], "doc_id long, text string")
+    language, found = recurrent_lm.fit(docs)
+    assert b"" in language.head
+    row = recurrent_lm.score(docs, language, found).first()
+    p, v = recurrent_lm.shaped(language.weights), language.vocabulary
+    tokens = recurrent_lm.tokens_of(" ".join(f"once{i}" for i in range(300)).encode())
+    symbols = np.array([v.symbol(t) for t in tokens])
+    first = recurrent_lm.OUTPUTS - recurrent_lm.TAIL
+    inside = sum(v.tail_unit[s - first] + np.log10(1.5) for s in symbols if s >= first)
+    expected = recurrent_lm.sequence_scores(symbols, np.array([len(symbols)]), p, recurrent_lm.classes_of(v.log_share))[0] + inside
+    assert row["score"] == pytest.approx(expected, rel=1e-6)
+
+
 # -- toxicity ---------------------------------------------------------------------------------------------------
 
 def test_marginals_are_those_of_all_taggings():

@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tonelens.llm.common import Steps, lists, slices, utf8
+from tonelens.plans.ranking import first_by
 from tonelens.plans.sizing import collect_bounded
 from tonelens.plans.workdir import materialise
 
@@ -84,17 +85,30 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """The words of the highest counts, as many as fit into ``most`` by whole steps of the logarithm of the count."""
+    """The ``most`` words of the highest counts, the least words first among those of one count; the end always."""
+    words = counts.filter(F.col("word") != F.lit(END))
     level = F.floor(F.log2("c") * 16)
-    steps = sorted(((r["s"], r["n"]) for r in collect_bounded(counts.groupBy(level.alias("s")).agg(F.count("*").alias("n")), 1100, "count levels")), reverse=True)
-    least, total = None, 0
+    steps = sorted(((r["s"], r["n"]) for r in collect_bounded(words.groupBy(level.alias("s")).agg(F.count("*").alias("n")), 1100, "count levels")), reverse=True)
+    most -= 1
+    cut, total = None, 0
     for step, n in steps:
         if total + n > most:
+            cut = step
             break
-        least, total = step, total + n
-    if least is None:
-        return {}
-    return {bytes(r["word"]): r["c"] for r in collect_bounded(counts.filter(level >= least), most, "frequent words")}
+        total += n
+    taken = words
+    if cut is not None:
+        # counts are whole numbers: a level of many counts is one of high counts, which few words reach
+        exact = words.filter(level == cut).groupBy("c").agg(F.count("*").alias("n"))
+        least = 0
+        for r in exact.orderBy(F.desc("c")).toLocalIterator():
+            least = r["c"]
+            if total + r["n"] > most:
+                break
+            total += r["n"]
+        taken = words.filter(F.col("c") > least).union(first_by(words.filter(F.col("c") == least), most - total, "word"))
+    found = collect_bounded(taken.union(counts.filter(F.col("word") == F.lit(END))), most + 1, "frequent words")
+    return {bytes(r["word"]): r["c"] for r in found}
 
 
 def _tail(word: bytes) -> int:
