@@ -30,8 +30,6 @@ from pyspark.sql import DataFrame, functions as F
 from tonelens.llm.common import slices, utf8
 
 RULES = ("first", "last", "most", "shares")
-#: Characters that are encoded in one call; longer texts are cut where a line break is followed by a letter or digit.
-PIECE_CHARS = 400_000
 
 
 class Encoder:
