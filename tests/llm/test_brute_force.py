@@ -481,6 +481,23 @@ def test_toxic_words_are_learnt_and_found(spark):
             assert {*text[s["start"] : s["stop"]].lower().replace("!", "").split()} <= {"vile", "nasty", "foul"}
 
 
+def test_toxic_words_late_in_long_texts_are_learnt(spark, monkeypatch):
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(400)]
+    text = {i: [rng.choice(words) for _ in range(3500 if i % 20 == 0 else 600)] for i in range(120)}
+    for i in range(0, 120, 20):
+        text[i] += [w for _ in range(40) for w in ("vile", rng.choice(words))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in text.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in text], "doc_id long, toxic int")
+    assert all(len(" ".join(text[i][:3500])) > 20_000 for i in range(0, 120, 20))
+    assert toxicity.fit(docs, labels).weights.get(b"vile", 0) > 0
+    read, fit_field = [], toxicity._fit_field
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 80_000)
+    monkeypatch.setattr(toxicity, "_fit_field", lambda texts, toxic: read.extend(texts) or fit_field(texts, toxic))
+    toxicity.fit(docs, labels)
+    assert {*map(tuple, read)} <= {*map(tuple, ([w.encode() for w in t] for t in text.values()))} and 0 < sum(len(t) > 3500 for t in read) < 6
+
+
 # -- decontamination and quality --------------------------------------------------------------------------------
 
 def test_blocks_of_items_give_one_result(spark, docs):

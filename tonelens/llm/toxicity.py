@@ -4,8 +4,8 @@ Tokens are runs of ASCII letters, digits and anything outside ASCII, A to Z lowe
 clean and toxic.  A token's features are its word and its prefixes of 4 and 5 bytes; a feature has one weight, and pairs
 of neighbouring states have one each.
 
-``fit`` reads at most ``FIT_ROWS`` labelled rows of each class, at most ``FIT_BYTES`` of each text.  Labels are of
-documents; tokens get theirs from them: a token of a toxic document is toxic if one of its features is found in significantly more
+``fit`` reads at most ``FIT_ROWS`` labelled rows of each class, whole texts in the order of a hash of their keys, as
+many as fit into ``FIT_BYTES`` for each class; no text is cut.  Labels are of documents; tokens get theirs from them: a token of a toxic document is toxic if one of its features is found in significantly more
 settings of toxic documents than of clean ones.  The field's log-likelihood is climbed by gradients from
 forward-backward passes over windows of ``FIT_WINDOW`` tokens.
 
@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tonelens.llm.common import Steps, slices, utf8
 from tonelens.llm.decontaminate import WORD, words_of
+from tonelens.plans.sizing import collect_bounded
 
 FIT_ROWS = 2000
-FIT_BYTES = 20_000
+FIT_BYTES = 40_000_000
 FIT_WINDOW = 96
 FIT_STEPS = 60
 #: Least log-likelihood ratio and ratio of shares for a feature that marks toxic tokens.
@@ -211,8 +212,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(rows)
         wanted = part if wanted is None else wanted.union(part)
-    cut = F.substring(F.col(text).cast("binary"), 1, FIT_BYTES).alias("t")
-    chosen = docs.select(F.col(key).alias("k"), cut).join(F.broadcast(wanted), "k")  # 2 * rows keys at most
+    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).alias("n")
+    sized = docs.select(F.col(key).alias("k"), size).join(F.broadcast(wanted), "k").groupBy("k", "y").agg(F.sum("n").alias("n"))
+    room, keys = {0: FIT_BYTES, 1: FIT_BYTES}, []
+    for r in sorted(collect_bounded(sized.withColumn("h", F.xxhash64("k")), 2 * rows, "labelled rows"), key=lambda r: (r["h"], r["k"])):
+        if r["n"] <= room[r["y"]]:
+            room[r["y"]] -= r["n"]
+            keys.append((r["k"], r["y"]))
+    taken = docs.sparkSession.createDataFrame(keys, wanted.schema)
+    chosen = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).join(F.broadcast(taken), "k")
     sample = sorted((r["k"], r["y"], words_of(bytes(r["t"] or b""))) for r in chosen.collect())
     texts, toxic = [t for _, _, t in sample], np.array([y for _, y, _ in sample])
     if len(set(toxic.tolist())) < 2 or not any(texts):
