@@ -86,3 +86,27 @@ r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_i
 c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
+
+ORACLES["op13_phrase_mining"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+t AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, words[i : i + m - 1] AS p FROM (
+    SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(words) >= m)),
+f AS (SELECT lang, p, count(*)::HUGEINT AS f FROM g GROUP BY lang, p HAVING count(*) >= 100),
+c AS (
+  SELECT x.lang, x.p, x.f AS a, k, u.f AS l, v.f AS r, n, 1000 * x.f * n // (u.f * v.f) AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM f) x
+  JOIN f u ON u.lang = x.lang AND u.p = x.p[1:k] JOIN f v ON v.lang = x.lang AND v.p = x.p[k + 1:] JOIN t ON t.lang = x.lang),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, p[s : s + m - 1] AS p, max(f) AS most FROM (
+    SELECT *, unnest(range(1, len(p) - m + 2)) AS s FROM (SELECT *, unnest(range(2, len(p))) AS m FROM f)) GROUP BY ALL),
+k AS (SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM b LEFT JOIN i ON i.lang = b.lang AND i.p = b.p WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k) WHERE rank <= 2000
+"""

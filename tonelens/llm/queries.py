@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tonelens.llm import chat, decontaminate, packing, quality, recurrent_lm, setsketch, sharding, token_spans, toxicity, url_rules
+from tonelens.llm import chat, decontaminate, packing, phrases, quality, recurrent_lm, setsketch, sharding, token_spans, toxicity, url_rules
 from tonelens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,8 @@ def op9_sharding(spark, sf):
 @query
 def op10_chat_format(spark, sf):
     return chat.format_chats(read(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query
+def op13_phrase_mining(spark, sf):
+    return phrases.collocations(read(spark, sf, "documents", "lang", "text"), top=2000)
