@@ -1,8 +1,8 @@
 """Language of texts by averaged hashed subword embeddings and a linear softmax.
 
-Words are runs of letters, lower-cased.  A word's subwords are itself and its n-grams of ``GRAMS`` letters with a mark at
-both ends, each hashed into one of ``BUCKETS`` embeddings.  A text is the mean of the embeddings of all its subwords; a
-linear layer and a softmax turn it into probabilities of the languages.
+Texts are lower-cased; anything but a letter is a mark.  Subwords are the n-grams of ``GRAMS`` characters with letters
+inside, marks at most at their ends, each hashed into one of ``BUCKETS`` embeddings.  A text is the mean of the embeddings
+of all its subwords; a linear layer and a softmax turn it into probabilities of the languages.
 
 ``fit`` reads at most ``FIT_ROWS`` labelled rows and ``FIT_BYTES`` of text of each language, whole texts in the order of a
 hash.  They are cut into windows of ``WINDOW`` words, so that the model meets short texts as well, and embeddings and
@@ -10,8 +10,8 @@ layer are trained by stochastic gradient descent.  Every fifth text is left out
 fitted, by which probabilities mean what they say, and the least probability is found at which accepted windows are right
 in ``PRECISION`` of cases.  Below it a prediction is marked as not accepted.
 
-``predict`` is narrow: the layer is applied to the embeddings beforehand, so that a word is one row of sums, which each
-task remembers up to a bound.
+``predict`` is narrow: one pass over the characters of each whole text, many texts side by side in numpy.  Where there are
+fewer languages than dimensions the layer is applied to the embeddings beforehand.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is every text if no language was
 learnt; of equally likely languages the first by name; rows without a text or a language are not learnt from; repeated
@@ -21,9 +21,9 @@ table gives an empty one.
 
 from __future__ import annotations
 
-import re
-import zlib
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -38,39 +38,59 @@ FIT_ROWS, FIT_BYTES = 400, 600_000
 #: Most languages that are learnt.
 LANGUAGES = 200
 BUCKETS = 1 << 16
-GRAMS = (1, 2, 3, 4)
+GRAMS = (2, 3, 4)
 DIMENSIONS = 16
 WINDOW = 40
 BATCH, PASSES, RATE = 128, 3, 4.0
 CALIBRATION = 5
 PRECISION = 0.99
-CACHE_ENTRIES = 300_000
-#: Longer chunks are not remembered.
-CACHE_LENGTH = 64
+#: Bytes of text that are looked at side by side; a longer text is looked at whole.
+SLICE_BYTES = 1 << 19
+#: Odd 32-bit multipliers of the characters of an n-gram, and of its sum.
+PLACES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+MIX = 0x165667B1
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 RESULTS = ("lang_pred", "score", "accepted")
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word and of its n-grams."""
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in (marked + "=", *grams)]
-
-
-def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)])
+
+
+def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all subwords, gram size by gram size, and the number of the text of each."""
+    whole = "".join(f"\0{t}\0" for t in map(str.lower, texts))
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    letter = _letters()[points]
+    points = np.where(letter, points, np.uint32(0))
+    # a text's number at each of its characters; lower-casing may change lengths
+    number = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t.lower()) + 2 for t in texts])
+    buckets, owners = [], []
+    total, inside = points * np.uint32(PLACES[0]), None
+    for n in range(2, max(GRAMS) + 1):
+        ends = len(points) - n + 1
+        if ends <= 0:
+            break
+        total = total[:ends] + points[n - 1 :] * np.uint32(PLACES[n - 1])
+        inside = letter[:-1] | letter[1:] if n == 2 else letter[1:-1] if n == 3 else inside[:ends] & letter[n - 2 : -1]
+        if n in GRAMS:
+            at = np.flatnonzero(inside)
+            buckets.append(((total[at] + np.uint32(n)) * np.uint32(MIX)) >> np.uint32(32 - BUCKETS.bit_length() + 1))
+            owners.append(number[at])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 class Model(NamedTuple):
-    """``layer``: what each bucket adds to each language, times its number of subwords; ``floor``: least accepted score."""
+    """A text's scores are the mean of its subwords' rows of ``table`` times ``layer``, plus ``bias``."""
 
     languages: list[str]
+    table: np.ndarray
     layer: np.ndarray
     bias: np.ndarray
     temperature: float
-    floor: float
+    floor: float  # least accepted score
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -81,31 +101,26 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 class _Windows:
     """Windows of words as runs of bucket numbers."""
 
-    def __init__(self, texts: list[str], classes: list[int], doc: list[int]):
-        known: dict[str, int] = {}
-        words: list[int] = []
-        self.y, self.doc, ends = [], [], []
-        for text, y, d in zip(texts, classes, doc, strict=True):
-            found = [known.setdefault(w, len(known)) for w in words_of(text)]
-            for i in range(0, len(found), WINDOW):
-                words += found[i : i + WINDOW]
-                ends.append(len(words))
+    def __init__(self, texts: list[str], classes: list[int]):
+        pieces, self.y, self.doc = [], [], []
+        for i, (text, y) in enumerate(zip(texts, classes, strict=True)):
+            words = text.split()
+            for at in range(0, len(words), WINDOW):
+                pieces.append(" ".join(words[at : at + WINDOW]))
                 self.y.append(y)
-                self.doc.append(d)
-        rows = [np.array(subwords(w), np.int32) for w in known]
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.buckets = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        self.words, self.ends = np.array(words, np.int64), np.array([0, *ends])
-        self.y, self.doc = np.array(self.y, np.int64), np.array(self.doc, np.int64)
+                self.doc.append(i)
+        buckets, owners = subwords(pieces) if pieces else (np.zeros(0, np.uint32), np.zeros(0, np.int32))
+        self.buckets = buckets[np.argsort(owners, kind="stable")].astype(np.int64)
+        sizes = np.bincount(owners, minlength=len(pieces))
+        some = sizes > 0  # windows without a letter say nothing
+        self.sizes, self.starts = sizes[some], (np.cumsum(sizes) - sizes)[some]
+        self.y, self.doc = np.array(self.y, np.int64)[some], np.array(self.doc, np.int64)[some]
 
     def of(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of these windows end to end, and how many each has."""
-        words = np.concatenate([self.words[self.ends[i] : self.ends[i + 1]] for i in window])
-        per_window = np.repeat(np.arange(len(window)), self.ends[window + 1] - self.ends[window])
-        sizes = self.sizes[words]
-        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[words], sizes)
-        return self.buckets[at], np.bincount(per_window, sizes, len(window)).astype(np.int64)
+        sizes = self.sizes[window]
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[window], sizes)
+        return self.buckets[at], sizes
 
 
 def _means(vectors: np.ndarray, buckets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -160,6 +175,9 @@ def calibrated(scores: np.ndarray, y: np.ndarray, precision: float = PRECISION)
     return temperature, float(best[order[good[-1]]]) if len(good) else 1.0
 
 
+_NOTHING = Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)), np.zeros(0), 1.0, 0.0)
+
+
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = FIT_ROWS) -> Model:
     """Learns from a sample of whole labelled texts, in order of a hash of language and text."""
     known = docs.select(F.col(lang).cast("string").alias("y"), F.col(text).alias("t")).filter("y IS NOT NULL AND t IS NOT NULL")
@@ -173,56 +191,34 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = FIT
             room[r["y"]] -= r["n"]
             keys.append((r["y"], r["h"]))
     if not keys:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return _NOTHING
     # one row for each key, at most rows * LANGUAGES; equal texts are one
     wanted = docs.sparkSession.createDataFrame(sorted(set(keys)), "y string, h long")
     sample = known.join(F.broadcast(wanted), ["y", "h"]).groupBy("y", "h").agg(F.first("t").alias("t"))
     found = sorted(tuple(r) for r in collect_bounded(sample, LANGUAGES * rows, "labelled texts"))
     languages = sorted({y for y, _, _ in found})
-    windows = _Windows([t for _, _, t in found], [languages.index(y) for y, _, _ in found], list(range(len(found))))
+    windows = _Windows([t for _, _, t in found], [languages.index(y) for y, _, _ in found])
     if not len(windows.y):
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return _NOTHING
+    languages = [languages[y] for y in sorted(set(windows.y.tolist()))]  # those with a letter
+    windows.y = np.unique(windows.y, return_inverse=True)[1]
     aside = windows.doc % CALIBRATION == 0
     trained = np.flatnonzero(~aside) if len(set(windows.y[~aside])) == len(languages) else np.arange(len(aside))
     vectors, layer, bias = _train(windows, trained, len(languages))
     held = np.flatnonzero(aside)
     scores = np.concatenate([_means(vectors, *windows.of(held[i : i + 512])) @ layer + bias for i in range(0, len(held), 512)] or [np.zeros((0, 1))])
     temperature, floor = calibrated(scores, windows.y[held])
-    return Model(languages, (vectors @ layer).astype(np.float32), bias, temperature, floor)
-
-
-class _Chunks(dict):
-    """White-space separated chunk -> its row in ``sums``: what it adds to each language, and its number of subwords."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-        self.sums = np.zeros((1024, len(model.languages) + 1))
-
-    def row(self, chunk: str) -> np.ndarray:
-        buckets = [b for w in words_of(chunk) for b in subwords(w)]
-        return np.append(self.model.layer[buckets].sum(axis=0, dtype=float), len(buckets))
-
-    def __missing__(self, chunk: str) -> int:
-        if len(self) == len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self[chunk] = n = len(self)
-        self.sums[n] = self.row(chunk)
-        return n
-
-    def of(self, text: str) -> np.ndarray:
-        """Sums over a whole text."""
-        chunks = text.split()
-        if not chunks:
-            return np.zeros(self.sums.shape[1])
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        long = [c for c in chunks if len(c) > CACHE_LENGTH]
-        if long:
-            chunks = [c for c in chunks if len(c) <= CACHE_LENGTH]
-        total = sum((self.row(c) for c in long), np.zeros(self.sums.shape[1]))
-        rows = list(map(self.__getitem__, chunks))
-        return total + np.bincount(rows, minlength=1) @ self.sums[: max(rows, default=0) + 1] if len(rows) > 4 * len(self) else total + self.sums[rows].sum(axis=0)
+    table, layer = (vectors, layer) if len(languages) > DIMENSIONS else (vectors @ layer, np.eye(len(languages)))
+    return Model(languages, np.ascontiguousarray(table, np.float32), layer, bias, temperature, floor)
+
+
+def scores_of(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts have a letter, and the probabilities of the languages of those."""
+    buckets, owners = subwords(texts)
+    sizes = np.bincount(owners, minlength=len(texts))
+    some = sizes > 0
+    means = np.stack([np.bincount(owners, column[buckets], len(texts))[some] / sizes[some] for column in np.ascontiguousarray(model.table.T)], axis=1)
+    return some, softmax((means @ model.layer + model.bias) / model.temperature)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -230,20 +226,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [f for f in docs.schema if f.name.lower() not in RESULTS]
     names, judged = [f.name for f in kept], free_name(docs, "judged")
     asked = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").cast("string").alias(judged))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of at most DIMENSIONS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        chunks = _Chunks(model)
         for whole in batches:
-            for batch in slices(whole, judged):
-                sums = np.array([chunks.of(t or "") for t in batch.column(judged).to_pylist()])
-                some = sums[:, -1] > 0
-                best, score = np.zeros(len(sums), np.int64), np.zeros(len(sums))
-                if model.languages and some.any():
-                    p = softmax((sums[some, :-1] / sums[some, -1:] + model.bias) / model.temperature)
+            for batch in slices(whole, judged, most_bytes=SLICE_BYTES):
+                texts = [t or "" for t in batch.column(judged).to_pylist()]
+                some, best, score = np.zeros(len(texts), bool), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+                if model.languages:
+                    some, p = scores_of(texts, model)
                     best[some], score[some] = p.argmax(axis=1), p.max(axis=1)
-                some &= bool(model.languages)
                 called = [model.languages[i] if s else UNKNOWN for i, s in zip(best, some, strict=True)]
                 own = [batch.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(

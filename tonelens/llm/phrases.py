@@ -5,11 +5,12 @@ all contiguous occurrences of a phrase within pieces, overlaps included.
 
 1. Words are counted; those found ``least`` times get a number.  Texts become arrays of such numbers, written once: 0
    stands for a rarer word or the end of a piece, which no frequent phrase holds.
-2. Candidates of two words are the pairs of numbered words that stand side by side often enough; those of k words are
-   the overlaps of two frequent phrases of k - 1.  No frequent phrase is missed: its parts are as frequent.
+2. Candidates of k words are two frequent phrases of k - 1 that start at neighbouring positions often enough.  No
+   frequent phrase is missed: its first and last k - 1 words are as frequent, and so is their meeting.
 3. Candidates go into double-array tries of at most ``TRIE_PHRASES`` phrases, broadcast one by one.  Each task moves all
    text positions through the trie at the same time, number by number (three digits a number, so that rows are narrow),
-   drops the dead ones, and counts the accepting states; Spark sums the tasks' counts.
+   drops the dead ones, counts the accepting states, and the meetings that make the next candidates; Spark sums the
+   tasks' counts.
 4. A phrase's score is the least, over its cuts in two, of ``floor(1000 a n / (l r))``, in exact decimals.
 
 What is broadcast or collected at once is bounded: ``WORD_BLOCK`` words, ``TRIE_PHRASES`` phrases.  More of them take
@@ -23,10 +24,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tonelens.llm.common import lists, slices, utf8
@@ -95,15 +96,15 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def numbered(words: DataFrame) -> DataFrame:
-    """``words`` with ``id`` from 1 without gaps; written, so ids stay."""
-    stored = materialise(words.withColumn("part", F.spark_partition_id()), "words")
-    sizes = sorted(tuple(r) for r in collect_bounded(stored.groupBy("part").count(), MAX_CLASSES, "partitions of words"))
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``id`` from 1 without gaps; written, so ids stay."""
+    stored = materialise(rows.withColumn("part", F.spark_partition_id()), "rows")
+    sizes = sorted(tuple(r) for r in collect_bounded(stored.groupBy("part").count(), MAX_CLASSES, "partitions to number"))
     if not sizes:
-        return stored.drop("part").withColumn("id", F.lit(1).cast("int"))
+        return stored.drop("part").withColumn("id", F.lit(1))
     before = F.create_map(*(F.lit(int(x)) for (p, _), at in zip(sizes, np.cumsum([0, *(n for _, n in sizes)])[:-1], strict=True) for x in (p, at)))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("lang", "word"))
-    return materialise(stored.withColumn("id", (before[F.col("part")] + place).cast("int")).drop("part"), "word-ids")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return materialise(stored.withColumn("id", (before[F.col("part")] + place).cast("int")).drop("part"), "numbered")
 
 
 def _joinable(ids: np.ndarray) -> np.ndarray:
@@ -146,38 +147,46 @@ def encode(docs: DataFrame, words: DataFrame) -> DataFrame:
     return table
 
 
-def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The number arrays of a task end to end, in stretches of bounded length."""
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The number arrays of a task end to end, in stretches of bounded length, column by column."""
     held, n = [], 0
     for batch in batches:
-        held.append(batch.column("ids").flatten().to_numpy())
-        n += len(held[-1])
+        held.append([column.flatten().to_numpy() for column in batch.columns])
+        n += len(held[-1][0])
         if n >= HELD_POSITIONS:
-            yield np.concatenate(held)
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
             held, n = [], 0
     if n:
-        yield np.concatenate(held)
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def seeds(texts: DataFrame, least: int) -> DataFrame:
-    """Pairs of numbers, as ``ids``, that stand side by side ``least`` times."""
+def _pairs(at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How often each two phrases start at neighbouring positions, as ``a, b, n``."""
+    a, b = at[:-1].astype(np.int64), at[1:]
+    pairs, n = np.unique(((a << 32) | b)[(a > 0) & (b > 0)], return_counts=True)
+    for i in range(0, len(pairs), 500_000):
+        part = pairs[i : i + 500_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part >> 32), pa.array(part & 0xFFFFFFFF), pa.array(n[i : i + 500_000])], names=["a", "b", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for flat in _flat(batches):
-            a, b = flat[:-1].astype(np.int64), flat[1:]
-            pairs, n = np.unique(((a << 32) | b)[(a > 0) & (b > 0)], return_counts=True)
-            for i in range(0, len(pairs), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 500_000]), pa.array(n[i : i + 500_000])], names=["pair", "n"])
 
-    often = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return often.select(F.array(F.shiftright("pair", 32).cast("int"), F.col("pair").bitwiseAND(0xFFFFFFFF).cast("int")).alias("ids"))
+def _often(rows: DataFrame, least: int) -> DataFrame:
+    return materialise(rows.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrase-counts")
+
+
+def _longer(often: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Candidates (``ids``) one word longer: two phrases (``id, ids``) that start side by side often enough."""
+    first, then = (phrases.select(F.col("id").alias(c), F.col("ids").alias(f"{c}_ids")) for c in ("a", "b"))
+    return often.join(first, "a").join(then, "b").select(F.concat("a_ids", F.slice("b_ids", -1, 1)).alias("ids"))
+
 
+def seeds(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """Candidates of two words."""
 
-def overlaps(phrases: DataFrame) -> DataFrame:
-    """Phrases one word longer, whose first and last words but one are both in ``phrases`` (``ids``)."""
-    first = phrases.select(F.col("ids").alias("head"), F.expr("slice(ids, 2, size(ids) - 1)").alias("shared"))
-    then = phrases.select(F.expr("slice(ids, 1, size(ids) - 1)").alias("shared"), F.element_at("ids", -1).alias("tail"))
-    return first.join(then, "shared").select(F.concat("head", F.array("tail")).alias("ids"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (flat,) in _flat(batches):
+            yield from _pairs(flat)
+
+    return _longer(_often(texts.mapInArrow(run, "a long, b long, n long"), least), words.select("id", F.array("id").alias("ids")))
 
 
 class Trie:
@@ -243,8 +252,8 @@ class Trie:
                 edges = edges[~free]
         return bases, bases[parent] + symbol
 
-    def count(self, flat: np.ndarray) -> np.ndarray:
-        """Occurrences of every phrase in an array of numbers."""
+    def find(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases start in an array of numbers, and which, from 0; all positions move at the same time."""
         start = np.flatnonzero(flat)
         state = np.ones(len(start), np.int32)
         mask = (1 << self.bits) - 1
@@ -256,37 +265,60 @@ class Trie:
                 ahead = self.base[state] + ((number >> (self.bits * digit)) & mask)
                 live = (self.check[ahead] == state) & (number < 1 << (self.bits * DIGITS))
                 start, state, number = start[live], ahead[live], number[live]
-        return np.bincount(self.accept[state], minlength=self.size + 1)[1:]
+        return start, self.accept[state] - 1
 
 
-def count_candidates(texts: DataFrame, candidates: DataFrame, least: int) -> DataFrame:
-    """``(ids, f)`` of the candidates found ``least`` times.
+def count_candidates(texts: DataFrame, candidates: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """``(ids, f)`` of the candidates found ``least`` times, and the candidates one word longer.
 
-    Candidates are dealt to tries by hash; distinct ones spread evenly, so twice the mean is a bound that holds.
+    Where one trie cannot hold all candidates, each but the last writes down which phrase starts where (``at``).
     """
     spark = texts.sparkSession
-    stored = materialise(candidates, "candidates")
-    blocks = max(1, -(-2 * stored.count() // TRIE_PHRASES))
-    found = []
-    for block in range(blocks):
-        own = stored.filter(F.pmod(F.xxhash64("ids"), F.lit(blocks)) == block).limit(TRIE_PHRASES + 1).toArrow().column("ids").combine_chunks()
-        if len(own) > TRIE_PHRASES:
-            raise ValueError(f"more than {TRIE_PHRASES} phrases in one trie")
-        if not len(own):
+    stored = numbered(candidates, "ids")
+    last = stored.agg(F.max("id")).first()[0] or 0
+    starts = list(range(1, last + 1, TRIE_PHRASES))
+    table, often = texts, spark.createDataFrame([], "a long, b long, n long")
+    for first in starts:
+        block = stored.filter(F.col("id").between(first, first + TRIE_PHRASES - 1)).select("ids").orderBy("id").toArrow().column("ids").combine_chunks()
+        sent = spark.sparkContext.broadcast(Trie(block.flatten().to_numpy().reshape(len(block), -1)))
+
+        def locate(columns: list[np.ndarray], sent=sent, first=first) -> np.ndarray:
+            at = np.zeros(len(columns[0]), np.int32) if len(columns) == 1 else columns[1].copy()
+            start, which = sent.value.find(columns[0])
+            at[start] = first + which
+            return at
+
+        if first != starts[-1]:
+
+            def mark(batches: Iterator[pa.RecordBatch], locate=locate) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    ids = batch.column("ids")
+                    at = locate([c.flatten().to_numpy() for c in batch.columns])
+                    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(at))], names=["ids", "at"])
+
+            table = materialise(table.mapInArrow(mark, "ids array<int>, at array<int>"), "phrase-places")
             continue
-        phrases = own.flatten().to_numpy().reshape(len(own), -1)
-        sent = spark.sparkContext.broadcast((Trie(phrases), phrases))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            trie, phrases = sent.value
-            total = sum((trie.count(flat) for flat in _flat(batches)), np.zeros(trie.size, np.int64))
-            hit = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([lists(list(phrases[hit]), pa.int32()), pa.array(total[hit], pa.int64())], names=["ids", "f"])
+        def run(batches: Iterator[pa.RecordBatch], locate=locate, last=last) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1, np.int64)
+            for columns in _flat(batches):
+                at = locate(columns)
+                total = _plus(total, np.bincount(at))
+                yield from _pairs(at)
+            hit = np.flatnonzero(total[1:]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(np.zeros_like(hit)), pa.array(total[hit])], names=["a", "b", "n"])
+
+        often = _often(table.mapInArrow(run, "a long, b long, n long"), least)
+    found = often.filter("b = 0").join(stored, F.col("a") == F.col("id")).select("ids", F.col("n").alias("f"))
+    return found, _longer(often.filter("b > 0"), stored)
+
 
-        found.append(texts.mapInArrow(run, "ids array<int>, f long").groupBy("ids").agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
-    if not found:
-        return spark.createDataFrame([], "ids array<int>, f long")
-    return materialise(reduce(DataFrame.union, found), "phrases")
+def _plus(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    short, long = sorted((x, y), key=len)
+    long = long.copy()
+    long[: len(short)] += short
+    return long
 
 
 def scored(phrases: DataFrame, totals: DataFrame, words: DataFrame) -> DataFrame:
@@ -319,15 +351,14 @@ def collocations(
     """``(lang, rank, phrase, a, l, r, n, score)``, best first; the first ``top`` of each language if that is given."""
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("string").alias("text"))
     counts = count_words(slim)
-    words = numbered(counts.filter(F.col("word").isNull() | (F.col("f") >= least)))
+    words = numbered(counts.filter(F.col("word").isNull() | (F.col("f") >= least)), "lang", "word")
     totals = words.filter("word IS NULL").select("lang", F.col("f").alias("n"))
     words = words.filter("word IS NOT NULL")
     texts = encode(slim, words)
-    level = count_candidates(texts, seeds(texts, least), least)
-    phrases = words.select(F.array("id").alias("ids"), "f").union(level)
-    for _ in range(2, longest):
-        level = count_candidates(texts, overlaps(level.select("ids")), least)
-        phrases = phrases.union(level)
+    phrases, candidates = words.select(F.array("id").alias("ids"), "f"), seeds(texts, words, least)
+    for _ in range(2, longest + 1):
+        found, candidates = count_candidates(texts, candidates, least)
+        phrases = phrases.union(found)
     phrases = materialise(phrases, "all-phrases")
     kept = scored(phrases, totals, words).join(not_inside(phrases, inside), "ids")
     spelt = kept.select("*", F.posexplode("ids").alias("at", "id")).join(words.select("id", "word"), "id")
