@@ -350,10 +350,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     classes = materialise(sketches.filter("n > 0").groupBy(*content).agg(F.min("id").alias("id"), *least).filter("id IS NOT NULL"), "classes")
 
     rows = classes.select("id", _buckets())
-    mask = F.xxhash64(*_BUCKET)
-    masked = rows.withColumn("_v", F.col("id").bitwiseXOR(mask))
-    hubs = masked.groupBy(*_BUCKET).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high")).filter("_low <> _high")
-    hubs = hubs.select(*_BUCKET, F.col("_low").bitwiseXOR(mask).alias("hub"))
+    # the least id of a bucket, the same order in every band, so that a class meets few different hubs
+    hubs = rows.groupBy(*_BUCKET).agg(F.min("id").alias("hub"), F.max("id").alias("_high")).filter("hub <> _high").drop("_high")
     members = materialise(rows.join(hubs, _BUCKET), "bucket-members")
 
     star = materialise(_estimated(members.filter("id <> hub").select(*_ordered(F.col("id"), F.col("hub"))), classes), "hub-pairs")
