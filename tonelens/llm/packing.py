@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -135,22 +136,28 @@ class Packer:
         last = total % self.capacity
         sizes += [1 << b for b in reversed(range(last.bit_length())) if last >> b & 1]
         held: list[tuple] = []
+        full, at = 0, 0  # tokens held, and the size that is being filled
         for doc, start, ids, tokens in rest:
             while len(ids):
-                room = sizes[0] - sum(len(p[2]) for p in held)
+                room = sizes[at] - full
                 held.append((doc, start, ids[:room], tokens))
+                full += len(held[-1][2])
                 start, ids = start + min(room, len(ids)), ids[room:]
-                if len(held[-1][2]) == room:
+                if full == sizes[at]:
                     self._close(held)
-                    held = []
-                    sizes.pop(0)
+                    held, full, at = [], 0, at + 1
         self.open = {}
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces ``(key, start, length, doc_tokens, sequence_id, offset, ids)``; ``tokenizer`` is a file's path on every machine."""
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, content: str = "ids") -> DataFrame:
+    """Pieces ``(key, start, length, doc_tokens, sequence_id, offset, ids)``; ``tokenizer`` is a file's path on every machine.
+
+    With ``content="checksum"``, ``ids_crc32`` instead of the ids: the checksum of them as little-endian unsigned 32-bit
+    integers, taken in the same task.
+    """
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
+    last = "ids_crc32 long" if content == "checksum" else "ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = chunk_ids(tokenizer), np.array([end_id], "<u4").tobytes()
@@ -161,12 +168,15 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             doc, start, ids, tokens, sequence, offset = zip(*packer.placed, strict=True) if packer.placed else [()] * 6
             packer.placed = []
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+            if content == "checksum":
+                values = pa.array(list(map(zlib.crc32, ids)), pa.int64())
+            else:
+                ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)))
             longs = [pa.array(c, pa.int64()) for c in (start, lengths, tokens, sequence, offset)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc, key_type), *longs, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=[key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+                [pa.array(doc, key_type), *longs, values],
+                names=[key, "start", "length", "doc_tokens", "sequence_id", "offset", last.split()[0]],
             )
 
         waiting = 0
@@ -184,6 +194,4 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             packer.finish()
             yield results()
 
-    return slim.mapInArrow(
-        run, f"`{key}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
-    )
+    return slim.mapInArrow(run, f"`{key}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, {last}")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterator
 
 import public_tokenizers
@@ -81,25 +80,10 @@ def op6_lm_scoring(spark, sf):
     return recurrent_lm.score(docs, language, counts).withColumn("held_out", held_out)
 
 
-def with_checksums(pieces: DataFrame) -> DataFrame:
-    """``ids`` replaced by ``ids_crc32``, the checksum of its little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4").data
-            sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            at = batch.schema.get_field_index("ids")
-            yield batch.remove_column(at).append_column("ids_crc32", pa.array(sums, pa.int64()))
-
-    kept = [f for f in pieces.schema if f.name != "ids"]
-    return pieces.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids_crc32 long"]))
-
-
 @query
 def op7_packing(spark, sf):
     docs = read(spark, sf, "documents", "doc_id", "text")
-    return with_checksums(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), content="checksum")
 
 
 @query
