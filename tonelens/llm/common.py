@@ -44,6 +44,20 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def set_aside(df: DataFrame, names) -> dict[str, str]:
+    """Free names for the columns of ``df`` that are called like one of ``names``, in any case of letters."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    found = {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            free = f"_kept_{c}"
+            while free.lower() in taken:
+                free = "_" + free
+            taken.add(free.lower())
+            found[c] = free
+    return found
+
+
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The rows of ``batch`` in runs of bounded text and number; a run holds one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -17,7 +17,7 @@ marginals of a long clean text from adding up.
 Defined results: null, empty and wordless texts have no tokens and the least score; without a toxic or without a clean
 example the score of every text is the share of toxic labels, 0 if there are none; null labels are not learnt from, of
 several labels of one row the greatest counts; repeated rows are scored alike; columns of ``docs`` stay, but for those
-named ``score``, ``predicted`` and ``spans``; an empty table gives an empty one.
+named ``score``, ``predicted`` and ``spans`` in any case of letters; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tonelens.llm.common import Steps, slices, utf8
-from tonelens.llm.decontaminate import WORD, words_of
+from tonelens.llm.common import Steps, set_aside, slices, utf8
+from tonelens.llm.decontaminate import NORMAL, WORD, words_of
 from tonelens.plans.sizing import collect_bounded
 
 FIT_ROWS = 2000
-FIT_BYTES = 40_000_000
+FIT_BYTES = 8_000_000
 FIT_WINDOW = 96
 FIT_STEPS = 60
 #: Least log-likelihood ratio and ratio of shares for a feature that marks toxic tokens.
@@ -48,6 +48,7 @@ THRESHOLD = 0.3
 #: Marginal from which a token belongs to a span.
 SPAN = 0.5
 CACHE_ENTRIES = 500_000
+RESULTS = ("score", "predicted", "spans")
 
 
 def features(word: bytes) -> set[bytes]:
@@ -125,15 +126,37 @@ def _marks(words: np.ndarray, toxic: np.ndarray, of_word: np.ndarray, of_feature
     return (ratio >= SIGNIFICANT) & (t / totals[1] >= RATIO * (c + 0.5) / totals[0]), c + t
 
 
-def _fit_field(texts: list[list[bytes]], toxic: np.ndarray) -> tuple[dict[bytes, float], float, tuple[float, float, float]]:
+class Coded:
+    """Texts as numbers of their words, end to end; numbers go by the words' order."""
+
+    def __init__(self, texts: Iterable[bytes]):
+        known: dict[bytes, int] = {}
+        parts = [np.fromiter((known.setdefault(w, len(known)) for w in words_of(t)), np.int32) for t in texts]
+        self.vocabulary = sorted(known)
+        number = np.empty(len(known), np.int32)
+        number[[known[w] for w in self.vocabulary]] = np.arange(len(known), dtype=np.int32)
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.words = number[np.concatenate(parts)] if len(known) else np.zeros(0, np.int32)
+
+    def __iter__(self) -> Iterator[list[bytes]]:
+        for part in np.split(self.words, np.cumsum(self.lengths)[:-1]):
+            yield [self.vocabulary[i] for i in part]
+
+    def windows(self, most: int) -> np.ndarray:
+        """Lengths of the windows that the texts are cut into."""
+        whole, rest = np.divmod(self.lengths, most)
+        sizes = np.full((whole + (rest > 0)).sum(), most)
+        last = np.cumsum(whole + (rest > 0))[rest > 0] - 1
+        sizes[last] = rest[rest > 0]
+        return sizes
+
+
+def _fit_field(texts: Coded, toxic: np.ndarray) -> tuple[dict[bytes, float], float, tuple[float, float, float]]:
     """Weights by gradient ascent with steps that adapt to each weight (Adam), and a small ridge."""
-    windows = [(t[i : i + FIT_WINDOW], y) for t, y in zip(texts, toxic, strict=True) for i in range(0, len(t), FIT_WINDOW)]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for t, _ in windows for w in t}))}
+    vocabulary, words, lengths = texts.vocabulary, texts.words, texts.windows(FIT_WINDOW)
     every: dict[bytes, int] = {}
-    of_word, of_feature = np.array([(i, every.setdefault(f, len(every))) for w, i in vocabulary.items() for f in sorted(features(w))]).T
-    lengths = np.array([len(t) for t, _ in windows])
-    words = np.concatenate([[vocabulary[w] for w in t] for t, _ in windows])
-    in_toxic = np.repeat([y for _, y in windows], lengths)
+    of_word, of_feature = np.array([(i, every.setdefault(f, len(every))) for i, w in enumerate(vocabulary) for f in sorted(features(w))]).T
+    in_toxic = np.repeat(toxic, texts.lengths)
     marks, settings = _marks(words, in_toxic, of_word, of_feature, (len(vocabulary), len(every)))
     marked = np.bincount(of_word, marks[of_feature], len(vocabulary)) > 0
     kept = settings >= LEAST_SETTINGS
@@ -221,16 +244,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             keys.append((r["k"], r["y"]))
     taken = docs.sparkSession.createDataFrame(keys, wanted.schema)
     chosen = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).join(F.broadcast(taken), "k")
-    sample = sorted((r["k"], r["y"], words_of(bytes(r["t"] or b""))) for r in chosen.collect())
-    texts, toxic = [t for _, _, t in sample], np.array([y for _, y, _ in sample])
-    if len(set(toxic.tolist())) < 2 or not any(texts):
+    # at most 2 * FIT_BYTES of text, as one table; of words only their numbers and distinct ones are held
+    sample = chosen.orderBy("k", "y", "t").toArrow()
+    toxic = sample.column("y").to_numpy()
+    texts = Coded((t.as_py() or b"").translate(NORMAL) for t in sample.column("t"))
+    del sample
+    if len(set(toxic.tolist())) < 2 or not len(texts.words):
         return Model({}, 0.0, (0.0, 0.0, 0.0), (0.0, 0.0), counts[1] / total)
     weights, bias, moves = _fit_field(texts, toxic)
     model = Model(weights, bias, moves, (0.0, 0.0), None)
     of = Emissions(model)
-    lengths = np.array([len(t) for t in texts])
-    p = marginals(np.array([of[w] for t in texts for w in t]), lengths, moves)
-    return model._replace(curve=_fit_curve(weight(p, lengths), toxic, counts[1] / total))
+    p = marginals(np.array([of[w] for w in texts.vocabulary])[texts.words], texts.lengths, moves)
+    return model._replace(curve=_fit_curve(weight(p, texts.lengths), toxic, counts[1] / total))
 
 
 def spans_of(text: bytes, p: np.ndarray) -> list[dict]:
@@ -249,7 +274,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p",
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``spans`` (character offsets ``start, stop`` and marginal ``p``)."""
-    names = [c for c in docs.columns if c not in ("score", "predicted", "spans")]
+    names = [c for c in docs.columns if c.lower() not in RESULTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Emissions(model)
@@ -276,6 +301,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
 def keep_harmless(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, columns unchanged."""
-    own = {c: f"_kept_{c}" for c in docs.columns if c in ("score", "predicted", "spans")}
+    own = set_aside(docs, RESULTS)
     harmless = score(docs.withColumnsRenamed(own), model, text, threshold).filter("predicted = 0")
     return harmless.select([F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
