@@ -73,6 +73,7 @@ def test_empty_tables(spark, docs, labels, items, name):
 CLASHES = [
     "n_words", "n_hit", "items", "spans", "contaminated", "score", "predicted", "size", "shard", "slot", "text_crc32", "kept", "base_failed",
     "key", "id", "n", "row", "_h", "_size", "_part", "hit_words", "component_id", "ids", "start", "section", "_gone", "label",
+    "_best", "_rank", "_offset", "_n", "_kept_score", "_kept_items", "_high", "hub",
 ]
 
 
@@ -87,6 +88,18 @@ def test_clashing_columns(docs, labels, items, name):
         assert all(r[c] == "x" for r in found.collect() for c in CLASHES)
 
 
+@pytest.mark.parametrize("name", [*PER_DOCUMENT, *OTHERS])
+def test_clashing_columns_of_other_cases(docs, labels, items, name):
+    run = {**PER_DOCUMENT, **OTHERS}[name]
+    wide = docs.withColumns({c: F.lit("x") for c in ("Size", "Items", "Score", "SPANS", "N_Words", "Shard", "Kept", "_Rank", "_KEPT_Score", "Contaminated")})
+    found = run(wide, labels, items)
+    assert found.count() == run(docs, labels, items).count()
+    if name in ("clean", "harmless", "distinct", "good"):
+        assert found.columns == wide.columns
+    if "_Rank" in found.columns:
+        assert {r["_Rank"] for r in found.collect()} <= {"x"}
+
+
 def test_nulls_have_the_stated_results(docs, labels, items):
     found = {r["doc_id"]: r for r in decontaminate.find_items(docs, items).collect()}
     assert (found[2]["n_words"], found[2]["items"], found[2]["contaminated"]) == (0, [], False)
@@ -128,7 +141,7 @@ def test_chats(spark):
     rows = chat.format_chats(table).collect()
     assert len(rows) == len(turns)
     text = {c: "".join(r["fragment"] for r in sorted(rows, key=lambda r: r["position"]) if r["conv_id"] == c) for c in (1, 2, None)}
-    assert text[2] == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n< |im_end|><|im_end|>\n"
+    assert text[2] == "<|im_start|>user\ns<|im_end|>\n<|im_start|>assistant\n< |im_end|><|im_end|>\n"  # relabelling costs 2, inserting 3
     assert text[None].count("<|im_start|>") == 2
     assert chat.format_chats(table.limit(0)).collect() == []
 

@@ -27,7 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tonelens.llm.common import slices, utf8
+from tonelens.llm.common import set_aside, slices, utf8
 from tonelens.plans.workdir import materialise
 
 #: Most bytes of item text that one automaton is built from.
@@ -114,7 +114,7 @@ COLUMNS = {
 
 
 def _scan(docs: DataFrame, items: tuple[tuple[str, bytes], ...], window: int, text: str, first: bool) -> DataFrame:
-    names = [*(c for c in docs.columns if c not in COLUMNS), *COLUMNS]
+    names = [*(c for c in docs.columns if c.lower() not in COLUMNS), *COLUMNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(items, window)
@@ -172,6 +172,6 @@ def find_items(
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
     """The documents that are not contaminated, columns unchanged."""
-    own = {c: f"_kept_{c}" for c in docs.columns if c in {*COLUMNS, "n_hit", "contaminated"} - {text}}
+    own = set_aside(docs, {*COLUMNS, "n_hit", "contaminated"} - {text})
     found = find_items(docs.withColumnsRenamed(own), items, text, **how).filter(~F.col("contaminated"))
     return found.select([F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

@@ -150,11 +150,11 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, text: str = "text"
 def assign_shards(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
-    Size is the text's bytes plus one.  Slots count from 0 without gaps in every shard.
+    Size is the text's bytes plus one.  Other columns stay, but for those named as a result, in any case of letters.  Slots count from 0 without gaps in every shard.
     """
-    h, size, part = (free_name(docs, c) for c in ("_h", "_size", "_part"))
+    h, size, part, n, offset, rank = (free_name(docs, c) for c in ("_h", "_size", "_part", "_n", "_offset", "_rank"))
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "size", "text_crc32", "shard", "slot")]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in ("size", "text_crc32", "shard", "slot")]
     slim = materialise(
         docs.select(
             *others, F.xxhash64(F.col(text)).alias(h), (F.octet_length(raw) + 1).cast("long").alias(size),
@@ -164,11 +164,11 @@ def assign_shards(docs: DataFrame, shards: int = 8, text: str = "text") -> DataF
     )
     cuts, _ = minimax_cuts(slim.select(F.col(h).alias("_h"), F.col(size).alias("_size")), shards)
     rows = slim.withColumn("shard", _shard_of(F.col(h), cuts))
-    counts = rows.groupBy("shard", part).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy("shard", part).agg(F.count("*").alias(n))
     before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = counts.select("shard", part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
     local = Window.partitionBy("shard", part).orderBy(h)
-    placed = rows.withColumn("_rank", F.row_number().over(local) - 1).join(offsets, ["shard", part])
+    placed = rows.withColumn(rank, F.row_number().over(local) - 1).join(offsets, ["shard", part])
     return placed.select(
-        *others, F.col(size).alias("size"), "text_crc32", "shard", (F.col("_rank") + F.col("_offset")).cast("long").alias("slot")
+        *others, F.col(size).alias("size"), "text_crc32", "shard", (F.col(rank) + F.col(offset)).cast("long").alias("slot")
     )

@@ -11,14 +11,14 @@ keys Spark splits.  The rule table's shape (label counts, path lengths) is colle
 Defined results: a null URL or one without ``://`` has empty host and path and meets only rules with empty ones; no
 fitting rule gives a null rule and the ``default`` verdict; of two rules of one length the longer host wins, then block
 before allow; repeated rows are judged alike; empty tables give empty results or the default; input columns stay, but
-for those named host, path, rule and verdict.
+for those named host, path, rule and verdict in any case of letters.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tonelens.llm.common import ascii_lower
+from tonelens.llm.common import ascii_lower, free_name
 from tonelens.plans.sizing import collect_bounded
 
 ALLOW, BLOCK = "allow", "block"
@@ -83,10 +83,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = A
         F.col("_action").alias("action"),
         F.concat("_rhost", "_rpath").alias("rule"),
     )
-    best = met.groupBy("host", "path").agg(F.max(precedence).alias("_best"))
+    name = free_name(pages, "_best")
+    best = met.groupBy("host", "path").agg(F.max(precedence).alias(name))
     out = parted.join(best, ["host", "path"], "left")
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     return out.select(
         *[F.col(f"`{c}`") for c in kept], "host", "path",
-        F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.action"), F.lit(default)).alias("verdict"),
+        F.col(name)["rule"].alias("rule"), F.coalesce(F.col(name)["action"], F.lit(default)).alias("verdict"),
     )
