@@ -146,3 +146,29 @@ def test_softmax_and_argmax(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0],), ([1000.0, 0.0, 0.0],)], "x array<double>")
     rows = df.select(S.softmax(F.col("x")).alias("p"), S.argmax(F.col("x")).alias("a")).collect()
     assert [r.a for r in rows] == [1, 0] and abs(sum(rows[0].p) - 1) < 1e-12 and rows[1].p[0] == 1.0
+
+
+def test_indexed_patterns_agree_with_compiled_ones(spark):
+    lexicon = Lexicon(
+        patterns={"Gaslighting": [r"never (said|did)\b", r"\w+ing\b", "imagin", "(?i)CRAZY"], "Sarcastic": ["oh+ (wow|great)", r"^\s*sure"]},
+        keywords={},
+    )
+    texts = [(1, "You never said that, you are imagining things"), (2, "ohhh great, SURE"), (3, None), (4, ""), (5, " sure, oh wow crazy"), (5, "é"), (6, "never dide")]
+    df = spark.createDataFrame(texts, "id int, text string").withColumns({"_found": F.lit(1), "_T": F.lit(2)})
+    cols = ["id", "gl_pattern", "pa_pattern", "sa_pattern", "_found", "_T"]
+    compiled = messages.pattern_scores(df.drop("_T"), lexicon).withColumn("_T", F.lit(2)).select(cols)
+    indexed = messages.pattern_scores_indexed(df, lexicon)
+    assert sorted(map(str, compiled.collect())) == sorted(map(str, indexed.select(cols).collect()))
+    plan = indexed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_scores_as_a_struct_hold_all_evidence_once(spark):
+    register_functions(spark)
+    spark.createDataFrame([(1, "You're crazy, you're imagining things"), (2, "oh wow thank you")], "id int, text string").createOrReplaceTempView("struct_msgs")
+    df = spark.sql("SELECT id, s.* FROM (SELECT id, message_scores(text) AS s FROM struct_msgs)")
+    want = messages.evidence(spark.table("struct_msgs"))
+    got = {r["id"]: (r["gaslighting_keywords"], r["sincere_keywords"], round(r["gaslighting_patterns"], 9)) for r in df.collect()}
+    assert got == {r["id"]: (r["gl_keywords"], r["si_keywords"], round(r["gl_pattern"], 9)) for r in want.collect()}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("you're imagining") == 1

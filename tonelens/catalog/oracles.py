@@ -412,6 +412,17 @@ hits AS (SELECT doc_id, side, count(*) AS n FROM t JOIN lex ON contains(t, w) GR
 SELECT doc_id, coalesce(max(n) FILTER (side = 1), 0) AS gl_keywords, coalesce(max(n) FILTER (side = 2), 0) AS pa_keywords,
   coalesce(max(n) FILTER (side = 3), 0) AS sa_keywords FROM t LEFT JOIN hits USING (doc_id) GROUP BY doc_id"""
 
+ORACLES["pattern_scores_table"] = f"""WITH words AS (
+  SELECT w, 1 + (count(*) % 3) AS side FROM (SELECT unnest(list_distinct({_WORD})) AS w FROM documents) WHERE length(w) > 5 GROUP BY w),
+lex AS (SELECT w, side FROM words ORDER BY md5(w), w LIMIT 5000),
+sizes AS (SELECT side, count(*) AS all_of FROM lex GROUP BY side),
+t AS (SELECT doc_id, lower(text) AS t FROM documents),
+runs AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '[a-z]+')) AS run FROM t),
+hits AS (
+  SELECT doc_id, side, count(DISTINCT w) AS n FROM runs JOIN lex ON run IN (w, w || 's', w || 'ed') GROUP BY ALL)
+SELECT doc_id, {", ".join(f"round(coalesce(max(n / all_of) FILTER (side = {i}), 0), 6) AS {c}_pattern" for i, c in ((1, "gl"), (2, "pa"), (3, "sa")))}
+FROM t LEFT JOIN (hits JOIN sizes USING (side)) USING (doc_id) GROUP BY doc_id"""
+
 ORACLES["fused_scores"] = f"""WITH {_WITH_P}, {_scored('src', DOCUMENTS, 'p')}
 SELECT doc_id, method, {_SCORES}, label, confidence, severity FROM scored"""
 
@@ -508,6 +519,11 @@ SELECT vec_id, arg_max(i, x) - 1 AS top, round(max(p), 6) AS top_prob, round(max
 
 ORACLES["batch_model_scores"] = """SELECT doc_id, round(1 / (1 + exp(-(length(text) - 1500) / 1000.0::DOUBLE)), 6) AS prob FROM documents"""
 
+ORACLES["logit_scores"] = """WITH x AS (SELECT doc_id, length(text) / 1000.0::DOUBLE AS n FROM documents),
+l AS (SELECT doc_id, [2.0 - n, n, 3.0 * n - 4.0] AS v FROM x),
+e AS (SELECT doc_id, v, list_max(v) AS m, list_transform(v, lambda y: exp(y - list_max(v))) AS e FROM l)
+SELECT doc_id, (list_position(v, m) - 1)::BIGINT AS top, round(1 / list_sum(e), 6) AS top_prob FROM e"""
+
 # -- streams: the tables they end in ----------------------------------------------------------------------------
 
 ORACLES["stream_message_scores"] = f"""WITH {_ADMITTED}, {_scored('admitted', DOCUMENTS)}

@@ -399,7 +399,7 @@ def keyword_scores(spark, sf):
 
 @query
 def keyword_scores_indexed(spark, sf):
-    """The same hits by the join that serves long keyword lists."""
+    """The same hits by the index that serves long keyword lists."""
     out = messages.keyword_hits_indexed(table(spark, sf, "documents"), DOCUMENTS, "doc_id")
     return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in _KEYWORD_COLS])
 
@@ -415,11 +415,21 @@ def _large_lexicon(spark, sf) -> Lexicon:
 
 @query
 def keyword_scores_large(spark, sf):
-    """Hits of a lexicon of 5 000 keywords, by the indexed join."""
+    """Hits of a lexicon of 5 000 keywords, by the index."""
     out = messages.keyword_hits_indexed(table(spark, sf, "documents"), _large_lexicon(spark, sf), "doc_id")
     return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in _KEYWORD_COLS[:3]])
 
 
+@query
+def pattern_scores_table(spark, sf):
+    """Shares of 5 000 patterns, two endings of the documents' own words, from a lexicon that is a table."""
+    words = _large_lexicon(spark, sf).to_dataframe(spark).filter("kind = 'keyword'")
+    ended = F.concat(F.lit("(?:^|[^a-z])"), F.col("pattern"), F.lit("(?:s|ed)?(?:$|[^a-z])"))
+    lexicon = Lexicon.from_dataframe(words.select("label", F.lit("regex").alias("kind"), "ord", ended.alias("pattern")))
+    out = messages.pattern_scores_indexed(table(spark, sf, "documents"), lexicon)
+    return out.select("doc_id", r6("gl_pattern"), r6("pa_pattern"), r6("sa_pattern"))
+
+
 @query
 def fused_scores(spark, sf):
     docs = with_model_prob(table(spark, sf, "documents"))
@@ -579,6 +589,24 @@ def batch_model_scores(spark, sf):
     return out.select("doc_id", r6("prob"))
 
 
+def _length_logits():
+    """A stand-in for an external model of three classes."""
+    import numpy as np
+
+    def predict(texts):
+        n = np.array([len(t) for t in texts]) / 1000.0
+        return np.stack([2.0 - n, n, 3.0 * n - 4.0], axis=1)
+
+    return predict
+
+
+@query
+def logit_scores(spark, sf):
+    """Logits of a caller's model, their softmax and its largest class."""
+    out = models.score_logits(table(spark, sf, "documents"), _length_logits, 3).withColumn("p", S.softmax(F.col("logits")))
+    return out.select("doc_id", S.argmax(F.col("logits")).cast("long").alias("top"), F.round(F.array_max("p"), 6).alias("top_prob"))
+
+
 # -- sources and sinks: written by the library, read back by it ---------------------------------------------------
 
 @query
@@ -669,9 +697,9 @@ def sql_functions(spark, sf):
     register_functions(spark, DOCUMENTS)
     table(spark, sf, "documents").createOrReplaceTempView("sql_function_documents")
     return spark.sql("""
-        SELECT doc_id, clean_text(text) AS cleaned, round(pattern_score(text, 'Passive-Aggressive'), 6) AS pa_pattern,
-          CAST(keyword_hits(text, 'Sincere') AS BIGINT) AS si_keywords, rule_score(text, 'Sincere') AS score_sincere,
-          rule_score(text, 'Gaslighting') AS score_gaslighting, severity(0.5D, 'Sarcastic') AS mid FROM sql_function_documents""")
+        SELECT doc_id, cleaned, round(s.passive_aggressive_patterns, 6) AS pa_pattern, CAST(s.sincere_keywords AS BIGINT) AS si_keywords,
+          s.sincere AS score_sincere, s.gaslighting AS score_gaslighting, severity(0.5D, 'Sarcastic') AS mid
+        FROM (SELECT doc_id, clean_text(text) AS cleaned, message_scores(text) AS s FROM sql_function_documents)""")
 
 
 @query

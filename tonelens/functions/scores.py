@@ -43,7 +43,7 @@ SCORE_COLS = {
 }
 
 
-def _java(pattern: str) -> str:
+def unicode_pattern(pattern: str) -> str:
     """White space, word characters and boundaries are Unicode ones."""
     return f"(?U){pattern}"
 
@@ -92,7 +92,7 @@ def matches(text: Column, pattern: str) -> Column:
 
     A null text matches nothing.
     """
-    hit = text.rlike(_java(pattern))
+    hit = text.rlike(unicode_pattern(pattern))
     needed = required_literals(pattern)
     if needed:
         hit = reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in needed]) & hit
@@ -130,7 +130,7 @@ def highlights(text: Column, patterns: list[str], limit: int = HIGHLIGHTS) -> Co
     """First match of each pattern, in pattern order, distinct, at most ``limit``."""
     if not patterns:
         return F.array().cast("array<string>")
-    found = [F.when(matches(text, p), F.regexp_extract(text, _java(p), 0)) for p in patterns]
+    found = [F.when(matches(text, p), F.regexp_extract(text, unicode_pattern(p), 0)) for p in patterns]
     return F.slice(F.array_distinct(F.array_compact(F.array(*found))), 1, limit)
 
 

@@ -8,15 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tonelens.functions import scores as S
+from tonelens.functions.gram_index import Entry, count_of, found as in_text
 from tonelens.operators.lexicon import DEFAULT_LEXICON, LABELS, MAX_LEXICON_ROWS, Lexicon
 from tonelens.operators.requests import admitted_messages
+from tonelens.plans.naming import free_name
 
 TOXIC = ["Gaslighting", "Passive-Aggressive", "Sarcastic"]
 _SHORT = {"Gaslighting": "gl", "Passive-Aggressive": "pa", "Sarcastic": "sa", "Sincere": "si"}
 
-#: Characters under which the indexed join files a keyword.
-GRAM = 6
-
 
 def pattern_scores(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, text: str = "text") -> DataFrame:
     """Add ``gl_pattern``, ``pa_pattern``, ``sa_pattern``: shares of matching patterns."""
@@ -32,43 +31,56 @@ def keyword_hits(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, text: str =
     return lowered.withColumns(hits).drop("_t")
 
 
-def keyword_hits_indexed(df: DataFrame, lexicon: Lexicon, key: str, text: str = "text") -> DataFrame:
-    """The columns of :func:`keyword_hits`, by an equi-join: for lexicons of many thousand entries.
+def _bounded(entries: list[Entry], what: str) -> list[Entry]:
+    if len(entries) > MAX_LEXICON_ROWS:
+        raise ValueError(f"a lexicon has at most {MAX_LEXICON_ROWS} {what}")
+    return entries
+
 
-    A keyword is filed under its first characters, ``GRAM`` of them or all if it has fewer; a text's distinct grams of
-    the lengths in use meet only the keywords filed there, and ``contains`` decides.  Needs a unique ``key``.
+def keyword_hits_indexed(df: DataFrame, lexicon: Lexicon, key: str | None = None, text: str = "text") -> DataFrame:
+    """The columns of :func:`keyword_hits`, through an index inside the row: for lexicons of many thousand entries.
 
-    A lexicon is an object of the driver, of at most ``MAX_LEXICON_ROWS`` entries here, so it is copied to all tasks and
-    the texts stay where they are.
+    A lexicon is an object of the driver, of at most ``MAX_LEXICON_ROWS`` entries here.  No row moves, so a key is not
+    needed.
     """
-    spark = df.sparkSession
-    entries = [(l, k, k[:GRAM]) for l in [*TOXIC, "Sincere"] for k in dict.fromkeys(lexicon.keyword_list(l)) if k]
-    if len(entries) > MAX_LEXICON_ROWS:
-        raise ValueError(f"a lexicon has at most {MAX_LEXICON_ROWS} keywords")
-    filed = spark.createDataFrame(entries, "label string, keyword string, gram string")
-    lengths = sorted({len(g) for _, _, g in entries})
-    grams = [F.regexp_extract_all(F.col("_t"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
-    every = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
-    hits = (
-        df.select(key, F.lower(text).alias("_t"))
-        .select(key, "_t", F.explode_outer(every).alias("gram"))
-        .join(F.broadcast(filed), "gram")
-        .filter(F.contains(F.col("_t"), F.col("keyword")))
-        .groupBy(key)
-        .agg(*[F.count_if(F.col("label") == l).cast("int").alias(f"{_SHORT[l]}_keywords") for l in [*TOXIC, "Sincere"]])
-    )
-    names = [f"{_SHORT[l]}_keywords" for l in [*TOXIC, "Sincere"]]
-    return df.join(hits, key, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in names})
+    labels = [*TOXIC, "Sincere"]
+    entries = [Entry(k, i, n) for i, l in enumerate(labels) for n, k in enumerate(dict.fromkeys(lexicon.keyword_list(l))) if k]
+    found, lowered = free_name(df, "_found"), free_name(df, "_t")
+    out = df.withColumn(lowered, F.lower(text)).withColumn(found, in_text(F.col(lowered), _bounded(entries, "keywords")))
+    return out.withColumns({f"{_SHORT[l]}_keywords": count_of(F.col(found), i) for i, l in enumerate(labels)}).drop(found, lowered)
+
+
+def pattern_scores_indexed(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """The columns of :func:`pattern_scores`, for lexicons of many thousand patterns.
+
+    A pattern is filed under the literals of which each of its matches contains one; only texts with such a literal meet
+    the regular expression.  Patterns without one are compiled into the plan as in :func:`pattern_scores`.
+    """
+    entries, others = [], {l: [] for l in TOXIC}
+    for i, l in enumerate(TOXIC):
+        for n, p in enumerate(lexicon.pattern_list(l)):
+            literals = S.required_literals(p)
+            entries += [Entry(s, i, n, S.unicode_pattern(p)) for s in literals or []]
+            others[l] += [] if literals else [p]
+    found, lowered = free_name(df, "_found"), free_name(df, "_t")
+    out = df.withColumn(lowered, F.lower(text)).withColumn(found, in_text(F.col(lowered), _bounded(entries, "patterns")))
+
+    def share(i: int, l: str) -> Column:
+        size = len(lexicon.pattern_list(l))
+        plain = S.pattern_share(F.col(lowered), others[l]) * len(others[l])
+        return (count_of(F.col(found), i) + plain) / F.lit(float(size)) if size else F.lit(0.0)
+
+    return out.withColumns({f"{_SHORT[l]}_pattern": share(i, l) for i, l in enumerate(TOXIC)}).drop(found, lowered)
 
 
 def evidence(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, text: str = "text", indexed_by: str | None = None) -> DataFrame:
     """Pattern shares and keyword hits.
 
-    ``indexed_by`` names a unique key and asks for the keywords to be joined, which pays for lexicons of many thousand
-    entries; the hits are the same either way.
+    ``indexed_by`` (a key's name; any will do) asks for an index of keywords and patterns, which pays for lexicons of many
+    thousand entries; the hits are the same either way.
     """
-    with_patterns = pattern_scores(df, lexicon, text)
-    return keyword_hits_indexed(with_patterns, lexicon, indexed_by, text) if indexed_by else keyword_hits(with_patterns, lexicon, text)
+    with_patterns = pattern_scores_indexed(df, lexicon, text) if indexed_by else pattern_scores(df, lexicon, text)
+    return keyword_hits_indexed(with_patterns, lexicon, text=text) if indexed_by else keyword_hits(with_patterns, lexicon, text)
 
 
 def label_scores(df: DataFrame, prob: str | None = None) -> DataFrame:

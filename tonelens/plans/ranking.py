@@ -20,6 +20,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tonelens.plans.naming import free_name
 from tonelens.plans.sizing import MAX_CLASSES, collect_bounded
 from tonelens.plans.workdir import materialise
 
@@ -138,9 +139,10 @@ def first_by(df: DataFrame, n: int, *order: str) -> DataFrame:
     The rows are sorted by ranges and written once; whole partitions are taken until the one in which the n-th row
     lies, of which only the head is taken.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    name = free_name(df, "_part")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.spark_partition_id())
     stored = materialise(ranged, "ranges")
-    sizes = dict(map(tuple, collect_bounded(stored.groupBy("_part").agg(F.count("*").alias("n")), MAX_CLASSES, "partitions")))
+    sizes = dict(map(tuple, collect_bounded(stored.groupBy(name).agg(F.count("*").alias("n")), MAX_CLASSES, "partitions")))
     before, last = 0, None
     for part in sorted(sizes):
         if before + sizes[part] > n:
@@ -148,6 +150,6 @@ def first_by(df: DataFrame, n: int, *order: str) -> DataFrame:
             break
         before += sizes[part]
     if last is None:
-        return stored.drop("_part")
-    head = stored.filter(F.col("_part") == last).orderBy(*order).limit(n - before)
-    return stored.filter(F.col("_part") < last).union(head).drop("_part")
+        return stored.drop(name)
+    head = stored.filter(F.col(name) == last).orderBy(*order).limit(n - before)
+    return stored.filter(F.col(name) < last).union(head).drop(name)
