@@ -48,6 +48,8 @@ TRIE_PHRASES = 250_000
 #: Distinct words, and text positions, that a task counts before it hands its counts on.
 HELD_WORDS, HELD_POSITIONS = 200_000, 4_000_000
 DIGITS = 3
+#: Parts that the phrases of a language are ranked in first.
+RANK_PARTS = 32
 #: Nodes with more children get a range of slots of their own.
 FEW = 8
 
@@ -365,7 +367,11 @@ def collocations(
     columns = ["lang", "a", "l", "r", "n", "score"]
     phrase = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
     named = spelt.groupBy("ids", *columns).agg(phrase.alias("phrase"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    best = (F.desc("score"), F.desc("a"), "phrase")
+    if top is not None:  # the first of each part, so that a language's final order holds top * RANK_PARTS rows at most
+        part = F.pmod(F.xxhash64("ids"), F.lit(RANK_PARTS))
+        named = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*best))).filter(F.col("rank") <= top)
+    order = Window.partitionBy("lang").orderBy(*best)
     ranked = named.withColumn("rank", F.row_number().over(order))
     ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", *columns[1:])
