@@ -521,6 +521,13 @@ def test_quality_runs_no_python(docs):
         assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_cascade_measures_no_more_than_it_needs(docs):
+    """What the contract does not list is computed only inside the branches that ask for it."""
+    lines = quality.judged(docs)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    asking = [line for line in lines if ", !, 0)" in line]
+    assert asking and all("CASE WHEN" in line and "AS kept" in line for line in asking)
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------
 
 def test_pipeline_is_its_stages_by_brute_force(spark, texts):

@@ -21,9 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tonelens.llm.common import SPACE, let, words_of
 
-#: Rows, and characters of each, that the cost of a rule is measured on.
+#: Rows, whole texts, that the cost of a rule is measured on.
 SAMPLE_ROWS = 256
-SAMPLE_CHARS = 20_000
 WINDOW = 5
 
 
@@ -129,13 +128,16 @@ def lazily(text: str = "text") -> Callable[[str], Column]:
     return lambda name: MEASURES[name](F.col(text))
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[Rule, ...]:
-    """The rules by rejections per second, most first, as measured one by one on a sample of bounded rows and width.
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
+    """The rules by rejections per second, most first, as measured one by one on a sample of ``rows`` whole texts.
 
-    The sample is what the first scan tasks find: collecting a limit reads no more than it needs and shuffles nothing.
+    The sample are the texts of the least hashes, drawn from the whole table: each task keeps its own least ``rows``
+    hashes, and the texts of those that stay are fetched.
     """
-    found = docs.select(F.substring(F.col(text), 1, chars).alias("text")).limit(rows).collect()
-    sample = docs.sparkSession.createDataFrame(found, "text string")
+    spread = F.xxhash64(F.col(text), F.lit(7))
+    least = [r["h"] for r in docs.select(spread.alias("h")).distinct().orderBy("h").limit(rows).collect()]
+    found = docs.filter(spread.isin(least)).select(F.col(text).alias("text")).limit(rows).collect() if least else []
+    sample = docs.sparkSession.createDataFrame([tuple(r) for r in found], "text string")
     of = lazily("text")
 
     def run(broken: Column) -> tuple[float, int]:
@@ -161,14 +163,23 @@ def first_failure(rules: tuple[Rule, ...], of: Callable[[str], Column]) -> Colum
     return verdict
 
 
+#: Measures that every judged row has as columns.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """Measures, ``base_failed``, and ``kept`` by the cascade over the measures."""
+    """``docs`` with the ``REPORTED`` measures, ``base_failed``, and ``kept`` by the cascade.
+
+    The cascade reads the reported measures; what only it needs is computed from the text where it gets that far.
+    """
     base = F.lit(False)
     for rule in rules:
         if rule.base:
             base = base | rule.broken(F.col)
-    verdict = first_failure(order_rules(docs, rules, text), F.col)
-    return measured(docs, text).withColumns({"base_failed": base, "kept": verdict.isNull()})
+    later = lazily(text)
+    verdict = first_failure(order_rules(docs, rules, text), lambda name: F.col(name) if name in REPORTED else later(name))
+    reported = docs.withColumns({name: MEASURES[name](F.col(text)) for name in REPORTED})
+    return reported.withColumns({"base_failed": base, "kept": verdict.isNull()})
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
