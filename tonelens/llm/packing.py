@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ END_ID = 2
 #: A piece may leave one in so many tokens of its slot empty.
 SLACK = 32
 #: Most chunks a worker remembers.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 #: Tokens in one batch of results.
 BATCH_TOKENS = 1 << 20
 
@@ -56,6 +57,7 @@ class ChunkIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
@@ -77,7 +79,8 @@ class ChunkIds(dict):
         word = chunk.decode()
         if word.isalpha() and max(word) < "ƀ" and word == word.lower():
             letters = chunk.decode("latin-1").translate(self.byte_letters)
-            return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+            ids = [t.id for t in self.model.tokenize(letters)]
+            return pack_ids(f"<{len(ids)}I", *ids)
         return self.whole(chunk)
 
     def __missing__(self, chunk: bytes) -> bytes:
