@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import plan_of
+from tonelens.functions import bit_filter
 from tonelens.operators import leakage, profiling
 
 
@@ -60,3 +61,34 @@ def test_leaks_of_many_rows(spark):
     held = spark.createDataFrame([(1, "b c d e f g h y")], "item long, text string")
     found = leakage.shared_shingles(df, "doc", held, "item").collect()
     assert len(found) == 100 and {r.n_shared for r in found} == {1}
+
+
+def test_only_matching_shingles_leave_their_rows(spark):
+    """A held-out side that Spark may not broadcast: the corpus is filtered before the one shuffle of its shingles."""
+    words = [F.concat(F.lit("w"), F.translate((F.xxhash64("id", F.lit(k)) % 100_000).cast("string"), "-0123456789", "xabcdefghij")) for k in range(40)]
+    corpus = spark.range(2000).select(F.col("id").alias("doc"), F.concat_ws(" ", *words).alias("text"))
+    quoted = corpus.filter("doc % 100 = 7").select((F.col("doc") + 5000).alias("item"), F.substring_index("text", " ", 12).alias("text"))
+    other = spark.range(300, 600).select(F.col("id").alias("item"), F.concat_ws(" ", *reversed(words)).alias("text"))
+    held = quoted.union(other)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.doc: r.n_shared for r in leakage.shared_shingles(corpus, "doc", held, "item").collect()}
+        wanted = leakage._hashed(leakage.shingles(held, "item"), leakage.SHINGLE_WORDS)
+        met = leakage._candidates(corpus, "doc", wanted, "text", leakage.SHINGLE_WORDS)
+        audit = leakage.quoted_passages(held, "item", corpus, "doc").filter("leaked").collect()
+        passed, every = met.count(), leakage.shingles(corpus, "doc").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {d: 5 for d in range(7, 2000, 100)}
+    assert {(r["item"], r.n_shingles, r.n_leaked) for r in audit} == {(d + 5000, 5, 5) for d in found}
+    assert every == 2000 * 33 and 100 <= passed < every / 100
+
+
+def test_filter_holds_its_set_even_when_full(spark):
+    hashes = spark.range(400).select(F.xxhash64("id").alias("h"))
+    for words in (1, 64):
+        table = bit_filter.constant(bit_filter.build(hashes, "h", words))
+        assert hashes.filter(bit_filter.may_hold(table, F.col("h"), words)).count() == 400
+    none = bit_filter.constant(bit_filter.build(hashes.limit(0), "h", 64))
+    assert hashes.filter(bit_filter.may_hold(none, F.col("h"), 64)).count() == 0
