@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +8,8 @@ from pyspark.sql import functions as F
 from tonelens.operators import conversation
 from tonelens.operators.messages import score_messages
 from tonelens.plans.workdir import work_path
-from tonelens.streaming import conversations, messages, windows
-from tonelens.streaming.sinks import read_file_stream, run_to_table
+from tonelens.streaming import accounting, conversations, messages, windows
+from tonelens.streaming.sinks import read_file_stream, run_available, run_to_table
 
 SCHEMA = "conv_id string, turn long, text string, ts timestamp"
 T0 = datetime(2024, 1, 1)
@@ -119,3 +120,33 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     assert windows.sliding_label_counts(static, "30 minutes", "15 minutes").agg(F.sum("n")).first()[0] == 120
     sessions = windows.session_label_counts(static.filter("turn < 10 OR turn > 20"), "5 minutes", "conv_id")
     assert sorted(r.n for r in sessions.collect()) == [10, 39]
+
+
+def test_accounts_add_up_to_the_input(spark, tmp_path):
+    """Blank, late and audited rows of the audit; admitted and rejected ones of the scorer."""
+    push = [[("zz", i, LINES[0], T0 + timedelta(minutes=30 + i))] for i in range(2)]
+    late = [("aa", 90 + i, LINES[1], T0 + timedelta(minutes=1)) for i in range(3)] + [("zz", 9, LINES[2], T0 + timedelta(minutes=32))]
+    folder = write_batches(spark, str(tmp_path), rows("aa", 3), *push, late)
+    query, out = run_available(conversations.audit_stream(stream_of(spark, folder), account="audit"), "accounts")
+    got = accounting.account(query, "audit_in", "audit_out")
+    assert (got["n_input"], got["n_admitted"], got["n_blank"], got["n_late"], got["n_audited"]) == (9, 8, 1, 3, 5)
+    assert got["n_input"] == got["n_blank"] + got["n_late"] + got["n_audited"] and out.count() == 5
+    assert accounting.account(query, "audit_in", after=got["last_batch"]) == {"n_late": 0, "last_batch": got["last_batch"]}
+
+    folder = write_batches(spark, str(tmp_path / "m"), rows("aa", 5), [("b", 0, "x" * 2001, T0), ("b", 1, None, T0), ("b", 2, "", T0)])
+    paths = work_path(spark, "accounts-sinks")
+    q = messages.start_scoring(stream_of(spark, folder), f"{paths}/good", f"{paths}/bad", f"{paths}/cp", availableNow=True)
+    q.awaitTermination()
+    table = {r.outcome: r.n for r in accounting.account_table(spark, q, messages.ACCOUNT).collect()}
+    assert table == {"input": 8, "admitted": 4, "missing": 1, "empty": 1, "too_long": 1, "blank": 1, "late": 0}
+
+
+def test_lost_progress_is_an_error():
+    class Query:
+        recentProgress = [SimpleNamespace(batchId=b, observedMetrics={}, stateOperators=[]) for b in (7, 8)]
+
+    assert accounting.account(Query, after=6) == {"n_late": 0, "last_batch": 8}
+    assert accounting.account(Query, first=7)["last_batch"] == 8
+    for seen in (-1, 5):
+        with pytest.raises(ValueError):
+            accounting.account(Query, after=seen)

@@ -530,6 +530,11 @@ ORACLES["stream_message_scores"] = f"""WITH {_ADMITTED}, {_scored('admitted', DO
 SELECT doc_id, 'ok' AS outcome, label, confidence FROM scored
 UNION ALL SELECT doc_id, {_OUTCOME}, NULL, NULL FROM documents WHERE {_OUTCOME} <> 'ok'"""
 
+ORACLES["stream_accounts"] = f"""WITH o AS (SELECT {_OUTCOME} AS outcome, count(*) AS n FROM documents GROUP BY 1),
+names AS (SELECT unnest(['admitted', 'missing', 'empty', 'too_long', 'blank']) AS outcome)
+SELECT names.outcome, coalesce(o.n, 0) AS n FROM names LEFT JOIN o ON o.outcome = CASE names.outcome WHEN 'admitted' THEN 'ok' ELSE names.outcome END
+UNION ALL SELECT 'input', count(*) FROM documents UNION ALL SELECT 'late', 0"""
+
 ORACLES["stream_conversation_audit"] = ORACLES["rolling_audit"]
 
 # -- sources and sinks ------------------------------------------------------------------------------------------

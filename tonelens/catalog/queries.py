@@ -17,6 +17,7 @@ from tonelens.sources import artifacts
 from tonelens.sources import corpus as files
 from tonelens.sources.samples import with_extra
 from tonelens.sources.tables import read_table
+from tonelens.streaming import accounting
 from tonelens.streaming import conversations as stream_conversations
 from tonelens.streaming import messages as stream_messages
 from tonelens.streaming import windows as stream_windows
@@ -742,6 +743,16 @@ def stream_message_scores(spark, sf):
     return good.unionByName(bad)
 
 
+@query
+def stream_accounts(spark, sf):
+    """Where the messages of the document stream went, from the query's progress."""
+    out = work_path(spark, "stream-accounts")
+    stream = read_file_stream(spark, sf, _DOCS, "documents.parquet").select("doc_id", "text")
+    running = stream_messages.start_scoring(stream, f"{out}/good", f"{out}/bad", f"{out}/checkpoint", DOCUMENTS, availableNow=True)
+    running.awaitTermination()
+    return accounting.account_table(spark, running, stream_messages.ACCOUNT)
+
+
 @query
 def stream_conversation_audit(spark, sf):
     turns = read_file_stream(spark, sf, _TURNS, "conversations.parquet")

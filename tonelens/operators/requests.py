@@ -9,6 +9,8 @@ from tonelens.functions.text import strip_blanks
 # The admission limits.
 MAX_MESSAGE_CHARS = 2000
 MAX_CONVERSATION_MESSAGES = 20
+#: What :func:`message_reject_reason` can give.
+REJECT_REASONS = ["missing", "empty", "too_long", "blank"]
 
 
 def message_reject_reason(text: Column) -> Column:

@@ -14,6 +14,7 @@ from tonelens.functions.text import strip_blanks
 from tonelens.operators.conversation import COUNT_COLS, RECENT, WINDOW, severity_points, verdict_columns
 from tonelens.operators.lexicon import DEFAULT_LEXICON, Lexicon
 from tonelens.operators.messages import score_messages
+from tonelens.streaming.accounting import outcomes
 
 _STATE = "seen array<struct<ts: timestamp, turn: bigint, label: string, severity: string>>"
 _EMIT_ROWS = 10_000
@@ -100,6 +101,7 @@ def audit_stream(
     ts: str = "ts",
     late: str = "10 minutes",
     idle_ms: int = 3_600_000,
+    account: str | None = None,
 ) -> DataFrame:
     """The audit after every message of a stream ``(conv, turn, text, ts)``.
 
@@ -109,7 +111,13 @@ def audit_stream(
     the window of its own time; windows that went out before it came stay as they are.  Messages behind the watermark
     are dropped.  The state of a conversation is its messages since the watermark and four more, and goes once the
     watermark is past the idle time after the last one.
+
+    ``account`` names two observations, ``<account>_in`` (all rows, spoken and blank ones) and ``<account>_out`` (audited
+    ones); ``accounting.account`` adds the late rows, and input = blank + late + audited.
     """
+    if account:
+        blank = F.when(F.length(strip_blanks(F.coalesce(F.col(text), F.lit("")))) == 0, "blank")
+        stream = stream.observe(f"{account}_in", *outcomes(blank, ["blank"]))
     scored = scored_turns(stream, lexicon, prob, conv, turn, text, ts)
     key_type = scored.schema["conv_id"].dataType.simpleString()
     windows = (
@@ -124,4 +132,6 @@ def audit_stream(
             GroupStateTimeout.EventTimeTimeout,
         )
     )
+    if account:
+        windows = windows.observe(f"{account}_out", F.count("*").alias("n_audited"))
     return window_verdicts(windows)

@@ -9,7 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 from tonelens.functions.text import strip_blanks
 from tonelens.operators.lexicon import DEFAULT_LEXICON, Lexicon
 from tonelens.operators.messages import score_messages, with_highlights
-from tonelens.operators.requests import check_messages
+from tonelens.operators.requests import REJECT_REASONS, check_messages
+from tonelens.streaming.accounting import outcomes
+
+#: Name of the observation that counts a scoring stream's rows.
+ACCOUNT = "messages"
 
 
 def scored_stream(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, text: str = "text", prob: str | None = None) -> DataFrame:
@@ -36,6 +40,7 @@ def start_scoring(
     """Run :func:`scored_stream` into two Parquet folders, one sub-folder per batch.
 
     A batch that is retried after a failure overwrites its own sub-folder, so both sinks see every row once.
+    Counts of admitted and rejected rows are observed as ``ACCOUNT``: ``accounting.account(query, ACCOUNT)``.
     """
     kept = stream.columns
 
@@ -51,6 +56,7 @@ def start_scoring(
 
     return (
         scored_stream(stream, lexicon, text, prob)
+        .observe(ACCOUNT, *outcomes(F.col("reject_reason"), REJECT_REASONS))
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))

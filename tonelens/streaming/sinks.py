@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from tonelens.plans.workdir import work_path
 
@@ -13,8 +14,8 @@ def read_file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*
     return reader.parquet(folder)
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything that is available now, append it to a Parquet table in the work folder, read that back."""
+def run_available(stream: DataFrame, name: str) -> tuple[StreamingQuery, DataFrame]:
+    """Process everything that is available now, append it to a Parquet table in the work folder; the ended query and the table."""
     spark = stream.sparkSession
     path = work_path(spark, name)
     query = (
@@ -25,4 +26,9 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
         .start(f"{path}/table")
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+    return query, spark.read.schema(stream.schema).parquet(f"{path}/table")
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """The table of :func:`run_available`."""
+    return run_available(stream, name)[1]
