@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conftest import plan_of
@@ -132,3 +133,34 @@ def test_external_scorers(spark):
     df = spark.createDataFrame([(i, "x" * i) for i in range(130)], "row_id long, text string").repartition(3)
     assert all(r.prob == r.row_id / 100 for r in models.score_text(df, make_prob).collect())
     assert all(r.logits == [0.0, float(r.row_id)] for r in models.score_logits(df, make_logits, 2).collect())
+
+
+@pytest.mark.parametrize("penalty", ["l1", "l2"])
+def test_optimality_of_a_stored_fit(spark, penalty):
+    """Against the conditions written out in numpy; a model that was pushed off its optimum shows it."""
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((240, 12)) < 0.4, rng.random((240, 12)), 0.0)
+    y = (x[:, 0] + 0.3 * rng.random(240) > x[:, 1] + 0.4).astype(int)
+    data = [(i, int(y[i]), Vectors.sparse(12, [(j, float(x[i, j])) for j in np.flatnonzero(x[i])])) for i in range(240)]
+    train = spark.createDataFrame(data, ["row_id", "label", "features"])
+    fitted = models.TextClassifier.fit(train, grid_c=[1.0], grid_penalty=[penalty])
+    path = work_path(spark, "certified")
+    fitted.save(spark, path)
+    loaded = models.TextClassifier.load(spark, path)
+    predictions = [{r.row_id: (r.prediction, r.prob) for r in m.transform(train).collect()} for m in (fitted, loaded)]
+    assert predictions[0] == predictions[1]
+    got = models.optimality(loaded, train).first()
+    b, n = fitted.model.coefficients.toArray(), len(y)
+    w = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    error = w * (1 / (1 + np.exp(-(x @ b + fitted.model.intercept))) - y) / n
+    g = x.T @ error
+    if penalty == "l1":
+        breach = np.where(b == 0, np.maximum(np.abs(g) - 1 / n, 0), np.abs(g + np.sign(b) / n))
+    else:
+        breach = np.abs(g + b / n)
+    want = max(breach.max(), abs(error.sum()))
+    start = max(np.abs(x.T @ (w * (0.5 - y) / n)).max(), abs((w * (0.5 - y)).sum() / n))
+    assert abs(got["violation"] - want) < 1e-9 and abs(got["start"] - start) < 1e-9
+    assert got["violation"] < 0.02 * got["start"]
+    wrong = models.TextClassifier(fitted.model, fitted.params | {"C": 0.01})
+    assert models.optimality(wrong, train).first()["violation"] > 0.1 * got["start"]

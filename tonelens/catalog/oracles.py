@@ -524,6 +524,11 @@ l AS (SELECT doc_id, [2.0 - n, n, 3.0 * n - 4.0] AS v FROM x),
 e AS (SELECT doc_id, v, list_max(v) AS m, list_transform(v, lambda y: exp(y - list_max(v))) AS e FROM l)
 SELECT doc_id, (list_position(v, m) - 1)::BIGINT AS top, round(1 / list_sum(e), 6) AS top_prob FROM e"""
 
+# -- learning: what holds for any fit ----------------------------------------------------------------------------
+
+ORACLES["lr_round_trip"] = f"""SELECT p.penalty, count(*) AS n_rows, count(*) AS n_same
+FROM (VALUES ('l1'), ('l2')) p(penalty), ({ORACLES['prepared_corpus']}) c GROUP BY 1"""
+
 # -- streams: the tables they end in ----------------------------------------------------------------------------
 
 ORACLES["stream_message_scores"] = f"""WITH {_ADMITTED}, {_scored('admitted', DOCUMENTS)}

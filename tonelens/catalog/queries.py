@@ -564,6 +564,31 @@ def lr_top_features(spark, sf):
     return classifier.top_features(fitted.vocabulary)
 
 
+@query
+def lr_round_trip(spark, sf):
+    """Per penalty: for how many rows a classifier that was stored and loaded predicts what the fitted one does."""
+    fitted, rows = features(spark, sf), []
+    for penalty in ("l1", "l2"):
+        classifier = models.TextClassifier.fit(fitted.split("train"), grid_c=[1.0], grid_penalty=[penalty])
+        path = work_path(spark, "classifier")
+        classifier.save(spark, path)
+        loaded = models.TextClassifier.load(spark, path)
+        first, second = (m.transform(fitted.rows).select("row_id", F.struct("prediction", "prob").alias(name)) for m, name in ((classifier, "p"), (loaded, "q")))
+        same = first.join(second, "row_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("p") == F.col("q")).alias("n_same"))
+        rows.append(same.select(F.lit(penalty).alias("penalty"), "n_rows", "n_same"))
+    return rows[0].union(rows[1])
+
+
+@query
+def lr_certificate(spark, sf):
+    """Per penalty: how far the fit is from its optimum, next to the gradient it began with."""
+    train, rows = features(spark, sf).split("train"), []
+    for penalty in ("l1", "l2"):
+        classifier = models.TextClassifier.fit(train, grid_c=[1.0], grid_penalty=[penalty])
+        rows.append(models.optimality(classifier, train).select(F.lit(penalty).alias("penalty"), "violation", "start"))
+    return rows[0].union(rows[1])
+
+
 @query
 def train_all(spark, sf):
     return experiments.train_all(features(spark, sf)).comparison

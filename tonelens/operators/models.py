@@ -203,6 +203,34 @@ class TextClassifier:
         return TextClassifier(LogisticRegressionModel.load(f"{path}/model"), params)
 
 
+def optimality(classifier: TextClassifier, train: DataFrame) -> DataFrame:
+    """How far a fit on ``train(row_id, label, features)`` is from the optimum: one row ``(violation, start)``.
+
+    ``violation`` is the largest breach of the optimality conditions over all terms and the intercept: gradient plus
+    penalty gradient where that exists, what the gradient has beyond the penalty at an L1 weight of zero.  ``start`` is the
+    largest gradient at weights of zero, the measure of it.  One pass: gradients are summed by term, each task its own first.
+    """
+    c, penalty = classifier.params["C"], classifier.params["penalty"]
+    n = train.count()
+    strength = F.lit(1.0 / (c * n))
+    truth, weight = F.col("label").cast("double"), F.col("weight")
+    rows = classifier.transform(with_class_weights(train.select("row_id", "label", "features"))).select(
+        (weight * (F.col("prob") - truth) / n).alias("e"), (weight * (0.5 - truth) / n).alias("s"), F.unwrap_udt("features").alias("v")
+    )
+    long = rows.select("e", "s", F.inline(F.arrays_zip(F.col("v.indices").alias("idx"), F.col("v.values").alias("x"))))
+    gradients = long.groupBy("idx").agg(F.sum(F.col("e") * F.col("x")).alias("g"), F.sum(F.col("s") * F.col("x")).alias("s"))
+    values = [(i, float(b)) for i, b in enumerate(classifier.model.coefficients.toArray())]
+    weights = train.sparkSession.createDataFrame(values, "idx int, b double")
+    zero = F.lit(0.0)
+    g, b = F.coalesce("g", zero), F.col("b")
+    breach = F.abs(g + strength * b)
+    if penalty == "l1":
+        breach = F.when(b == 0, F.greatest(F.abs(g) - strength, zero)).otherwise(F.abs(g + strength * F.signum(b)))
+    terms = weights.join(gradients, "idx", "left").select(breach.alias("breach"), F.abs(F.coalesce("s", zero)).alias("start"))
+    intercept = rows.agg(F.abs(F.sum("e")).alias("breach"), F.abs(F.sum("s")).alias("start"))
+    return terms.union(intercept).agg(F.max("breach").alias("violation"), F.max("start").alias("start"))
+
+
 @dataclass
 class FeatureSet:
     """The vocabulary fitted on the training split and the feature table of all splits."""
