@@ -549,3 +549,13 @@ def test_pipeline_is_its_stages_by_brute_force(spark, texts):
     for r in sorted(rows, key=lambda r: r["start"]):
         found[r["doc_id"]] += r["ids"]
     assert found == {d: [*tokenizer.encode(texts[d], add_special_tokens=False).ids, 2] for d in clean}
+
+
+def test_chunk_ids_are_those_of_whole_texts():
+    """Letters with and without marks, composed or not, digits, quotes, punctuation and odd white space in any order."""
+    known = packing.ChunkIds(WORD_FILE)
+    rng = random.Random(1)
+    letters = "aZéÉßİıſŉŀ'.,*&<>≠́ 9²ªµ×÷_-\"sdtǅʼŁΩ \n"
+    for _ in range(20_000):
+        text = "".join(rng.choices(letters, k=rng.randint(0, 12))).encode()
+        assert known.of(text) == known.whole(text), text

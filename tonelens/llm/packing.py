@@ -17,7 +17,7 @@ repeated rows are packed as often as they occur; an empty table gives no rows; o
 from __future__ import annotations
 
 import json
-import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,16 +44,22 @@ BATCH_TOKENS = 1 << 20
 WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+PUNCTUATION = string.punctuation.encode()
+
+
+def _latin(word: str) -> bool:
+    """Letters below U+0180 only: composed forms, lower-cased one by one (but for U+0130, which becomes two)."""
+    return word.isalpha() and max(word) < "\u0180" and "\u0130" not in word
+
+
 class ChunkIds(dict):
     """White-space separated chunk, A to Z lower-cased -> its ids as little-endian unsigned 32-bit integers.
 
-    A chunk that ends in punctuation after an ASCII letter or digit is the chunk before it and the punctuation, because
-    the split pattern parts them.  A chunk of Latin letters is one word for the model; anything else goes through the
-    whole tokenizer.
+    A chunk that ends in ASCII punctuation after a letter below U+0180 or an ASCII digit is the chunk before it and the
+    punctuation, because the split pattern parts them.  A chunk of letters below U+0180 is one word for the model;
+    anything else goes through the whole tokenizer.
     """
 
-    _tail = re.compile(rb"(.*[a-z0-9])([.,!?;:]+)", re.S)
-
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,19 +81,25 @@ class ChunkIds(dict):
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return pack_ids(f"<{len(ids)}I", *ids)
+
     def _ids(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters are their own byte letters
+            return self._word(chunk.decode())
+        head = chunk.rstrip(PUNCTUATION)
+        if head and len(head) < len(chunk) and (head[-1:].isalnum() or _latin(head.decode()[-1])):
+            return self[head] + self[chunk[len(head) :]]
         word = chunk.decode()
-        if word.isalpha() and max(word) < "ƀ" and word == word.lower():
-            letters = chunk.decode("latin-1").translate(self.byte_letters)
-            ids = [t.id for t in self.model.tokenize(letters)]
-            return pack_ids(f"<{len(ids)}I", *ids)
+        if _latin(word):
+            return self._word(word.lower().encode().decode("latin-1").translate(self.byte_letters))
         return self.whole(chunk)
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        parts = self._tail.fullmatch(chunk)
-        self[chunk] = ids = self[parts[1]] + self[parts[2]] if parts else self._ids(chunk)
+        self[chunk] = ids = self._ids(chunk)
         return ids
 
     def of(self, text: bytes) -> bytes:
