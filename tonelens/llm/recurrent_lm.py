@@ -16,7 +16,8 @@ weighted by tokens, in one aggregation.
 
 Scoring is narrow but for rare words.  Counts of the ``HEAD`` most frequent words, a bounded table, go to all tasks; a
 word that is not among them leaves its task as (row, word, times) and meets its count in a join on the word.  State is
-carried over windows of ``WINDOW`` tokens through each whole document, many documents side by side.
+carried from window to window through each whole document, many documents side by side; a window is ``WINDOW`` tokens of
+all of them.
 
 Defined results: a null or blank text is the end token alone; repeated rows are scored alike, each on its own; with no
 training tokens every word is unknown and the model is untrained; an empty table gives an empty one; only the key and
@@ -47,10 +48,11 @@ EMBED, HIDDEN = 16, 24
 STEPS, STREAMS, ROUNDS, RATE = 20, 16, 1, 0.01
 #: Stretches that a pass over a shard takes: more tokens are read side by side.
 STRETCHES = 156
-SHARD_TOKENS, PIECE_TOKENS = 800_000, 50_000
+SHARD_TOKENS, PIECE_TOKENS = 1_600_000, 50_000
 #: Most words whose counts are sent to every task.
 HEAD = 300_000
-WINDOW = 256
+#: Tokens of all documents side by side whose probabilities are taken at a time.
+WINDOW = 8192
 #: Entries of a task's counter before it hands them on, and words a task remembers.
 COUNTER_ENTRIES = 400_000
 END = b""
@@ -204,7 +206,7 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """Overwrites its argument."""
-    np.clip(x, -30, 30, out=x)
+    np.maximum(x, -30, out=x)
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
@@ -226,23 +228,52 @@ def advance(inputs: np.ndarray, h: np.ndarray, p: dict[str, np.ndarray]) -> tupl
     return after, (r, z, pulled, c)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    """Overwrites its argument."""
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _exponentials(x: np.ndarray) -> np.ndarray:
+    """Overwrites its argument, one distribution a column, with exponentials; returns their sums."""
+    x -= x.max(axis=0)
+    return np.exp(x, out=x).sum(axis=0)
+
+
+def _logs(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probability of the ``at``-th symbol of each column; overwrites ``x``."""
+    x -= x.max(axis=0)
+    chosen = x[at, np.arange(x.shape[1])]
+    return chosen - np.log(np.exp(x, out=x).sum(axis=0))
+
+
+class Grouped(NamedTuple):
+    """States in the order of their target's class, and what each class gives its symbols: (symbol, state)."""
+
+    order: np.ndarray
+    states: np.ndarray
+    #: class, first and last row of its states
+    spans: list[tuple[int, int, int]]
+    scores: np.ndarray
+
+
+def _grouped(states: np.ndarray, group: np.ndarray, p: dict[str, np.ndarray]) -> Grouped:
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    ends = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+    spans = [(k, s, e) for k, (s, e) in enumerate(zip(ends, ends[1:], strict=False)) if s < e]
+    states = states[order]
+    scores = np.empty((SIZE, len(states)), states.dtype)
+    for k, s, e in spans:
+        np.add(p["ws"][k].T @ states[s:e].T, p["bs"][k][:, None], out=scores[:, s:e])
+    return Grouped(order, states, spans, scores)
+
+
+def _class_scores(states: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    scores = p["wc"].T @ states.T
+    scores += p["bc"][:, None]
+    return scores
 
 
 def log_likelihood(h: np.ndarray, place: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
     """Natural log of the probability of each symbol's place after state ``h``."""
     group, slot = place // SIZE, place % SIZE
-    out = _log_softmax(h @ p["wc"] + p["bc"])[np.arange(len(h)), group]
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for g in range(CLASSES):
-        rows = order[ends[g] : ends[g + 1]]
-        if len(rows):
-            out[rows] += _log_softmax(h[rows] @ p["ws"][g] + p["bs"][g])[np.arange(len(rows)), slot[rows]]
+    own = _grouped(h, group, p)
+    out = _logs(_class_scores(h, p), group)
+    out[own.order] += _logs(own.scores, slot[own.order])
     return out
 
 
@@ -263,16 +294,21 @@ def _gradients(inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np
     group, slot = place // SIZE, place % SIZE
     g = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
     rows = np.arange(len(place))
-    error = np.exp(_log_softmax(states @ p["wc"] + p["bc"]))
-    error[rows, group] -= 1
-    g["wc"], g["bc"] = states.T @ error, error.sum(axis=0)
-    d_states = error @ p["wc"].T
-    for k in np.unique(group):
-        own = np.flatnonzero(group == k)
-        error = np.exp(_log_softmax(states[own] @ p["ws"][k] + p["bs"][k]))
-        error[np.arange(len(own)), slot[own]] -= 1
-        g["ws"][k], g["bs"][k] = states[own].T @ error, error.sum(axis=0)
-        d_states[own] += error @ p["ws"][k].T
+    error = _class_scores(states, p)
+    error /= _exponentials(error)
+    error[group, rows] -= 1
+    g["wc"], g["bc"] = states.T @ error.T, error.sum(axis=1)
+    d_states = error.T @ p["wc"].T
+    own = _grouped(states, group, p)
+    error = own.scores
+    error /= _exponentials(error)
+    error[slot[own.order], rows] -= 1
+    d_own = np.empty_like(d_states)
+    for k, s, e in own.spans:
+        here = error[:, s:e]
+        g["ws"][k], g["bs"][k] = own.states[s:e].T @ here.T, here.sum(axis=1)
+        np.matmul(here.T, p["ws"][k].T, out=d_own[s:e])
+    d_states[own.order] += d_own
     d_states = d_states.reshape(steps, streams, HIDDEN)
     d_h = np.zeros((streams, HIDDEN), np.float32)
     d_inputs = np.empty((steps, streams, 3 * HIDDEN), np.float32)
@@ -291,12 +327,12 @@ def _gradients(inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np
         d_h += pull @ p["u"].T
         d_h[fresh[t]] = 0
     g["u"] = np.concatenate(before).T @ d_pulls.reshape(-1, 3 * HIDDEN)
-    # rows of one symbol are added up first: all that follows is linear in them
-    order = np.argsort(inputs, axis=None, kind="stable")
+    d_inputs = d_inputs.reshape(-1, 3 * HIDDEN)
+    g["w"], g["b"] = p["embed"][inputs.ravel()].T @ d_inputs, d_inputs.sum(axis=0)
+    # rows of one symbol are added up by a sorted sum
+    order = np.argsort(inputs.astype(np.int16), axis=None, kind="stable")
     symbols, first = np.unique(inputs.ravel()[order], return_index=True)
-    d_symbols = np.add.reduceat(d_inputs.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-    g["w"], g["b"] = p["embed"][symbols].T @ d_symbols, d_symbols.sum(axis=0)
-    g["embed"][symbols] = d_symbols @ p["w"].T
+    g["embed"][symbols] = np.add.reduceat((d_inputs @ p["w"].T)[order], first, axis=0)
     return {k: v / len(place) for k, v in g.items()}, h
 
 
@@ -405,9 +441,10 @@ def sequence_scores(symbols: np.ndarray, lengths: np.ndarray, params: dict[str,
     projected = params["embed"] @ params["w"] + params["b"]
     totals = np.zeros(len(lengths))
     h = np.zeros((len(lengths), HIDDEN), np.float32)
-    for start in range(0, len(steps), WINDOW):
-        states = []
-        stop = min(start + WINDOW, len(steps))
+    start = stop = 0
+    while stop < len(steps):
+        start, states = stop, []
+        stop = max(start + 1, int(np.searchsorted(steps.starts, steps.starts[start] + WINDOW, side="right")) - 1)
         for t in range(start, stop):
             n = int(steps.running[t])
             here = steps.at(t)
@@ -454,23 +491,26 @@ def score(docs: DataFrame, language: Language, counts: DataFrame, key: str = "do
         vocabulary, head, params = model.vocabulary, model.head, shaped(model.weights)
         place = classes_of(vocabulary.log_share)
         part, done = TaskContext.get().partitionId() << 36, 0
-        logs = {w: math.log10(c + 0.5) for w, c in head.items()}
-        symbol_of = Symbols(vocabulary)
+        # a word's place in two lists: of symbols, and of log10 of count plus a half, which only words of the head have
+        known = {w: i for i, w in enumerate(head)}
+        symbol_at = np.array([*map(vocabulary.symbol, head), *range(OUTPUTS - TAIL, OUTPUTS)], np.int64)
+        log_at = np.array([math.log10(c + 0.5) for c in head.values()] + [math.nan] * TAIL)
+        unit = np.zeros(OUTPUTS)
+        unit[OUTPUTS - TAIL :] = vocabulary.tail_unit
         for whole in batches:
             for batch in slices(whole, "text", most_bytes=4 << 20, most_rows=1024):
                 words = [tokens_of(t) for t in utf8(batch, "text")]
                 lengths = np.array([len(w) for w in words])
-                symbols = np.fromiter(map(symbol_of.__getitem__, chain.from_iterable(words)), np.int64, lengths.sum())
+                at = np.fromiter(map(known.get, chain.from_iterable(words), repeat(-1)), np.int64, lengths.sum())
                 row = np.repeat(np.arange(len(words)), lengths)
-                # log10 of count plus a half; words outside the head are left to the join
-                known = np.fromiter(map(logs.get, chain.from_iterable(words), repeat(math.nan)), float, len(row))
-                rare = np.isnan(known)
-                at_tail = symbols >= OUTPUTS - TAIL
-                unit = np.array(vocabulary.tail_unit)[np.where(at_tail, symbols - (OUTPUTS - TAIL), 0)]
-                head_logs = np.where(rare, 0.0, known)
-                scores = sequence_scores(symbols, lengths, params, place) + np.bincount(row, np.where(at_tail, unit + head_logs, 0), len(words))
-                base = np.bincount(row, head_logs, len(words)) - lengths * least
+                # words outside the head are left to the join
+                rare = at < 0
                 ends = np.cumsum(lengths)
+                at[rare] = [len(known) + _tail(words[i][j]) for i, j in zip(row[rare], np.flatnonzero(rare) - (ends - lengths)[row[rare]], strict=True)]
+                symbols, head_logs = symbol_at[at], np.where(rare, 0.0, log_at[at])
+                in_tail = symbols >= OUTPUTS - TAIL
+                scores = sequence_scores(symbols, lengths, params, place) + np.bincount(row, np.where(in_tail, unit[symbols] + head_logs, 0), len(words))
+                base = np.bincount(row, head_logs, len(words)) - lengths * least
                 tails = [
                     [{"word": w, "times": n} for w, n in Counter(words[i][j - s] for j in np.flatnonzero(rare[s:e]) + s).items()]
                     for i, (s, e) in enumerate(zip(ends - lengths, ends, strict=True))
