@@ -59,7 +59,9 @@ END = b""
 
 
 def tokens_of(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+    words = text.lower().split()
+    words.append(END)
+    return words
 
 
 # -- counts -----------------------------------------------------------------------------------------------------
@@ -378,7 +380,7 @@ def _pieces(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str) -> Dat
                 names, found = [], []
                 for h, t in zip(batch.column("h").to_pylist(), utf8(batch, "text"), strict=True):
                     words = tokens_of(t)
-                    symbols = np.fromiter(map(symbol_of.__getitem__, words), np.int32, len(words))
+                    symbols = np.fromiter(map(symbol_of.__getitem__, words), np.int16, len(words))
                     for piece, start in enumerate(range(0, len(symbols), PIECE_TOKENS)):
                         names.append((h, seen[h], piece))
                         found.append(symbols[start : start + PIECE_TOKENS])
@@ -387,12 +389,12 @@ def _pieces(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str) -> Dat
                     seen.clear()
                 h, copy, piece = zip(*names, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h, pa.int64()), pa.array(copy, pa.int64()), pa.array(piece, pa.int64()), lists(found, pa.int32())],
+                    [pa.array(h, pa.int64()), pa.array(copy, pa.int64()), pa.array(piece, pa.int64()), lists(found, pa.int16())],
                     names=["h", "copy", "piece", "symbols"],
                 )
 
     slim = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "h long, copy long, piece long, symbols array<int>")
+    return slim.mapInArrow(run, "h long, copy long, piece long, symbols array<smallint>")
 
 
 def _shards(docs: DataFrame, vocabulary: Vocabulary, n: int, key: str, text: str) -> DataFrame:
@@ -482,19 +484,19 @@ def score(docs: DataFrame, language: Language, counts: DataFrame, key: str = "do
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(language)
+    # a word's place in two lists: of symbols, and of log10 of count plus a half, which only words of the head have
+    words_known = {w: i for i, w in enumerate(language.head)}
+    symbols_known = np.array([*map(language.vocabulary.symbol, language.head), *range(OUTPUTS - TAIL, OUTPUTS)], np.int64)
+    logs_known = np.append(np.log10(np.fromiter(language.head.values(), float, len(language.head)) + 0.5), np.full(TAIL, math.nan))
+    shared = spark.sparkContext.broadcast((language.vocabulary, language.weights, words_known, symbols_known, logs_known))
     least = math.log10(language.n + 0.5 * (language.v + 1))
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        vocabulary, head, params = model.vocabulary, model.head, shaped(model.weights)
+        vocabulary, weights, known, symbol_at, log_at = shared.value
+        params = shaped(weights)
         place = classes_of(vocabulary.log_share)
         part, done = TaskContext.get().partitionId() << 36, 0
-        # a word's place in two lists: of symbols, and of log10 of count plus a half, which only words of the head have
-        known = {w: i for i, w in enumerate(head)}
-        symbol_at = np.array([*map(vocabulary.symbol, head), *range(OUTPUTS - TAIL, OUTPUTS)], np.int64)
-        log_at = np.array([math.log10(c + 0.5) for c in head.values()] + [math.nan] * TAIL)
         unit = np.zeros(OUTPUTS)
         unit[OUTPUTS - TAIL :] = vocabulary.tail_unit
         for whole in batches:
@@ -506,21 +508,25 @@ def score(docs: DataFrame, language: Language, counts: DataFrame, key: str = "do
                 # words outside the head are left to the join
                 rare = at < 0
                 ends = np.cumsum(lengths)
-                at[rare] = [len(known) + _tail(words[i][j]) for i, j in zip(row[rare], np.flatnonzero(rare) - (ends - lengths)[row[rare]], strict=True)]
+                owner, column = row[rare], np.flatnonzero(rare) - (ends - lengths)[row[rare]]
+                left = [words[i][j] for i, j in zip(owner.tolist(), column.tolist(), strict=True)]
+                at[rare] = [len(known) + _tail(w) for w in left]
                 symbols, head_logs = symbol_at[at], np.where(rare, 0.0, log_at[at])
                 in_tail = symbols >= OUTPUTS - TAIL
                 scores = sequence_scores(symbols, lengths, params, place) + np.bincount(row, np.where(in_tail, unit[symbols] + head_logs, 0), len(words))
                 base = np.bincount(row, head_logs, len(words)) - lengths * least
-                tails = [
-                    [{"word": w, "times": n} for w, n in Counter(words[i][j - s] for j in np.flatnonzero(rare[s:e]) + s).items()]
-                    for i, (s, e) in enumerate(zip(ends - lengths, ends, strict=True))
-                ]
+                stops = np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
+                tails = [Counter(left[s:e]) for s, e in zip([0, *stops], stops, strict=False)]
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array(chain.from_iterable(tails), pa.binary()), pa.array(chain.from_iterable(t.values() for t in tails), pa.int64())], fields=list(tail_type.value_type)
+                )
+                offsets = pa.array(np.cumsum([0, *map(len, tails)]), pa.int32())
                 ids = part + done + np.arange(len(words))
                 done += len(words)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("key"), pa.array(ids), pa.array(lengths), pa.array(np.bincount(row, ~rare, len(words)).astype(np.int64)),
-                        pa.array(base), pa.array(scores), pa.array(tails, tail_type),
+                        pa.array(base), pa.array(scores), pa.ListArray.from_arrays(offsets, pairs, type=tail_type),
                     ],
                     names=["key", "row", "n_tokens", "n_known", "base_score", "score", "rare"],
                 )
