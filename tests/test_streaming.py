@@ -150,3 +150,15 @@ def test_lost_progress_is_an_error():
     for seen in (-1, 5):
         with pytest.raises(ValueError):
             accounting.account(Query, after=seen)
+
+
+def test_stream_of_a_table_that_is_a_folder(spark, tmp_path):
+    """A table of several files under its own name, next to another table and to one that is a single file."""
+    everything = rows("aa", 23)
+    spark.createDataFrame(everything, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/turns.parquet")
+    spark.createDataFrame(rows("b", 4), SCHEMA).write.parquet(f"{tmp_path}/others.parquet")
+    spark.createDataFrame(everything, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/whole")
+    (file,) = (tmp_path / "whole").glob("*.parquet")
+    for folder, pattern in ((tmp_path, "turns.parquet"), (f"{tmp_path}/whole", file.name)):
+        got = run_to_table(read_file_stream(spark, str(folder), SCHEMA, pattern, max_files=1), "folder").collect()
+        assert sorted(map(tuple, got)) == everything

@@ -9,9 +9,13 @@ from tonelens.plans.workdir import work_path
 
 
 def read_file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", max_files: int = 1000) -> DataFrame:
-    """Parquet files that appear in ``folder`` and match ``pattern``, as a stream of at most ``max_files`` a batch."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    """Parquet tables that appear in ``folder`` and match ``pattern``, as a stream of at most ``max_files`` files a batch.
+
+    A match may be a file or a folder of files.  The pattern is part of the path, in braces so that it is one also without a
+    wildcard: a filter by name would compare the names of the files in a folder, not its own.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    return reader.parquet(f"{folder.rstrip('/')}/{{{pattern}}}")
 
 
 def run_available(stream: DataFrame, name: str) -> tuple[StreamingQuery, DataFrame]:
