@@ -111,6 +111,19 @@ def test_training_end_to_end(spark):
     ]
 
 
+def test_fits_use_no_more_tasks_than_cores(spark, monkeypatch):
+    """However many rows there are: each task of each iteration sends a whole gradient."""
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 2)
+    seen, fit = [], models.LogisticRegression.fit
+    monkeypatch.setattr(models.LogisticRegression, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    data = [(i, i % 2, Vectors.sparse(3, [(i % 2, 1.0), (2, i / 64)])) for i in range(64)]
+    train = spark.createDataFrame(data, ["row_id", "label", "features"]).repartition(16)
+    classifier = models.TextClassifier.fit(train, folds=2, grid_c=[1.0, 10.0], grid_penalty=["l2"], max_iter=5)
+    assert classifier.params["cv_f1"] == 1.0 and seen == [4] * 5
+    monkeypatch.undo()
+    assert models.fit_layout(14_000, 12, 8) == (2, 8) and models.fit_layout(1_000_000, 12, 8) == (12, 2)
+
+
 def test_majority_and_weights(spark):
     df = spark.createDataFrame([(i, l) for i, l in enumerate([0, 0, 1, 1, 2])], "row_id long, label int")
     m = models.MajorityModel.fit(df)
