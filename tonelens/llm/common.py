@@ -97,10 +97,12 @@ class Steps:
         self.starts = np.concatenate([[0], np.cumsum(self.running)])
         rank = np.empty_like(self.order)
         rank[self.order] = np.arange(len(self.order))
-        self.row = np.repeat(np.arange(len(lengths)), lengths)
-        step = np.arange(len(self.row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        step = np.arange(lengths.sum())
+        step -= np.repeat(np.cumsum(lengths) - lengths, lengths)
         #: place in the layout of each element, given in the order of the sequences
-        self.place = self.starts[step] + rank[self.row]
+        self.place = self.starts[step]
+        del step
+        self.place += np.repeat(rank, lengths)
 
     def __len__(self) -> int:
         return len(self.running)

@@ -47,7 +47,9 @@ LEAST_WEIGHT = 0.02
 THRESHOLD = 0.3
 #: Marginal from which a token belongs to a span.
 SPAN = 0.5
-CACHE_ENTRIES = 500_000
+#: Words that a task remembers, and bytes of text that it takes side by side: its worker's memory follows both.
+CACHE_ENTRIES = 200_000
+SLICE_BYTES = 2 << 20
 RESULTS = ("score", "predicted", "spans")
 
 
@@ -88,7 +90,8 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, moves: Iterable[float])
         return np.zeros(0)
     ct, tc, tt = np.exp(np.array(list(moves)))
     steps = Steps(lengths)
-    e = np.exp(np.clip(steps.spread(emission), -30, 30))
+    e = steps.spread(emission)
+    np.exp(np.clip(e, -30, 30, out=e), out=e)
     forward, backward = np.empty_like(e), np.ones_like(e)
     odds = None
     for t in range(len(steps)):
@@ -101,8 +104,10 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, moves: Iterable[float])
         n = later.stop - later.start
         ahead = e[later] * backward[later]
         backward[here.start : here.start + n] = (tc + ahead * tt) / (1 + ahead * ct)
-    odds = forward * backward
-    return (odds / (1 + odds))[steps.place]
+    del e
+    forward *= backward
+    np.divide(forward, 1 + forward, out=forward)
+    return forward[steps.place]
 
 
 def _marks(words: np.ndarray, toxic: np.ndarray, of_word: np.ndarray, of_feature: np.ndarray, size: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,11 +284,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Emissions(model)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, most_bytes=SLICE_BYTES):
                 texts = utf8(batch, text)
-                words = [words_of(t) for t in texts]
-                lengths = np.array([len(w) for w in words])
-                p = marginals(np.fromiter((e for w in words for e in map(of.__getitem__, w)), float, lengths.sum()), lengths, model.moves)
+                # the words of one text at a time; of the others only their scores are held
+                emissions = [np.fromiter(map(of.__getitem__, words_of(t)), float) for t in texts]
+                lengths = np.array([len(e) for e in emissions])
+                p = marginals(np.concatenate(emissions), lengths, model.moves)
+                del emissions
                 ends = np.cumsum(lengths)
                 if model.share is None:
                     scores = 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * np.log(weight(p, lengths) + 1e-3))))
