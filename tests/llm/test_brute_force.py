@@ -559,3 +559,38 @@ def test_chunk_ids_are_those_of_whole_texts():
     for _ in range(20_000):
         text = "".join(rng.choices(letters, k=rng.randint(0, 12))).encode()
         assert known.of(text) == known.whole(text), text
+
+
+def test_network_reads_thousands_of_documents_side_by_side(spark, monkeypatch):
+    """Each step of a batch costs the same for few rows as for many, so a batch of short texts is one pass."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    words = {b"": 10, b"a": 7, b"b": 5}
+    vocabulary = recurrent_lm.Vocabulary({b"": 0, b"a": 1, b"b": 2}, [-1.0] * recurrent_lm.TAIL, np.log(np.full(recurrent_lm.OUTPUTS, 1 / recurrent_lm.OUTPUTS)))
+    language = recurrent_lm.Language(vocabulary, words, recurrent_lm.flat(recurrent_lm.initial(vocabulary)), 22, 3)
+    found, passes, real = [], [], recurrent_lm.sequence_scores
+    slim = SimpleNamespace(mapInArrow=lambda run, schema: found.append(run))
+    session = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value)))
+    key = SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))
+    docs = SimpleNamespace(select=lambda *c: slim, schema={"doc_id": key}, sparkSession=session)
+    monkeypatch.setattr(recurrent_lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(recurrent_lm, "sequence_scores", lambda *a: passes.append(len(a[1])) or real(*a))
+    monkeypatch.setattr(recurrent_lm, "materialise", lambda *a: (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        recurrent_lm.score(docs, language, None)
+    texts = ["a b " * (i % 5) + ("rare" if i % 3 else "") for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["key", "text"])
+    together = [r for out in found[0](iter([batch])) for r in out.to_pylist()]
+    assert passes == [3000]
+    for i in (0, 1, 4, 2999):
+        (alone,) = [r for out in found[0](iter([batch.slice(i, 1)])) for r in out.to_pylist()]
+        assert {**alone, "row": i, "score": 0} == {**together[i], "score": 0} and alone["score"] == pytest.approx(together[i]["score"], rel=1e-5)
+
+
+def test_gates_are_runs_of_memory():
+    vocabulary = recurrent_lm.Vocabulary({}, [], np.log(np.full(recurrent_lm.OUTPUTS, 1 / recurrent_lm.OUTPUTS)))
+    p = recurrent_lm.initial(vocabulary)
+    _, gates = recurrent_lm.advance(np.zeros((5, 3 * recurrent_lm.HIDDEN), np.float32), np.zeros((5, recurrent_lm.HIDDEN), np.float32), p)
+    assert all(g.flags.c_contiguous for g in gates)

@@ -16,8 +16,8 @@ weighted by tokens, in one aggregation.
 
 Scoring is narrow but for rare words.  Counts of the ``HEAD`` most frequent words, a bounded table, go to all tasks; a
 word that is not among them leaves its task as (row, word, times) and meets its count in a join on the word.  State is
-carried from window to window through each whole document, many documents side by side; a window is ``WINDOW`` tokens of
-all of them.
+carried from window to window through each whole document, ``SIDE_BY_SIDE`` documents side by side, of whose words only the
+symbols are held; a window is ``WINDOW`` tokens of all of them.
 
 Defined results: a null or blank text is the end token alone; repeated rows are scored alike, each on its own; with no
 training tokens every word is unknown and the model is untrained; an empty table gives an empty one; only the key and
@@ -53,6 +53,8 @@ SHARD_TOKENS, PIECE_TOKENS = 1_600_000, 50_000
 HEAD = 300_000
 #: Tokens of all documents side by side whose probabilities are taken at a time.
 WINDOW = 8192
+#: Documents that the network reads side by side; the fewer run at a step, the more each token costs.
+SIDE_BY_SIDE = 4096
 #: Entries of a task's counter before it hands them on, and words a task remembers.
 COUNTER_ENTRIES = 400_000
 END = b""
@@ -215,14 +217,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def by_gate(x: np.ndarray) -> np.ndarray:
+    """Reset, update and candidate, side by side in the last axis, as three arrays: each is one run of memory."""
+    return np.stack(np.split(x, 3, axis=-1))
+
+
 def advance(inputs: np.ndarray, h: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, tuple]:
     """One step; ``inputs`` are embeddings times ``w`` plus ``b``.  Gates: reset, update, candidate."""
-    n = HIDDEN
-    from_state = h @ p["u"]
-    gates = _sigmoid(from_state[:, : 2 * n] + inputs[:, : 2 * n])
-    r, z, pulled = gates[:, :n], gates[:, n:], from_state[:, 2 * n :]
+    return _advance(by_gate(inputs), h, by_gate(p["u"]))
+
+
+def _advance(inputs: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """One step; ``inputs`` and ``u`` by gate."""
+    from_state = np.matmul(h, u)
+    gates, pulled = from_state[:2], from_state[2]
+    gates += inputs[:2]
+    r, z = _sigmoid(gates)
     c = r * pulled
-    c += inputs[:, 2 * n :]
+    c += inputs[2]
     np.tanh(c, out=c)
     after = c - h
     after *= z
@@ -283,12 +295,12 @@ def _gradients(inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np
     """Gradients of the mean loss over one stretch (steps, streams), and the state after it.  ``fresh`` clears states."""
     steps, streams = inputs.shape
     before, after, kept = [], [], []
-    projected = p["embed"] @ p["w"] + p["b"]
+    u, projected = by_gate(p["u"]), by_gate(p["embed"] @ p["w"] + p["b"])
     for t in range(steps):
         h = h.copy()
         h[fresh[t]] = 0
         before.append(h)
-        h, gates = advance(projected[inputs[t]], h, p)
+        h, gates = _advance(projected.take(inputs[t], axis=1), h, u)
         after.append(h)
         kept.append(gates)
     states = np.concatenate(after)
@@ -313,28 +325,40 @@ def _gradients(inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np
     d_states[own.order] += d_own
     d_states = d_states.reshape(steps, streams, HIDDEN)
     d_h = np.zeros((streams, HIDDEN), np.float32)
-    d_inputs = np.empty((steps, streams, 3 * HIDDEN), np.float32)
-    d_pulls = np.empty_like(d_inputs)
+    back = u.transpose(0, 2, 1).copy()
+    # by gate; a candidate's input and what the reset gate let through to it differ by that gate
+    d_inputs = np.empty((3, steps, streams, HIDDEN), np.float32)
+    d_pulled = np.empty((steps, streams, HIDDEN), np.float32)
     for t in reversed(range(steps)):
         d = d_states[t] + d_h
         r, z, pulled, c = kept[t]
-        d_c = d * z * (1 - c * c)
-        d_z = d * (c - before[t]) * z * (1 - z)
-        d_r = d_c * pulled * r * (1 - r)
-        here, pull = d_inputs[t], d_pulls[t]
-        here[:, :HIDDEN], here[:, HIDDEN : 2 * HIDDEN], here[:, 2 * HIDDEN :] = d_r, d_z, d_c
-        pull[:] = here
-        pull[:, 2 * HIDDEN :] *= r
-        d_h = d * (1 - z)
-        d_h += pull @ p["u"].T
+        d_r, d_z, d_c = d_inputs[:, t]
+        np.multiply(d, z, out=d_c)
+        d_c *= 1 - c * c
+        np.multiply(d, c - before[t], out=d_z)
+        keep = 1 - z
+        d_z *= z
+        d_z *= keep
+        pull = d_c * r
+        d_pulled[t] = pull
+        np.multiply(pull, pulled, out=d_r)
+        d_r *= 1 - r
+        d_h = d
+        d_h *= keep
+        d_h += d_r @ back[0]
+        d_h += d_z @ back[1]
+        d_h += pull @ back[2]
         d_h[fresh[t]] = 0
-    g["u"] = np.concatenate(before).T @ d_pulls.reshape(-1, 3 * HIDDEN)
-    d_inputs = d_inputs.reshape(-1, 3 * HIDDEN)
-    g["w"], g["b"] = p["embed"][inputs.ravel()].T @ d_inputs, d_inputs.sum(axis=0)
+    d_inputs, d_pulled = d_inputs.reshape(3, -1, HIDDEN), d_pulled.reshape(-1, HIDDEN)
+    held = np.concatenate(before).T
+    g["u"] = np.concatenate([held @ d_inputs[0], held @ d_inputs[1], held @ d_pulled], axis=1)
+    embedded = p["embed"][inputs.ravel()].T
+    g["w"], g["b"] = np.concatenate([embedded @ d for d in d_inputs], axis=1), d_inputs.sum(axis=1).ravel()
     # rows of one symbol are added up by a sorted sum
     order = np.argsort(inputs.astype(np.int16), axis=None, kind="stable")
     symbols, first = np.unique(inputs.ravel()[order], return_index=True)
-    g["embed"][symbols] = np.add.reduceat((d_inputs @ p["w"].T)[order], first, axis=0)
+    d_embedded = sum(d @ w.T for d, w in zip(d_inputs, by_gate(p["w"]), strict=True))
+    g["embed"][symbols] = np.add.reduceat(d_embedded[order], first, axis=0)
     return {k: v / len(place) for k, v in g.items()}, h
 
 
@@ -440,7 +464,7 @@ def sequence_scores(symbols: np.ndarray, lengths: np.ndarray, params: dict[str,
     """log10 probability of each sequence's symbols, state carried from its first to its last."""
     steps = Steps(lengths)
     laid = steps.spread(symbols)
-    projected = params["embed"] @ params["w"] + params["b"]
+    u, projected = by_gate(params["u"]), by_gate(params["embed"] @ params["w"] + params["b"])
     totals = np.zeros(len(lengths))
     h = np.zeros((len(lengths), HIDDEN), np.float32)
     start = stop = 0
@@ -451,7 +475,7 @@ def sequence_scores(symbols: np.ndarray, lengths: np.ndarray, params: dict[str,
             n = int(steps.running[t])
             here = steps.at(t)
             before = laid[here.start - int(steps.running[t - 1]) : here.start][:n] if t else np.zeros(n, laid.dtype)
-            h, _ = advance(projected[before], h[:n], params)
+            h, _ = _advance(projected.take(before, axis=1), h[:n], u)
             states.append(h)
         window = slice(steps.at(start).start, steps.at(stop - 1).stop)
         logs = log_likelihood(np.concatenate(states), place[laid[window]], params)
@@ -486,7 +510,7 @@ def score(docs: DataFrame, language: Language, counts: DataFrame, key: str = "do
     spark = docs.sparkSession
     # a word's place in two lists: of symbols, and of log10 of count plus a half, which only words of the head have
     words_known = {w: i for i, w in enumerate(language.head)}
-    symbols_known = np.array([*map(language.vocabulary.symbol, language.head), *range(OUTPUTS - TAIL, OUTPUTS)], np.int64)
+    symbols_known = np.array([*map(language.vocabulary.symbol, language.head), *range(OUTPUTS - TAIL, OUTPUTS)], np.int16)
     logs_known = np.append(np.log10(np.fromiter(language.head.values(), float, len(language.head)) + 0.5), np.full(TAIL, math.nan))
     shared = spark.sparkContext.broadcast((language.vocabulary, language.weights, words_known, symbols_known, logs_known))
     least = math.log10(language.n + 0.5 * (language.v + 1))
@@ -496,38 +520,41 @@ def score(docs: DataFrame, language: Language, counts: DataFrame, key: str = "do
         vocabulary, weights, known, symbol_at, log_at = shared.value
         params = shaped(weights)
         place = classes_of(vocabulary.log_share)
-        part, done = TaskContext.get().partitionId() << 36, 0
+        part_id, done = TaskContext.get().partitionId() << 36, 0
         unit = np.zeros(OUTPUTS)
         unit[OUTPUTS - TAIL :] = vocabulary.tail_unit
         for whole in batches:
-            for batch in slices(whole, "text", most_bytes=4 << 20, most_rows=1024):
-                words = [tokens_of(t) for t in utf8(batch, "text")]
-                lengths = np.array([len(w) for w in words])
-                at = np.fromiter(map(known.get, chain.from_iterable(words), repeat(-1)), np.int64, lengths.sum())
-                row = np.repeat(np.arange(len(words)), lengths)
-                # words outside the head are left to the join
-                rare = at < 0
-                ends = np.cumsum(lengths)
-                owner, column = row[rare], np.flatnonzero(rare) - (ends - lengths)[row[rare]]
-                left = [words[i][j] for i, j in zip(owner.tolist(), column.tolist(), strict=True)]
-                at[rare] = [len(known) + _tail(w) for w in left]
-                symbols, head_logs = symbol_at[at], np.where(rare, 0.0, log_at[at])
-                in_tail = symbols >= OUTPUTS - TAIL
-                scores = sequence_scores(symbols, lengths, params, place) + np.bincount(row, np.where(in_tail, unit[symbols] + head_logs, 0), len(words))
-                base = np.bincount(row, head_logs, len(words)) - lengths * least
-                stops = np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
-                tails = [Counter(left[s:e]) for s, e in zip([0, *stops], stops, strict=False)]
-                pairs = pa.StructArray.from_arrays(
-                    [pa.array(chain.from_iterable(tails), pa.binary()), pa.array(chain.from_iterable(t.values() for t in tails), pa.int64())], fields=list(tail_type.value_type)
-                )
-                offsets = pa.array(np.cumsum([0, *map(len, tails)]), pa.int32())
-                ids = part + done + np.arange(len(words))
-                done += len(words)
+            for batch in slices(whole, "text", most_rows=SIDE_BY_SIDE):
+                parts = []
+                for part in slices(batch, "text", most_bytes=1 << 20):
+                    words = [tokens_of(t) for t in utf8(part, "text")]
+                    lengths = np.array([len(w) for w in words])
+                    at = np.fromiter(map(known.get, chain.from_iterable(words), repeat(-1)), np.int64, lengths.sum())
+                    row = np.repeat(np.arange(len(words)), lengths)
+                    # words outside the head are left to the join
+                    rare = at < 0
+                    ends = np.cumsum(lengths)
+                    owner, column = row[rare], np.flatnonzero(rare) - (ends - lengths)[row[rare]]
+                    left = [words[i][j] for i, j in zip(owner.tolist(), column.tolist(), strict=True)]
+                    at[rare] = [len(known) + _tail(w) for w in left]
+                    symbols, head_logs = symbol_at[at], np.where(rare, 0.0, log_at[at])
+                    inside = np.bincount(row, np.where(symbols >= OUTPUTS - TAIL, unit[symbols] + head_logs, 0), len(words))
+                    base = np.bincount(row, head_logs, len(words)) - lengths * least
+                    stops = np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
+                    tails = [Counter(left[s:e]) for s, e in zip([0, *stops], stops, strict=False)]
+                    pairs = pa.StructArray.from_arrays(
+                        [pa.array(chain.from_iterable(tails), pa.binary()), pa.array(chain.from_iterable(t.values() for t in tails), pa.int64())], fields=list(tail_type.value_type)
+                    )
+                    offsets = pa.array(np.cumsum([0, *map(len, tails)]), pa.int32())
+                    seen = np.bincount(row, ~rare, len(words)).astype(np.int64)
+                    parts.append((lengths, symbols, inside, seen, base, pa.ListArray.from_arrays(offsets, pairs, type=tail_type)))
+                *numbers, rare = zip(*parts, strict=True)
+                lengths, symbols, inside, seen, base = map(np.concatenate, numbers)
+                scores = sequence_scores(symbols, lengths, params, place) + inside
+                ids = part_id + done + np.arange(len(lengths))
+                done += len(lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("key"), pa.array(ids), pa.array(lengths), pa.array(np.bincount(row, ~rare, len(words)).astype(np.int64)),
-                        pa.array(base), pa.array(scores), pa.ListArray.from_arrays(offsets, pairs, type=tail_type),
-                    ],
+                    [batch.column("key"), pa.array(ids), pa.array(lengths), pa.array(seen), pa.array(base), pa.array(scores), pa.concat_arrays(rare)],
                     names=["key", "row", "n_tokens", "n_known", "base_score", "score", "rare"],
                 )
 
