@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from tonelens.catalog.oracles import _q, _scored
-from tonelens.functions import scores as S
+from tonelens.functions import gram_index, scores as S
 from tonelens.functions.sql import register_functions
 from tonelens.operators import messages, metrics
 from tonelens.operators.lexicon import DEFAULT_LEXICON, DEFAULT_PATTERNS, LABELS, Lexicon
@@ -172,3 +172,39 @@ def test_scores_as_a_struct_hold_all_evidence_once(spark):
     assert got == {r["id"]: (r["gl_keywords"], r["si_keywords"], round(r["gl_pattern"], 9)) for r in want.collect()}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("you're imagining") == 1
+
+
+@pytest.mark.parametrize("widest", [64, 1])
+def test_index_finds_every_literal_that_a_text_has(spark, monkeypatch, widest):
+    """Beginnings of each other, literals longer than they are filed, odd characters; tried or intersected."""
+    monkeypatch.setattr(gram_index, "WIDEST", widest)
+    words = ["a", "ab", "abc", "abcdef", "abcdefgh", "bc", "x.y", "[z]", "é\U0001f600", "\U0001f600a", "long " * 6, "long " * 5 + "z", "b" * 24, "b" * 30]
+    texts = ["abcdefg", "xab abcdefgh", "x.yx[z]", "x1y é\U0001f600ab", "long " * 8, "long " * 5 + "zz", "b" * 29, "b" * 31, "", None, "é z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    found = gram_index.found(F.col("t"), [gram_index.Entry(w, 3, i) for i, w in enumerate(words)])
+    rows = df.select("id", F.sort_array(F.transform(found, lambda e: e["number"])).alias("n")).collect()
+    assert {r["id"]: r["n"] for r in rows} == {i: [n for n, w in enumerate(words) if w in (t or "")] for i, t in enumerate(texts)}
+
+
+def test_index_looks_up_words_and_not_every_gram(spark):
+    """Texts of a few letters have the grams of all words: only whole words may open a bucket."""
+    plan = spark.createDataFrame([("x",)], "t string").select(gram_index.found(F.col("t"), [gram_index.Entry("person", 0, 0), gram_index.Entry("personal", 0, 1)]))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "{6}" not in text and "array_intersect" not in text
+
+
+def test_literal_first_patterns_are_equal(spark):
+    patterns = [
+        r"\bcat", r"(?:^|[^a-z])cat(?:s|ed)?(?:$|[^a-z])", r"[^a-z]cats+ (a|b)", r"[ ,]cat's?\b", r"(?:^|[^a-z])ca*t", r"\bcat|dog", r"\bcat(x|y|)(?=,)",
+        r"\bca{2}t", r"\b(cat)\1", r"\bcat[|)]", r"(?:^|[^a-z])cat$", r"\Bcat",
+    ]
+    rng = random.Random(4)
+    pieces = ["cat", "cats", "cated", " ", ",", "é", "caat", "c", "\U0001f600", "dog", "'s", "x", "a", ")", "\n", "catcat", " cats a"]
+    texts = [("".join(rng.choices(pieces, k=rng.randint(0, 14))),) for _ in range(1500)]
+    df = spark.createDataFrame(texts, "t string")
+    turned = [S.literal_first(p) for p in patterns]
+    assert sum(a != b for a, b in zip(patterns, turned, strict=True)) == 9
+    for before, after in zip(patterns, turned, strict=True):
+        hits = df.select(F.col("t").rlike(S.unicode_pattern(before)).alias("a"), F.col("t").rlike(S.unicode_pattern(after)).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in hits), (before, after)
+        assert any(r["a"] for r in hits), before

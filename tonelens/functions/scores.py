@@ -87,6 +87,31 @@ def required_literals(pattern: str) -> list[str] | None:
     return _required(parsed)
 
 
+#: A boundary, a character, or the start or a character, in front of letters, digits, blanks and apostrophes.
+_FRONT = re.compile(r"(?P<front>\\b|\[\^?[\w ,.'-]+\]|\(\?:\^\|\[\^?[\w ,.'-]+\]\))(?P<literal>[A-Za-z0-9 ']{2,})(?P<rest>.*)", re.ASCII | re.DOTALL)
+
+
+def literal_first(pattern: str) -> str:
+    """An equal pattern whose matches begin with a literal, which is searched for without trying every character.
+
+    What stands in front of the literal is looked for behind it; other patterns stay as they are.
+    """
+    found = _FRONT.fullmatch(pattern)
+    if not found:
+        return pattern
+    front, literal, rest = found["front"], found["literal"], found["rest"]
+    if rest[:1] in ("?", "*", "+", "{"):  # repeats the last character
+        literal, rest = literal[:-1], literal[-1] + rest
+    depth = 0
+    for c in re.sub(r"\\.|\[\^?[^\[\]\\]+\]", "", rest, flags=re.DOTALL):
+        depth += (c == "(") - (c == ")")
+        if depth < 0 or (c == "|" and not depth) or c in "[]":
+            return pattern
+    if depth or r"\Q" in rest:
+        return pattern
+    return f"{literal}(?<={front}{literal}){rest}"
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Does the pattern occur?  Plain substring tests spare texts that cannot match the regular expression.
 

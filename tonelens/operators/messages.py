@@ -54,13 +54,13 @@ def pattern_scores_indexed(df: DataFrame, lexicon: Lexicon, text: str = "text")
     """The columns of :func:`pattern_scores`, for lexicons of many thousand patterns.
 
     A pattern is filed under the literals of which each of its matches contains one; only texts with such a literal meet
-    the regular expression.  Patterns without one are compiled into the plan as in :func:`pattern_scores`.
+    the regular expression, turned so that it begins with a literal where that can be done.  Patterns without one are compiled into the plan as in :func:`pattern_scores`.
     """
     entries, others = [], {l: [] for l in TOXIC}
     for i, l in enumerate(TOXIC):
         for n, p in enumerate(lexicon.pattern_list(l)):
             literals = S.required_literals(p)
-            entries += [Entry(s, i, n, S.unicode_pattern(p)) for s in literals or []]
+            entries += [Entry(s, i, n, S.unicode_pattern(S.literal_first(p))) for s in literals or []]
             others[l] += [] if literals else [p]
     found, lowered = free_name(df, "_found"), free_name(df, "_t")
     out = df.withColumn(lowered, F.lower(text)).withColumn(found, in_text(F.col(lowered), _bounded(entries, "patterns")))
