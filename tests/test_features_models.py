@@ -177,3 +177,16 @@ def test_optimality_of_a_stored_fit(spark, penalty):
     assert got["violation"] < 0.02 * got["start"]
     wrong = models.TextClassifier(fitted.model, fitted.params | {"C": 0.01})
     assert models.optimality(wrong, train).first()["violation"] > 0.1 * got["start"]
+
+
+def test_weights_are_not_shuffled_to_their_terms(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b a c"), (3, "")], "row_id int, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        long = tfidf.transform_long(docs, tfidf.fit_vocabulary(docs))
+        plan = plan_of(long)
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert {(r["row_id"], r["term"]) for r in long.collect()} == {(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "b a"), (1, "b a")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
