@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from tonelens.functions.scores import threshold_label
 from tonelens.operators.metrics import METRICS, confusion_matrix, error_table, evaluate_binary, model_comparison
-from tonelens.operators.models import FeatureSet, MajorityModel, TextClassifier
+from tonelens.operators.models import FeatureSet, MajorityModel, TextClassifier, fit_layout
 from tonelens.operators.sampling import SEED, stratified_subsample
 
 # Training fractions of the learning curve and the fold rule.
@@ -19,6 +20,9 @@ SMALL_FRACTION = 0.2
 FOLDS = 5
 FOLDS_SMALL = 3
 
+#: Most fractions of a learning curve that run side by side: the driver holds the plans of each.
+SIDE_BY_SIDE = 3
+
 External = DataFrame | Callable[[DataFrame], DataFrame] | None
 
 BASELINE = "Naive Baseline"
@@ -83,12 +87,14 @@ def learning_curve(
     """Model x fraction x (n_samples, five metrics) on the fixed test split, ordered by model and fraction.
 
     Vocabulary and document frequencies stay those of the full train split at every fraction.  ``external`` maps a
-    fraction to the probabilities of a scorer that was trained on that much data.
+    fraction to the probabilities of a scorer that was trained on that much data.  Fractions run side by side as far as
+    their fits do not keep the cores busy.
     """
     train, test = features.split("train"), features.split("test")
     plain = test.drop("features")
-    rows = []
-    for f in fractions or FRACTIONS:
+    spark = train.sparkSession
+
+    def point(f: float) -> list[tuple]:
         sub = stratified_subsample(train, f, seed=seed)
         n = sub.count()
         folds = FOLDS_SMALL if f <= SMALL_FRACTION else FOLDS
@@ -98,10 +104,11 @@ def learning_curve(
         }
         if external and f in external:
             scored[EXTERNAL] = external_predictions(plain, external[f])
-        for name, df in scored.items():
-            rows.append(
-                evaluate_binary(df).select(
-                    F.lit(name).alias("model"), F.lit(f).alias("fraction"), F.lit(n).cast("long").alias("n_samples"), *METRICS
-                )
-            )
-    return reduce(DataFrame.unionByName, rows).orderBy("model", "fraction")
+        return [(name, f, n, *evaluate_binary(df).select(*METRICS).first()) for name, df in scored.items()]
+
+    wanted = sorted(fractions or FRACTIONS, reverse=True)  # the longest first
+    _, at_once = fit_layout(train.count(), spark.sparkContext.defaultParallelism, min(len(wanted), SIDE_BY_SIDE))
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = [row for found in pool.map(inheritable_thread_target(spark)(point), wanted) for row in found]
+    schema = ", ".join(["model string, fraction double, n_samples long", *(f"{m} double" for m in METRICS)])
+    return spark.createDataFrame(rows, schema).orderBy("model", "fraction")
