@@ -68,7 +68,7 @@ def test_all_ways_agree_with_separate_fits(spark, train, monkeypatch):
     monkeypatch.setattr(grid, "TASK_ENTRIES", 100)
     got["passes"] = models.cross_validate(rows, points, folds, n, 200, 2)
     assert passes[0] == len(points) * folds and passes[-1] < passes[0] and len(passes) < sum(passes) / 3
-    monkeypatch.setattr(grid, "DRIVER_NUMBERS", 4 * grid.COPIES * (COLUMNS + 1))
+    monkeypatch.setattr(grid, "DRIVER_NUMBERS", 4 * grid.COPIES["l2"] * (COLUMNS + 1))
     got["groups of passes"] = models.cross_validate(rows, points, folds, n, 200, 2)
     monkeypatch.undo()
     monkeypatch.setattr(models, "ROWS_PER_TASK", 2)

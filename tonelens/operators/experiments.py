@@ -21,7 +21,7 @@ FOLDS = 5
 FOLDS_SMALL = 3
 
 #: Most fractions of a learning curve that run side by side: the driver holds the plans of each.
-SIDE_BY_SIDE = 3
+SIDE_BY_SIDE = 2
 
 External = DataFrame | Callable[[DataFrame], DataFrame] | None
 
